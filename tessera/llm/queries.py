@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, url_filter
+from . import exact_dedup, near_dedup, packing, url_filter
 from .shared import table
 
 #: (host, path, verdict) of the rules of op10.
@@ -26,6 +26,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    kept = (F.col("id") == F.col("class_id")).alias("kept")
+    return classes.select(F.col("id").alias("doc_id"), F.col("rep_id").alias("copy_of"), "class_id", kept)
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -40,7 +46,7 @@ def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sum_of_squares_packing, op5_exact_dedup, op10_url_language_model)
+    f.__name__: f for f in (op1_bag_minhash, op3_sum_of_squares_packing, op5_exact_dedup, op10_url_language_model)
 }
 
 ORACLES: dict[str, str] = {
