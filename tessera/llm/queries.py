@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, url_filter
+from . import exact_dedup, near_dedup, packing, quality, secrets, url_filter
 from .shared import table
 
 #: (host, path, verdict) of the rules of op10.
@@ -36,17 +36,37 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def secret_vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"), *secret_vocabulary())
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    count = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return rows.select(F.col("id").alias("doc_id"), *count, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    held_out = ~quality.fold_free(F.col("id"))
+    return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bag_minhash, op3_sum_of_squares_packing, op5_exact_dedup, op10_url_language_model)
+    f.__name__: f for f in (op1_bag_minhash, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op8_byte_cnn, op10_url_language_model)
 }
 
 ORACLES: dict[str, str] = {
