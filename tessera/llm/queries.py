@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, secrets, url_filter
+from . import archives, exact_dedup, near_dedup, packing, quality, secrets, url_filter
 from .shared import table
 
 #: (host, path, verdict) of the rules of op10.
@@ -32,6 +32,11 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), F.col("rep_id").alias("copy_of"), "class_id", kept)
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archives.read_warc(spark, archives.archive(table(spark, sf_dir, "pages")))
+    return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -66,7 +71,7 @@ def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bag_minhash, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op8_byte_cnn, op10_url_language_model)
+    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op8_byte_cnn, op10_url_language_model)
 }
 
 ORACLES: dict[str, str] = {
