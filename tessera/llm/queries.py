@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, exact_dedup, near_dedup, packing, quality, secrets, url_filter
+from . import archives, exact_dedup, near_dedup, packing, quality, secrets, url_filter, vector_dedup
 from .shared import table
 
 #: (host, path, verdict) of the rules of op10.
@@ -66,12 +66,16 @@ def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op9_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.groups(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op8_byte_cnn, op10_url_language_model)
+    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op8_byte_cnn, op9_rotation_codes, op10_url_language_model)
 }
 
 ORACLES: dict[str, str] = {

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,5 +55,27 @@ def slices(texts: Sequence[str | None], chars: int = 16_000_000) -> Iterator[tup
         yield lo, len(texts)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``keys`` (integers without nulls) in batches that are sorted by them; only the run at
+    hand is held."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            key = at[:, lo].tolist()
+            if last is not None and key != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+            last = key
+    if held:
+        yield pa.concat_tables(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
