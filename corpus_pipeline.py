@@ -1,12 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, exact copies, near copies, secrets, packing.
+
+Each stage works on all that its predecessor kept and is written and read again in between.  All stages but the last
+return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-from tessera.llm import queries  # noqa: F401
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import exact_dedup, near_dedup, packing, quality, secrets
+from tessera.llm.queries import secret_vocabulary, tokenizer
+from tessera.llm.shared import stage_table, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal documents, that with the smallest id stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; the documents stay."""
+    out = secrets.mask(docs, *secret_vocabulary())
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces in sequences of a fixed length."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("exact_dedup", no_exact_copies),
+    ("near_dedup", no_near_copies),
+    ("secrets", no_secrets),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: The stages are no SQL: a network, signatures, a tokenizer and a packer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage_table(docs, f"stage-{name}")
+    return docs
