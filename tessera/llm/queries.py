@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, exact_dedup, near_dedup, packing, pieces, quality, secrets, url_filter, vector_dedup
+from . import archives, exact_dedup, near_dedup, packing, pieces, quality, secrets, transcripts, url_filter, vector_dedup
 from .shared import table
 
 #: (host, path, verdict) of the rules of op10.
@@ -59,6 +59,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = transcripts.raw_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    # Roles are read for the counts of one half of the transcripts; the parser sees lines alone.
+    known = raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0)
+    model = transcripts.fit(transcripts.lines_of(known, "conv_id", "turn", "text", "role"))
+    lines = transcripts.lines_of(raw, "conv_id", "turn", "text")
+    return transcripts.rendered(transcripts.parse(lines, model)).withColumnRenamed("conv", "conv_id")
+
+
 def op7_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
     rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
@@ -81,7 +90,7 @@ def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op7_streaming_viterbi, op8_byte_cnn, op9_rotation_codes, op10_url_language_model)
+    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op6_hmm_transcripts, op7_streaming_viterbi, op8_byte_cnn, op9_rotation_codes, op10_url_language_model)
 }
 
 ORACLES: dict[str, str] = {
