@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import vectors
+
+MODULES = [vectors]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 
 #: The query that entry() runs.
 FLAGSHIP = "t1_vector_topk"
