@@ -20,8 +20,8 @@ def weighted_mean(parts: dict[str, float], digits: int = 4) -> Column:
     return F.round(clamp(F.coalesce(top / F.nullif(low, F.lit(0.0)), F.lit(0.0))), digits)
 
 
-def trust(support: Column, entity: Column, quality: Column, cross: Column, risk: Column) -> Column:
-    return F.round(clamp(0.55 * support + 0.20 * entity + 0.15 * quality + 0.10 * cross - 0.10 * risk), 4)
+def trust(support: Column, entity: Column, quality: Column, cross: Column, risk: Column, digits: int = 4) -> Column:
+    return F.round(clamp(0.55 * support + 0.20 * entity + 0.15 * quality + 0.10 * cross - 0.10 * risk), digits)
 
 
 def evidence_score(score: Column, weight: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions import vectors
 from tessera.sources import stages
 
 
@@ -14,14 +13,16 @@ def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
     """(a, b, distance), a < b, of (id, bits) with a Hamming distance of at most ``most``.
 
     Bits are cut into ``most + 1`` bands: two strings that differ in ``most`` places at most agree in one band, so the join
-    is by equal bands.  Equal strings are one node in it and are paired among themselves afterwards."""
+    is by equal bands.  All strings have one length.  Equal strings are one node in it and are paired among themselves afterwards."""
     nodes = rows.groupBy("bits").agg(F.min("id").alias("n"))
     width = F.ceil(F.length("bits") / (most + 1)).cast("int")
     band = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.substring("bits", k * width + 1, width).alias("part")))
-    bands = nodes.select("n", "bits", F.explode(band).alias("band"))
-    x, y = (bands.select("band", F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "xy")
-    near = x.join(y, "band").where("n_x < n_y").select("n_x", "n_y", "bits_x", "bits_y").distinct()
-    near = near.withColumn("distance", vectors.hamming(F.col("bits_x"), F.col("bits_y"))).where(F.col("distance") <= most)
+    words = F.transform(F.sequence(F.lit(0), F.ceil(F.length("bits") / 32).cast("int") - 1), lambda k: F.conv(F.substring("bits", k * 32 + 1, F.lit(32)), 2, 10).cast("long"))
+    bands = nodes.select("n", "bits", words.alias("words"), F.explode(band).alias("band"))
+    x, y = (bands.select("band", F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"), F.col("words").alias(f"words_{c}")) for c in "xy")
+    differ = F.zip_with("words_x", "words_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    near = x.join(y, "band").where("n_x < n_y").withColumn("distance", F.aggregate(differ, F.lit(0), lambda s, d: s + d))
+    near = near.where(F.col("distance") <= most).select("bits_x", "bits_y", "distance").distinct()
     same = nodes.select(F.col("bits").alias("bits_x"), F.col("bits").alias("bits_y"), F.lit(0).alias("distance"))
     both = near.select("bits_x", "bits_y", "distance").unionByName(same)
     one, two = (rows.select(F.col("bits").alias(f"bits_{c}"), F.col("id").alias(f"id_{c}")) for c in "xy")

@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import duplicates, retrieval as R
 
+from .registry import Registry
 from .shared import t
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+register = Registry()
+QUERIES, ORACLES = register.queries, register.oracles
 
 PAIRS = """
     e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
