@@ -181,10 +181,9 @@ def k12_policy_lookup(spark, sf_dir):
     return rows.groupBy("predicate", "value", F.coalesce("policy", F.lit("append")).alias("policy")).agg(F.count(F.lit(1)).alias("claims"))
 
 
-@register("SELECT o_orderkey, CASE WHEN o_orderkey <= 0 THEN 'INVALID_ID' WHEN o_orderstatus = 'F' THEN 'UNCHANGED' ELSE 'UPDATED' END AS outcome FROM orders WHERE o_custkey % 7 = 3")
+@register("SELECT o_orderkey, CASE WHEN o_orderkey <= 0 THEN 'INVALID_ID' WHEN o_orderstatus = 'F' THEN 'UNCHANGED' ELSE 'UPDATED' END AS outcome FROM orders")
 def k13_status_batch_update(spark, sf_dir):
-    rows = t(spark, sf_dir, "orders").where("o_custkey % 7 = 3")
-    return rows.select("o_orderkey", F.when(F.col("o_orderkey") <= 0, "INVALID_ID").when(F.col("o_orderstatus") == "F", "UNCHANGED").otherwise("UPDATED").alias("outcome"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") <= 0, "INVALID_ID").when(F.col("o_orderstatus") == "F", "UNCHANGED").otherwise("UPDATED").alias("outcome"))
 
 
 @register(f"WITH {CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, value ORDER BY confidence DESC, claim_id) AS n FROM c) SELECT subject, predicate, value, claim_id FROM r WHERE n = 1")
