@@ -8,8 +8,9 @@
 2. Texts with equal word sequences are one class; the rest works on one representative of each.
 3. Bands of registers make buckets; in a bucket, the registers give an estimate for each pair, and the pairs of a
    maximum spanning forest of the pairs that may reach the threshold are verified: multisets are compared exactly.
-4. Components of the verified links are formed; pairs of a bucket that may reach the threshold and still lie in different
-   components are then verified as well, so no pair that may link two components goes untested.
+4. Components of the verified links are formed.  Texts of a bucket that may reach the threshold with a text of another
+   component get their multisets in that bucket's task, where all such pairs are compared exactly; only a forest of the
+   links found leaves the task.  So no pair that may link two components goes untested, and no list of pairs is made.
 Large buckets are split into blocks, every two of which meet in one task.
 
 At similarity 0.8, 20 bands of 5 registers miss a pair with probability 0.0004; a pair is taken not to reach the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, slices, stage_table
+from .shared import bounded_batches, slices, sorted_groups, stage_table
 from .shingles import U, mix, shingles
 
 REGISTERS, BAND = 100, 5
@@ -151,57 +152,117 @@ def likely(sig: np.ndarray, size: np.ndarray, i: int, others: np.ndarray, least:
     return np.where((agree >= least) & (low >= SIMILARITY * high), agree, 0)
 
 
-def crossing(sig: np.ndarray, size: np.ndarray, comp: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Pairs in different components that may reach the threshold."""
-    out = []
-    for i in range(len(sig) - 1):
-        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        if len(rest):
-            out += [(i, int(j)) for j in rest[likely(sig, size, i, rest, least) > 0]]
-    return out
+GROUP = ["bucket", "block_a", "block_b"]
+LEAST = int(np.floor(REGISTERS * SIMILARITY - 4 * np.sqrt(REGISTERS * SIMILARITY * (1 - SIMILARITY))))
+
 
+def registers(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(group), -1)
 
-def bucket_pairs(buckets: DataFrame, across: bool) -> DataFrame:
-    """Pairs (a, b), a < b, to verify in buckets (bucket, block_a, block_b, key, sig, size, comp)."""
-    least = int(np.floor(REGISTERS * SIMILARITY - 4 * np.sqrt(REGISTERS * SIMILARITY * (1 - SIMILARITY))))
-    group = ["bucket", "block_a", "block_b"]
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        keys, sigs, sizes, comps = zip(*rows, strict=True) if rows else ((), (), (), ())
-        if len(rows) < 2 or across and len(set(comps)) < 2:
-            return []
-        sig, size = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(rows), -1), np.array(sizes)
-        found = crossing(sig, size, np.array(comps), least) if across else forest(sig, size, least)
-        return [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found]
+def forest_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of a forest in each of the buckets (bucket, block_a, block_b, key, sig, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted, so a bucket ends where the next begins.  ``sent`` saves sending the pairs of other bands
-        # again; it is emptied when large, as distinct() below removes repeats anyway.
-        now, held, sent = None, [], set()
-
-        def ended() -> list[tuple[int, int]]:
-            new = [p for p in dict.fromkeys(pairs(held)) if p not in sent]
-            if len(sent) > 200_000:
-                sent.clear()
-            sent.update(new)
-            return new
-
-        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        # ``sent`` saves sending the pairs of other bands again; it starts afresh when large, as distinct() below removes
+        # repeats anyway.
+        out, sent = [], set()
+
+        def packed() -> pa.RecordBatch:
             return pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for key, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
-                if key != now:
-                    out += ended()
-                    now, held = key, []
-                held.append(row)
-            yield packed(out)
-        yield packed(ended())
+        for group in sorted_groups(batches, GROUP):
+            if len(group) > 1:
+                keys = group["key"].to_pylist()
+                for i, j in forest(registers(group), group["size"].to_numpy(), LEAST):
+                    pair = (min(keys[i], keys[j]), max(keys[i], keys[j]))
+                    if pair not in sent:
+                        out.append(pair)
+                        sent.add(pair)
+            if len(out) >= 10_000:
+                yield packed()
+                out = []
+                if len(sent) > 200_000:
+                    sent = set()
+        yield packed()
+
+    dealt = buckets.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.select(*GROUP, "key", "sig", "size").mapInArrow(run, "a long, b long").distinct()
+
+
+def crossing(buckets: DataFrame) -> DataFrame:
+    """The rows (bucket, block_a, block_b, key, comp) of the buckets (..., sig, size) that may reach the threshold with a
+    row of another component there."""
 
-    dealt = buckets.repartition(*group).sortWithinPartitions(*group)
-    return dealt.select(*group, "key", "sig", "size", "comp").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, GROUP):
+            comp = group["comp"].to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            sig, size, told = registers(group), group["size"].to_numpy(), np.zeros(len(group), bool)
+            for i in range(len(group) - 1):
+                rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                near = rest[likely(sig, size, i, rest, LEAST) > 0] if len(rest) else rest
+                told[near] = True
+                told[i] |= len(near) > 0
+            if told.any():
+                yield from group.select([*GROUP, "key", "comp"]).filter(pa.array(told)).combine_chunks().to_batches()
+
+    dealt = buckets.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.select(*GROUP, "key", "comp", "sig", "size").mapInArrow(run, "bucket long, block_a int, block_b int, key long, comp long")
+
+
+def common(items: pa.ListArray, columns: int = 1 << 14) -> np.ndarray:
+    """How many items every two lists have in common: bits of the items that several lists hold, ANDed and counted."""
+    n, flat = len(items), items.flatten().to_numpy()
+    owner = np.repeat(np.arange(n), np.diff(items.offsets.to_numpy()))
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    owner, place = owner[shared[place]], column[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((n, n), np.int64)
+    for lo in range(0, int(shared.sum()), columns):
+        part = slice(*np.searchsorted(place, [lo, lo + columns]))
+        bits = np.zeros((n, columns), bool)
+        bits[owner[part], place[part] - lo] = True
+        words = np.packbits(bits, axis=1).view(U)
+        for i in range(n - 1):
+            both[i, i + 1 :] += np.bitwise_count(words[i + 1 :] & words[i]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def crossing_links(rows: DataFrame) -> DataFrame:
+    """A forest (a, b, similarity) of the links between different components in (bucket, block_a, block_b, key, comp, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, GROUP):
+            if len(group) < 2:
+                continue
+            keys, comp, items = group["key"].to_numpy(), group["comp"].to_numpy(), group["items"].combine_chunks()
+            both, size = common(items), np.diff(items.offsets.to_numpy())
+            alike = both / (size[:, None] + size[None] - both)
+            found = np.argwhere((alike >= SIMILARITY) & (comp[:, None] != comp[None]))
+            root = {int(c): int(c) for c in comp}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            out = []
+            for i, j in found.tolist():
+                x, y = top(int(comp[i])), top(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(int(keys[i]), int(keys[j])), max(int(keys[i]), int(keys[j])), float(alike[i, j])))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.select(*GROUP, "key", "comp", "items").mapInArrow(run, "a long, b long, similarity double").distinct()
 
 
 def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -229,7 +290,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, links).  classes: one row per row of ``docs``: id, rep_id (smallest id with the same words), class_id
-    (smallest id connected by links or equal words).  links: verified pairs (a, b, similarity) of rep_ids."""
+    (smallest id connected by links or equal words).  links: verified pairs (a, b, similarity) of rep_ids that connect
+    the classes; not every pair within a class."""
     rows = stage_table(sketch(docs, id_col, text_col), "sketches")
     named = rows.where("key IS NOT NULL")
     reps = stage_table(named.groupBy("key").agg(F.min("id").alias("rep_id")), "representatives")
@@ -238,7 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stage_table(in_blocks(members, sizes), "buckets")
     shown = own.select("key", "sig", "size")
-    pairs = stage_table(bucket_pairs(buckets.join(shown, "key").withColumn("comp", F.col("key")), across=False), "pairs")
+    pairs = stage_table(forest_pairs(buckets.join(shown, "key")), "pairs")
     # A forest reaches every text that may be in a link, so step 4 needs no other texts.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key").select(F.col("rep_id").alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -248,9 +310,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = first.where(F.col("similarity") >= SIMILARITY)
     comp = stage_table(components(links.select("a", "b")), "components").select(F.col("id").alias("key"), F.col("component").alias("comp"))
     joined = buckets.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")).join(shown, "key")
-    rest = bucket_pairs(joined, across=True).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = stage_table(verified(stage_table(rest, "pairs"), sets), "verified")
-    links = links.unionByName(second.where(F.col("similarity") >= SIMILARITY))
+    rest = crossing_links(stage_table(crossing(joined), "crossing").join(sets, "key"))
+    links = links.unionByName(stage_table(rest, "crossing-links"))
     comp = components(links.select("a", "b")).withColumnRenamed("id", "key")
     comp = reps.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = comp.groupBy("component").agg(F.min("rep_id").alias("class_id"))
