@@ -126,7 +126,10 @@ def threshold(scored: DataFrame) -> DataFrame:
     errors = h.where((F.col("y") > 0) & (F.col("n") > 0)).selectExpr(
         "transform(h, x -> struct(aggregate(h, 0D, (a, z) -> a + if(z.step < x.step, z.yes / y, z.no / n)) AS err, x.step AS step)) AS e"
     )
-    return errors.select((F.expr("array_min(transform(e, x -> struct(round(x.err, 9) AS err, x.step AS step))).step") / STEPS).alias("cut"))
+    best = errors.select("e", F.expr("array_min(transform(e, x -> struct(round(x.err, 9) AS err, x.step AS step))).step").alias("best"))
+    # Between that step and the next one below it that has URLs.
+    below = F.expr("coalesce(array_max(transform(filter(e, x -> x.step < best), x -> x.step)) + 1, best)")
+    return best.select(((F.col("best") + below) / 2 / STEPS).alias("cut"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
