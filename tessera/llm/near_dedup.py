@@ -8,7 +8,7 @@
 2. Texts with equal word sequences are one class; the rest works on one representative of each.
 3. Bands of registers make buckets; in a bucket, the registers give an estimate for each pair, and the pairs of a
    maximum spanning forest of the pairs that may reach the threshold are verified: multisets are compared exactly.
-4. Components of the verified links are formed.  Texts of a bucket that may reach the threshold with a text of another
+4. The verified links are drawn together towards their components.  Texts of a bucket that may reach the threshold with a text of another
    component get their multisets in that bucket's task, where all such pairs are compared exactly; only a forest of the
    links found leaves the task.  So no pair that may link two components goes untested, and no list of pairs is made.
 Large buckets are split into blocks, every two of which meet in one task.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, contracted
 from .shared import bounded_batches, slices, sorted_groups, stage_table
 from .shingles import U, mix, shingles
 
@@ -308,11 +308,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = stage_table(multisets(found), "multisets").dropDuplicates(["key"])
     first = stage_table(verified(pairs, sets), "verified")
     links = first.where(F.col("similarity") >= SIMILARITY)
-    comp = stage_table(components(links.select("a", "b")), "components").select(F.col("id").alias("key"), F.col("component").alias("comp"))
+    # Two rounds leave some components in parts, which only means that step 4 compares a little more.
+    stars = contracted(links.select("a", "b"), rounds=2)
+    comp = stage_table(stars.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("comp")), "parts")
     joined = buckets.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")).join(shown, "key")
     rest = crossing_links(stage_table(crossing(joined), "crossing").join(sets, "key"))
-    links = links.unionByName(stage_table(rest, "crossing-links"))
-    comp = components(links.select("a", "b")).withColumnRenamed("id", "key")
+    rest = stage_table(rest, "crossing-links")
+    links = links.unionByName(rest)
+    comp = components(stars.unionByName(rest.select("a", "b"))).withColumnRenamed("id", "key")
     comp = reps.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = comp.groupBy("component").agg(F.min("rep_id").alias("class_id"))
     named = stage_table(comp.join(least, "component").select("key", "rep_id", "class_id"), "classes")
