@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims, decisions, graphs, rollups, texts, vectors
+from . import claims, decisions, graphs, more, rollups, texts, vectors
 
-MODULES = [vectors, graphs, claims, texts, rollups, decisions]
+MODULES = [vectors, graphs, claims, texts, rollups, decisions, more]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
