@@ -235,11 +235,11 @@ def s17_backfill_scan(spark, sf_dir):
     return rows.orderBy(F.desc("n_chars"), "doc_id").limit(200).select("doc_id", "n_chars")
 
 
-@register("SELECT doc_id, coalesce(quality, 1) = 1 AS usable, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 1) = 1")
+@register("SELECT doc_id, coalesce(quality, 1) = 1 AS usable, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 1) = 1")
 def f18_usable_rows(spark, sf_dir):
     rows = t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels"), "doc_id", "left")
     usable = F.coalesce("quality", F.lit(1)) == 1
-    return rows.where(usable).select("doc_id", usable.alias("usable"), "toxic")
+    return rows.where(usable).select("doc_id", usable.alias("usable"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 @register("SELECT doc_id, source, lang FROM documents WHERE source = 'src0' AND lang IN ('en', 'de')")

@@ -18,7 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def plain(v) -> str:
     if isinstance(v, (list, np.ndarray)):
         return "[" + ",".join(map(plain, v)) + "]"
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
