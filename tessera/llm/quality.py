@@ -2,7 +2,7 @@
 
 A text's bytes are cut into overlapping chunks that cover all of it.  In a chunk, learned filters over eight embedded
 bytes are taken every four bytes and max-pooled; the pooled values are averaged over the chunks and go through a hidden
-layer into one probability.  Scoring reads every byte; only training uses a sample: at most ``MAX_TRAIN`` labelled
+layer, with the logarithm of the mean number of places in a chunk, into one probability.  Scoring reads every byte; only training uses a sample: at most ``MAX_TRAIN`` labelled
 documents (the first ones by a hash of their id), ``TRAIN_CHUNKS`` chunks of each, drawn by hash in the tasks.
 
 Defined results: a null or empty text is one chunk of padding, and has that chunk's score.  Without any labelled
@@ -28,7 +28,9 @@ STRIDE = 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: Bounds of the training sample.
 MAX_TRAIN, TRAIN_CHUNKS = 8000, 6
-TRAIN_STEPS, BATCH, RATE, DECAY = 700, 96, 4e-3, 1e-4
+TRAIN_STEPS, BATCH, RATE, DECAY = 600, 96, 4e-3, 1e-3
+#: Share of a batch's documents of which only a short piece is shown, of SHORT places at most.
+CROP, SHORT = 0.3, 24
 ACCEPT = 0.7
 
 Weights = dict[str, np.ndarray]
@@ -55,7 +57,7 @@ def new_weights(seed: int = 7) -> Weights:
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     return {
         "embed": normal(256, EMBED, scale=0.5), "left": normal(f, FILTERS, scale=f**-0.5), "right": normal(f, FILTERS, scale=f**-0.5),
-        "bias": np.zeros(FILTERS, np.float32), "w1": normal(FILTERS, HIDDEN, scale=FILTERS**-0.5), "b1": np.zeros(HIDDEN, np.float32),
+        "bias": np.zeros(FILTERS, np.float32), "w1": normal(FILTERS + 1, HIDDEN, scale=FILTERS**-0.5), "b1": np.zeros(HIDDEN, np.float32),
         "w2": normal(HIDDEN, scale=HIDDEN**-0.5), "b2": np.zeros(1, np.float32),
     }
 
@@ -73,7 +75,9 @@ def pooled(w: Weights, data: np.ndarray, places: np.ndarray, train: bool = False
     return np.maximum(top, 0), best, x
 
 
-def head(w: Weights, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def head(w: Weights, mean: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden layer, probability) from the mean of the pooled filters and the mean number of places."""
+    mean = np.hstack([mean, np.log2(places)[:, None] / 7]).astype(np.float32)
     h = np.maximum(mean @ w["w1"] + w["b1"], 0)
     return h, 1 / (1 + np.exp(-np.clip(h @ w["w2"] + w["b2"], -30, 30)))
 
@@ -96,19 +100,30 @@ def fit(texts: list[list[bytes]], labels: np.ndarray) -> Weights:
     for t in range(1, TRAIN_STEPS + 1):
         pick = rng.integers(0, len(texts), BATCH)
         rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in pick])
-        owner, n = np.repeat(np.arange(BATCH), counts[pick]), counts[pick][:, None].astype(np.float32)
+        owner = np.repeat(np.arange(BATCH), counts[pick])
         d = data[rows]
-        p, best, x = pooled(w, d, places[rows], train=True)
+        seen = places[rows]
+        # Short pieces of longer documents teach that a short document isn't a poor one.
+        cropped = np.flatnonzero(rng.random(BATCH) < CROP)
+        one = np.cumsum(counts[pick])[cropped] - rng.integers(1, counts[pick][cropped] + 1)
+        alone = np.ones(len(rows), bool)
+        alone[np.isin(owner, cropped)] = False
+        alone[one] = True
+        seen[one] = np.minimum(seen[one], rng.integers(1, SHORT + 1, len(one)))
+        d, owner, seen = d[alone], owner[alone], seen[alone]
+        n = np.bincount(owner, minlength=BATCH)[:, None].astype(np.float32)
+        p, best, x = pooled(w, d, seen, train=True)
         mean = np.zeros((BATCH, FILTERS), np.float32)
         np.add.at(mean, owner, p)
         mean /= n
-        h, y = head(w, mean)
+        h, y = head(w, mean, np.bincount(owner, seen, BATCH) / n[:, 0])
         g: Weights = {}
         dy = ((y - labels[pick]) / BATCH).astype(np.float32)
         g["w2"], g["b2"] = h.T @ dy, np.array([dy.sum()], np.float32)
         dh = np.outer(dy, w["w2"]) * (h > 0)
-        g["w1"], g["b1"] = mean.T @ dh, dh.sum(axis=0)
-        dp = ((dh @ w["w1"].T) / n)[owner] * (p > 0)
+        full = np.hstack([mean, (np.log2(np.bincount(owner, seen, BATCH) / n[:, 0])[:, None] / 7).astype(np.float32)])
+        g["w1"], g["b1"] = full.T @ dh, dh.sum(axis=0)
+        dp = ((dh @ w["w1"][:FILTERS].T) / n)[owner] * (p > 0)
         g["bias"] = dp.sum(axis=0)
         # Only the place of each maximum gets a gradient.
         at = (np.arange(len(d)) * (CHUNK // STRIDE))[:, None] + best
@@ -156,7 +171,7 @@ def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
     for lo in range(0, len(data), 1000):
         p, _, _ = pooled(w, data[lo : lo + 1000], places[lo : lo + 1000])
         np.add.at(sums, owner[lo : lo + 1000], p)
-    return head(w, (sums / counts[:, None]).astype(np.float32))[1].astype(np.float64)
+    return head(w, (sums / counts[:, None]).astype(np.float32), np.bincount(owner, places, len(texts)) / counts)[1].astype(np.float64)
 
 
 def score(docs: DataFrame, w: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
