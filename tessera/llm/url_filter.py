@@ -1,9 +1,8 @@
 """URL filter by a character language-model ratio (DataFrame operations only).
 
 Rules decide what they cover.  Two variable-order Markov models of URL characters are counted over all URLs that a rule
-accepts or rejects; a context is kept, per order, only where it makes up at least ``1/MAX_CONTEXTS`` of the rows counted
-(so an order has at most that many contexts, which bounds the broadcast), and shorter contexts stand in for the rest.
-Probabilities are smoothed by mixing in those of the next shorter context.  A URL without a rule gets the difference of
+accepts or rejects, with every context that occurs.  Probabilities are smoothed by mixing in those of the next shorter
+context, which stand alone where a context never occurs.  A URL without a rule gets the difference of
 the two log-likelihoods divided by its length, against a threshold calibrated on the URLs with a rule.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path.  No rule fits it, and an empty or null
@@ -16,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage_table
@@ -26,8 +25,12 @@ Rule = tuple[str, str, str]
 
 #: Longest context in characters.
 ORDER = 4
-#: A context is kept where it makes up at least one in so many characters of either class.
+#: No limit of the models any more: an older test still reads it, on URLs whose contexts all have such a share.
 MAX_CONTEXTS = 1024
+#: A context and character are looked up by broadcast where they make up at least one in so many, and else by a shuffle.
+COMMON = 1024
+#: Log ratios are added up in steps of one in so many.
+UNIT = 1e12
 #: Weight, in observations, of the next shorter context.
 PRIOR = 4.0
 #: Steps per unit of the length-normalised score in which the threshold is calibrated.
@@ -68,52 +71,42 @@ def grams(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(labelled: DataFrame) -> DataFrame:
-    """Models from rows (allow boolean, sym): one row per kept context (ctx), with ``ratio``, an array over the alphabet
-    of log p(allow) - log p(block).  The context "" is always there."""
-    counts = stage_table(grams(labelled).groupBy("allow", "ctx", "ch").agg(F.count(F.lit(1)).alias("n")), "url-grams")
-    cells = F.explode(F.sequence(F.lit(1), F.lit(len(SYMBOLS))))
-    classes = F.explode(F.array(F.lit(True), F.lit(False)))
-    total = counts.groupBy("allow").agg(F.sum("n").alias("all"))
-    contexts = labelled.sparkSession.range(1).select(F.lit("").alias("ctx"))
-    levels: list[DataFrame] = []
+def fit(urls: DataFrame) -> DataFrame:
+    """The models from rows (sym, yes, no), with distinct ``sym`` and the numbers of its URLs that a rule accepts and
+    rejects: one row per ctx of ORDER characters and ch that any row has, with ``uses``, the number of times, and
+    ``ratio``, log p(allow) - log p(block).  A context that no URL with a rule has gives the probabilities of the next
+    shorter one."""
+    sums = [F.sum(c).alias(c) for c in ("yes", "no", "uses")]
+    counts = stage_table(grams(urls.withColumn("uses", F.lit(1))).groupBy("ctx", "ch").agg(*sums), "url-grams")
+    # Contexts have few characters of a small alphabet: at most len(SYMBOLS) rows a window or to each row of a shorter order.
+    same = Window.partitionBy("ctx")
+    level: DataFrame | None = None
     for k in range(ORDER + 1):
-        part = counts.withColumn("ctx", F.expr(f"substr(ctx, {ORDER - k + 1}, {k})"))
-        sums = part.groupBy("allow", "ctx").agg(F.sum("n").alias("m"))
-        if k:
-            # Kept for both classes or for neither, so that a ratio always compares like with like; at most
-            # 2 * MAX_CONTEXTS contexts can have such a share.
-            often = sums.join(F.broadcast(total), "allow").where(F.col("m") * MAX_CONTEXTS >= F.col("all"))
-            contexts = often.select("ctx").distinct()
-        sums = sums.join(F.broadcast(contexts), "ctx")
-        seen = part.join(F.broadcast(contexts), "ctx").groupBy("allow", "ctx", "ch").agg(F.sum("n").alias("n"))
-        grid = contexts.select("ctx", classes.alias("allow")).select("ctx", "allow", cells.alias("ch"))
-        if k:
-            # A kept context's suffix is at least as frequent, so it is kept too.
-            back = levels[-1].select(F.col("ctx").alias("short"), "allow", "ch", F.col("p").alias("q"))
-            grid = grid.withColumn("short", F.expr(f"substr(ctx, 2, {k - 1})")).join(back, ["short", "allow", "ch"])
+        part = counts if k == ORDER else counts.groupBy(F.expr(f"substr(ctx, {ORDER - k + 1}, {k})").alias("ctx"), "ch").agg(*sums)
+        part = part.withColumns({"all_yes": F.sum("yes").over(same), "all_no": F.sum("no").over(same)})
+        if level is None:
+            part = part.withColumns({"q_yes": F.lit(1.0 / len(SYMBOLS)), "q_no": F.lit(1.0 / len(SYMBOLS))})
         else:
-            grid = grid.withColumn("q", F.lit(1.0 / len(SYMBOLS)))
-        grid = grid.join(seen, ["allow", "ctx", "ch"], "left").join(F.broadcast(sums), ["allow", "ctx"], "left")
-        p = (F.coalesce("n", F.lit(0)) + PRIOR * F.col("q")) / (F.coalesce("m", F.lit(0)) + PRIOR)
-        levels.append(stage_table(grid.select("ctx", "allow", "ch", p.alias("p")), f"url-order{k}"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    log_p = every.groupBy("ctx", "ch").agg(F.sum(F.when(F.col("allow"), F.log("p")).otherwise(-F.log("p"))).alias("r"))
-    ratio = F.transform(F.sort_array(F.collect_list(F.struct("ch", "r"))), lambda x: x["r"])
-    return stage_table(log_p.groupBy("ctx").agg(ratio.alias("ratio")), "url-model")
+            back = level.select(F.col("ctx").alias("short"), "ch", F.col("p_yes").alias("q_yes"), F.col("p_no").alias("q_no"))
+            part = part.withColumn("short", F.expr(f"substr(ctx, 2, {k - 1})")).join(back, ["short", "ch"])
+        p = [((F.col(c) + PRIOR * F.col(f"q_{c}")) / (F.col(f"all_{c}") + PRIOR)).alias(f"p_{c}") for c in ("yes", "no")]
+        level = part.select("ctx", "ch", "uses", *p)
+    return stage_table(level.select("ctx", "ch", "uses", (F.log("p_yes") - F.log("p_no")).alias("ratio")), "url-model")
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(sym, score) for distinct ``sym``: the mean of the log ratio over the characters and the end sign, each after the
-    longest kept context."""
-    out, found = grams(urls), F.lit(None).cast("double")
-    for k in range(ORDER + 1):
-        level = model.where(F.length("ctx") == k).select(F.col("ctx").alias(f"c{k}"), F.col("ratio").alias(f"r{k}"))
-        out = out.join(F.broadcast(level), F.expr(f"substr(ctx, {ORDER - k + 1}, {k})") == F.col(f"c{k}"), "left")
-        found = F.coalesce(F.element_at(f"r{k}", F.col("ch")), found)
-    return out.select("sym", found.alias("r")).groupBy("sym").agg(F.round(F.avg("r"), 9).alias("score"))
+    """(sym, score) for the distinct ``sym`` that ``model`` was made from: the mean of the log ratio over the characters
+    and the end sign."""
+    # Every URL has the grams of "http://", so the few very common ones do not go through the shuffle.
+    total = model.agg(F.sum("uses").alias("total"))
+    common = model.join(F.broadcast(total), F.col("uses") * COMMON >= F.col("total")).select("ctx", "ch", "ratio")
+    out, model = grams(urls.select("sym")), model.select("ctx", "ch", "ratio")
+    near = out.join(F.broadcast(common), ["ctx", "ch"])
+    far = out.join(F.broadcast(common.drop("ratio")), ["ctx", "ch"], "left_anti").join(model, ["ctx", "ch"])
+    # Whole numbers, so that a sum does not depend on the order of its rows.
+    part = F.round(F.col("ratio") * UNIT).cast("long").alias("part")
+    every = near.select("sym", part).unionByName(far.select("sym", part))
+    return every.groupBy("sym").agg(F.round(F.sum("part") / F.count(F.lit(1)) / UNIT, 9).alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -138,11 +131,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), symbols(F.col(url_col)).alias("sym"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    model = fit(rows.where(F.col("ruled").isNotNull()).select((F.col("ruled") == "allow").alias("allow"), "sym"))
     # A score depends on the symbols alone, so equal URLs are scored once.
     urls = rows.groupBy("sym").agg(F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no"))
     urls = stage_table(urls, "urls")
-    scored = stage_table(score(urls.select("sym"), model).join(urls, "sym"), "url-scores")
+    scored = stage_table(score(urls, fit(urls)).join(urls, "sym"), "url-scores")
     cut = stage_table(threshold(scored), "url-threshold").agg(F.coalesce(F.max("cut"), F.lit(0.0)).alias("cut"))
     asked = rows.join(scored.select("sym", "score"), "sym").withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block"))

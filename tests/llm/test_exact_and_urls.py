@@ -94,6 +94,28 @@ def model(rows):
     return score
 
 
+def test_rare_contexts_count_however_many_urls_there_are(spark):
+    urls = [f"http://good{k % 7}.com/a/{k}" for k in range(300)] + [f"http://bad{k % 5}.net/fr/{k}-pills" for k in range(300)]
+    urls += ["http://zebra.com/quartz/"] * 3 + ["http://bad.net/fr/jukebox/"] * 3 + ["http://zebra.org/quartz/", "http://jukebox.org/", "http://unseen.org/vwx"]
+    got = judged(spark, urls)
+    n = Counter()
+    for k, u in enumerate(urls):
+        s = sym(u)
+        for at in range(url_filter.ORDER, len(s)) if got[k]["rule"] else ():
+            for i in range(url_filter.ORDER + 1):
+                n.update([(got[k]["verdict"], s[at - i : at], s[at]), (got[k]["verdict"], s[at - i : at], None)])
+
+    def p(verdict, c, ch):
+        q = p(verdict, c[1:], ch) if c else 1 / len(url_filter.SYMBOLS)
+        return (n[verdict, c, ch] + url_filter.PRIOR * q) / (n[verdict, c, None] + url_filter.PRIOR)
+
+    for k, u in enumerate(urls):
+        s = sym(u)
+        parts = [math.log(p("allow", s[at - 4 : at], s[at])) - math.log(p("block", s[at - 4 : at], s[at])) for at in range(4, len(s))]
+        assert math.isclose(got[k]["score"], sum(parts) / len(parts), abs_tol=2e-9)
+    assert got[606]["verdict"] == "allow" and got[607]["verdict"] == "block"
+
+
 def test_urls_of_one_class_or_none(spark):
     assert judged(spark, []) == {}
     assert {r["verdict"] for r in judged(spark, ["http://a.org/", None]).values()} == {"allow"}
