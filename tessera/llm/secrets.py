@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
-A run of 20 or more characters of the usual encodings that mixes letters and digits is random where a general vocabulary
-needs many tokens for it: ``MAX_RATIO`` characters a token or fewer.  Not tested are known digests (hexadecimal strings
-of the length of a common hash), UUIDs, numbers, and identifiers whose parts between signs are words or numbers.
+A run of 20 or more characters of the usual encodings is random where a general vocabulary needs many tokens for it:
+``MAX_RATIO`` characters a token or fewer.  Where a whole run is not, its parts between signs are judged: words, for which
+the vocabulary has long tokens, and known digests divide it, and what lies between them is judged again.  Letters without
+digits, and words with numbers, are judged by their letters alone.  Not tested are known digests (hexadecimal strings of
+the length of a common hash), UUIDs and numbers.
 
 Defined results: a null or empty text has no spans.  Offsets are code points, the end exclusive; spans are ordered by
 start and then by kind, and spans of different kinds may overlap.  Repeated rows are scanned each.  An empty table gives
@@ -35,7 +37,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Stretches in which an access, hex or random span can lie.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
-UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
+UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])", re.I)
+#: A part of a run: a UUID, or characters between signs.
+PART = re.compile(rf"(?<![A-Za-z0-9])(?i:{UUID.pattern})|[A-Za-z0-9]+")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*\Z")
 
 
@@ -48,14 +52,53 @@ def encoder(path: str, pattern: str):  # noqa: ANN201  (tiktoken's own class)
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_known(run: str) -> bool:
+    return bool(DIGEST.match(run) or UUID.fullmatch(run))
+
+
 def is_random(run: str, encode) -> bool:  # noqa: ANN001
-    if run.isalpha() or run.isdigit() or DIGEST.match(run) or UUID.match(run) or WORDS.match(run):
-        return False
-    if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+    if is_known(run) or not re.search("[A-Za-z]", run):
         return False
+    if WORDS.match(run) or not re.search("[0-9]", run):
+        # Numbers, signs and words of one token say nothing; other letters must be half of the run.
+        tokens = {m.start(): len(encode(m[0])) for m in re.finditer("[A-Za-z]+", run)}
+        letters = sum(len(m[0]) for m in re.finditer("[A-Za-z]+", run) if tokens[m.start()] > 1)
+        return 2 * letters >= len(run) and letters <= MAX_RATIO * sum(n for n in tokens.values() if n > 1)
     return len(run) <= MAX_RATIO * len(encode(run))
 
 
+def random_strings(text: str, lo: int, hi: int, encode) -> Iterator[tuple[int, int]]:  # noqa: ANN001
+    """(start, end) of the random strings in the run ``text[lo:hi]``."""
+    parts = [m.span() for m in PART.finditer(text, lo, hi)]
+    # Padding and joining signs at the ends are not part of a random string.
+    if not parts or parts[-1][1] - parts[0][0] < 20:
+        return
+    if is_random(text[parts[0][0] : parts[-1][1]], encode):
+        yield parts[0][0], parts[-1][1]
+        return
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for a, b in parts:
+        if is_known(text[a:b]) or b - a > MAX_RATIO * len(encode(text[a:b])):
+            stretches.append([])
+        else:
+            stretches[-1].append((a, b))
+    for held in stretches:
+        i, j = 0, len(held)
+        # Dates and counters at the ends do not count, nor do signs of one or two characters where the rest is long enough.
+        while i < j and text[slice(*held[i])].isdigit():
+            i += 1
+        while i < j and text[slice(*held[j - 1])].isdigit():
+            j -= 1
+        while j - i > 1 and held[i][1] - held[i][0] <= 2 and held[j - 1][1] - held[i + 1][0] >= 20:
+            i += 1
+        while j - i > 1 and held[j - 1][1] - held[j - 1][0] <= 2 and held[j - 2][1] - held[i][0] >= 20:
+            j -= 1
+        if i < j and held[j - 1][1] - held[i][0] >= 20 and is_random(text[held[i][0] : held[j - 1][1]], encode):
+            yield held[i][0], held[j - 1][1]
+        else:
+            yield from ((a, b) for a, b in held[i:j] if b - a >= 20 and is_random(text[a:b], encode))
+
+
 def spans(text: str | None, encode) -> list[tuple[str, int, int]]:  # noqa: ANN001
     """(kind, start, end) of every span of a text."""
     text = text or ""
@@ -66,11 +109,7 @@ def spans(text: str | None, encode) -> list[tuple[str, int, int]]:  # noqa: ANN0
         lo, hi = run.span()
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, lo, hi)]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text, lo, hi)]
-        # Padding and joining signs at the ends are not part of a random string.
-        a = lo + len(run[0]) - len(run[0].lstrip("+/_=-"))
-        b = hi - (len(run[0]) - len(run[0].rstrip("+/_=-")))
-        if b - a >= 20 and is_random(text[a:b], encode):
-            found.append((a, 3, b))
+        found += [(a, 3, b) for a, b in random_strings(text, lo, hi, encode)]
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 

@@ -79,6 +79,30 @@ def test_random_strings_and_known_digests():
         assert not secrets.is_random(known, encode)
 
 
+def test_random_strings_behind_words_and_without_digits():
+    encode = secrets.encoder(*queries.secret_vocabulary()).encode_ordinary
+    found = lambda text: [(a, b) for kind, a, b in secrets.spans(text, encode) if kind == "random"]
+    rng = np.random.default_rng(7)
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for path in ("", "documentation/reference/configuration/", "static/assets/images/products/", "user_profile-id="):
+        for signs, n in ((letters + letters.upper() + "0123456789", 20), (letters + letters.upper() + "0123456789", 32), (letters + letters.upper(), 24), (letters, 32)):
+            for _ in range(50):
+                key = draw(signs, n)
+                text = f"see {path}{key} there"
+                at = text.index(key)
+                assert any(a <= at and b >= at + n for a, b in found(text)), text
+                assert key not in secrets.masked(text, encode)
+    key = "x9Kq2Zt7Lw4Vb8R/n3Yp6Mf1Qs5"
+    words = "documentation/reference/configuration/"
+    assert found(words * 2 + key + "/" + words) == [(2 * len(words), 2 * len(words) + len(key))]
+    sha = hashlib.sha256(b"x").hexdigest()
+    long = (words, "internationalization", "Rechtsschutzversicherungsgesellschaften", "getElementsByTagNameAndClass")
+    known = (words * 4 + sha, words * 2 + "123e4567-e89b-12d3-a456-426614174000", "static/assets/images/2024/01/02/12345678", "is_it_to_be_or_is_it_not_to_be_so")
+    for text in (*long, *known, "a" * 5000):
+        assert found(text) == [], text
+
+
 def test_pieces_round_trip_and_are_optimal(spark):
     path = queries.tokenizer("piece_bpe_32k.model")
     model = pieces.Pieces(path, limit=3)
