@@ -61,9 +61,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = transcripts.raw_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
-    # Roles are read for the counts of one half of the transcripts; the parser sees lines alone.
-    known = raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0)
-    model = transcripts.fit(transcripts.lines_of(known, "conv_id", "turn", "text", "role"))
+    # Roles are read for the counts, which are over all transcripts; the parser sees lines alone.
+    model = transcripts.fit(transcripts.lines_of(raw, "conv_id", "turn", "text", "role"))
     lines = transcripts.lines_of(raw, "conv_id", "turn", "text")
     return transcripts.rendered(transcripts.parse(lines, model)).withColumnRenamed("conv", "conv_id")
 

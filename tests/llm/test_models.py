@@ -211,6 +211,23 @@ def test_roles_are_recovered_from_held_out_transcripts(spark):
     assert out.count() == truth.count() and share >= 0.9
 
 
+def test_counts_are_over_all_transcripts(spark, monkeypatch):
+    sf, fit, seen = "/root/testdata/sf0.001", transcripts.fit, []
+    monkeypatch.setattr(transcripts, "fit", lambda lines: seen.append(lines.select("conv").distinct().count()) or fit(lines))
+    queries.op6_hmm_transcripts(spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()]
+
+
+def test_roles_are_recovered_without_their_counts(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    raw = transcripts.raw_turns(turns, "conv_id", "turn", "role", "text")
+    half = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2
+    model = transcripts.fit(transcripts.lines_of(raw.where(half == 0), "conv_id", "turn", "text", "role"))
+    found = transcripts.rendered(transcripts.parse(transcripts.lines_of(raw.where(half == 1), "conv_id", "turn", "text"), model))
+    rows = found.withColumnRenamed("conv", "conv_id").withColumnRenamed("role", "found").join(turns, ["conv_id", "turn"])
+    assert rows.agg(F.avg((F.col("found") == F.col("role")).cast("double"))).first()[0] >= 0.9
+
+
 def test_odd_turns(spark):
     turns = spark.createDataFrame([(None, None, None, 1), (1, 0, "User: a\n\nb", 1), (1, 0, "User: a\n\nb", 1), (1, -70, "[bot] hi", 1)], "conv_id long, turn long, text string, obs int")
     n = len(transcripts.STATES)
