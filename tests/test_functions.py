@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, scoring, texts, vectors
-from tessera.operators import claims, duplicates, graph, queues, retrieval
+from tessera.operators import claims, duplicates, graph, queues, retrieval, rules
 from tessera.sources import html
 
 
@@ -113,3 +113,12 @@ def test_html_text_and_encodings():
     assert title == "T" and text == "one two\na | b"
     assert html.text_of(None) == ("", "")
     assert html.decoded("中文".encode("gb18030"))[0] == "中文" and html.decoded(b"")[0] == ""
+
+
+def test_mentions_of_names_of_any_length(spark):
+    held = ["ab", "xabx", "a red widget", "", None, "é", "redwid"]
+    names = ["ab", "b", "red widget", "red", "é", "", "wid", "zz"]
+    t = spark.createDataFrame(list(enumerate(held)), "k long, text string")
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, id long")
+    got = sorted((r["k"], r["name"], r["id"]) for r in rules.mentions(t, n, "k", "text").collect())
+    assert got == sorted((k, x, i) for k, text in enumerate(held) for i, x in enumerate(names) if text and x and x in text)
