@@ -12,7 +12,7 @@ and are all flagged alike.  An empty table gives an empty result.  Other columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,10 +22,14 @@ from .shared import stage_table
 SUPPORT = 1 / 1024
 
 
+def plain_digest(text_col: str) -> Column:
+    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return F.sha2(plain, 256)
+
+
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest): lower-case hex SHA-256 of the text in which every run of white space is one space."""
-    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(plain, 256).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), plain_digest(text_col).alias("digest"))
 
 
 def heavy_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -52,7 +56,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Rows without an id stay: nothing can name them."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone_id"))
-    gone = stage_table(gone, "copies").hint("shuffle_hash")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    """One row of each text, with the smallest id and all its columns; of rows that repeat an id and its text, the first
+    by text.  Rows without an id stay: nothing can name them."""
+    pairs = exact_groups(docs, id_col, text_col).where("id IS NOT NULL").groupBy("id", "digest", "kept").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
+    pairs = stage_table(pairs, "copies")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": plain_digest(text_col)})
+    out = keyed.join(pairs.drop("_kept").hint("shuffle_hash"), ["_id", "_digest"], "left_anti").select(*docs.columns)
+    repeated = pairs.where("_kept").drop("_kept")
+    if repeated.isEmpty():
+        return out
+    number = F.row_number().over(W.partitionBy("_id", "_digest").orderBy(text_col))
+    first = keyed.join(repeated, ["_id", "_digest"], "left_semi").withColumn("_n", number).where("_n = 1")
+    return out.unionByName(first.select(*docs.columns))

@@ -29,7 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components, contracted
 from .shared import bounded_batches, slices, sorted_groups, stage_table
@@ -110,6 +112,22 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, key long, size long, bands array<long>, sig binary")
 
 
+def with_keys(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the key of each text as ``_key``."""
+    bounded_batches(docs.sparkSession)
+    at, names = docs.columns.index(text_col), [*docs.columns, "_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch.columns[at].to_pylist(), [pa.array([], pa.int64())]
+            for lo, hi in slices(texts, 4_000_000):
+                doc, _, count, key = shingles(texts[lo:hi], SHINGLE)
+                keys.append(pa.array(key.view(np.int64), mask=np.bincount(doc, weights=count, minlength=hi - lo) == 0))
+            yield pa.record_batch([*batch.columns, pa.concat_arrays(keys)], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+
+
 def multisets(docs: DataFrame) -> DataFrame:
     """(key, items) for texts: one number per shingle and occurrence, so that set overlap is multiset overlap."""
     bounded_batches(docs.sparkSession)
@@ -290,7 +308,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, links).  classes: one row per row of ``docs``: id, rep_id (smallest id with the same words), class_id
-    (smallest id connected by links or equal words).  links: verified pairs (a, b, similarity) of rep_ids that connect
+    (smallest id connected by links or equal words).  links: as in ``keyed_groups``."""
+    classes, links = keyed_groups(docs, id_col, text_col)
+    return classes.select("id", "rep_id", "class_id"), links
+
+
+def keyed_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, links).  classes: as in ``near_groups``, with key and class_key (the smallest key that class_id has in the
+    class).  links: verified pairs (a, b, similarity) of rep_ids that connect
     the classes; not every pair within a class."""
     rows = stage_table(sketch(docs, id_col, text_col), "sketches")
     named = rows.where("key IS NOT NULL")
@@ -317,17 +342,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = links.unionByName(rest)
     comp = components(stars.unionByName(rest.select("a", "b"))).withColumnRenamed("id", "key")
     comp = reps.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = comp.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    named = stage_table(comp.join(least, "component").select("key", "rep_id", "class_id"), "classes")
+    first = F.min(F.when(F.col("rep_id").isNotNull(), F.struct("rep_id", "key"))).alias("first")
+    least = comp.groupBy("component").agg(first).select("component", F.col("first.rep_id").alias("class_id"), F.col("first.key").alias("class_key"))
+    named = stage_table(comp.join(least, "component").select("key", "rep_id", "class_id", "class_key"), "classes")
     classes = rows.select("id", "key").join(named, "key", "left")
-    classes = classes.select("id", F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"))
+    classes = classes.select("id", "key", F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"), "class_key")
     one, two = (reps.select(F.col("key").alias(c), F.col("rep_id").alias(f"id_{c}")) for c in "ab")
     ids = links.join(one, "a").join(two, "b")
     return classes, ids.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the smallest id, with all its columns.  Rows without an id stay."""
-    classes, _ = near_groups(docs, id_col, text_col)
-    gone = stage_table(classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone_id")).distinct(), "near-copies")
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    """One row of each class, that with the smallest id, with all its columns; where the class repeats that id, that with
+    the smallest key and then text.  Rows without an id or without words stay."""
+    classes, _ = keyed_groups(docs, id_col, text_col)
+    rows = stage_table(classes.where("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "class_id", "class_key"), "named-classes")
+    gone = rows.where("_id <> class_id OR _key <> class_key").select("_id", "_key").distinct()
+    gone = stage_table(gone, "near-copies")
+    repeated = stage_table(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated-ids")
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    if repeated.isEmpty():
+        return keyed.join(gone.select("_id").hint("shuffle_hash"), "_id", "left_anti").select(*docs.columns)
+    # An id alone names no row where it is repeated, so the texts of such rows are read for their keys.
+    some = gone.select("_id").unionByName(repeated).distinct()
+    out = keyed.join(some.hint("shuffle_hash"), "_id", "left_anti").select(*docs.columns)
+    again = with_keys(keyed.join(repeated, "_id", "left_semi").select(*docs.columns, "_id"), text_col).join(gone, ["_id", "_key"], "left_anti")
+    number = F.row_number().over(W.partitionBy("_id", "_key").orderBy(text_col))
+    first = again.where("_key IS NOT NULL").withColumn("_n", number).where("_n = 1")
+    return out.unionByName(first.select(*docs.columns)).unionByName(again.where("_key IS NULL").select(*docs.columns))

@@ -39,6 +39,11 @@ def test_dropping_copies_keeps_columns_and_empty_tables(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+def test_dropping_copies_names_rows_by_id_and_text(spark):
+    out = exact_dedup.drop_exact_copies(docs(spark, [(3, "a"), (5, "a"), (5, "b"), (7, "c"), (7, "c"), (7, "c "), (8, "c"), (None, "a"), (None, "a")]))
+    assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(map(str, [(3, "a"), (5, "b"), (7, "c"), (7, "c "), (None, "a"), (None, "a")]))
+
+
 PAGES = "page_id long, url string, rule string, score double"
 
 

@@ -70,6 +70,14 @@ def test_near_groups_match_brute_force(spark, monkeypatch, block):
     assert all(r["similarity"] >= 0.8 for r in links.collect())
 
 
+def test_dropping_near_copies_names_rows_by_id_and_text(spark):
+    one, two, three = "a b c d e f g h", "z y x w v u t s", "k l m n o p q r"
+    rows = [(3, one), (5, "A b c d e f g h"), (5, two), (7, three), (7, three), (7, "K l m n o p q r"), (8, three), (None, one), (9, ""), (9, None)]
+    kept = lambda rows: sorted(map(str, (tuple(r) for r in near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert kept(rows) == sorted(map(str, [(3, one), (5, two), (7, "K l m n o p q r"), (None, one), (9, ""), (9, None)]))
+    assert kept([(1, one), (2, one), (4, two)]) == sorted(map(str, [(1, one), (4, two)]))
+
+
 def test_repeated_null_and_missing_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "z y x w v u"), (None, "a b c d e f"), (None, None), (2, "Z y x w v u")]
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
