@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components, contracted
-from .shared import bounded_batches, slices, sorted_groups, stage_table
+from .shared import slices, sorted_groups, stage_table
 from .shingles import U, mix, shingles
 
 REGISTERS, BAND = 100, 5
@@ -94,13 +94,12 @@ def band_keys(sig: np.ndarray, r: int = BAND) -> np.ndarray:
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, size, bands, sig): key stands for the word sequence (null: no words), size is the number of shingles, and
     sig has the low byte of each register."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns[0], batch.columns[1].to_pylist()
-            for lo, hi in slices(texts, 4_000_000):
-                doc, element, count, key = shingles(texts[lo:hi], SHINGLE)
+            ids = batch.columns[0]
+            for lo, hi, texts in slices(batch.columns[1], 4_000_000):
+                doc, element, count, key = shingles(texts, SHINGLE)
                 sig = signatures(doc, element, count, hi - lo)
                 size = np.bincount(doc, weights=count, minlength=hi - lo).astype(np.int64)
                 keys = band_keys(sig)
@@ -114,14 +113,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def with_keys(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with the key of each text as ``_key``."""
-    bounded_batches(docs.sparkSession)
     at, names = docs.columns.index(text_col), [*docs.columns, "_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.columns[at].to_pylist(), [pa.array([], pa.int64())]
-            for lo, hi in slices(texts, 4_000_000):
-                doc, _, count, key = shingles(texts[lo:hi], SHINGLE)
+            keys = [pa.array([], pa.int64())]
+            for lo, hi, texts in slices(batch.columns[at], 4_000_000):
+                doc, _, count, key = shingles(texts, SHINGLE)
                 keys.append(pa.array(key.view(np.int64), mask=np.bincount(doc, weights=count, minlength=hi - lo) == 0))
             yield pa.record_batch([*batch.columns, pa.concat_arrays(keys)], names=names)
 
@@ -130,13 +128,11 @@ def with_keys(docs: DataFrame, text_col: str) -> DataFrame:
 
 def multisets(docs: DataFrame) -> DataFrame:
     """(key, items) for texts: one number per shingle and occurrence, so that set overlap is multiset overlap."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.columns[0].to_pylist()
-            for lo, hi in slices(texts, 4_000_000):
-                doc, element, count, key = shingles(texts[lo:hi], SHINGLE)
+            for lo, hi, texts in slices(batch.columns[0], 4_000_000):
+                doc, element, count, key = shingles(texts, SHINGLE)
                 nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 items = mix(np.repeat(element, count) + nth.astype(U) * U(0xD1342543DE82EF95)).view(np.int64)
                 sizes = np.bincount(np.repeat(doc, count), minlength=hi - lo)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, slices
+from .shared import slices
 
 CHUNK, STEP = 512, 448
 #: Bytes from one place of the filters to the next; a filter spans two such steps.
@@ -154,12 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.orderBy(F.xxhash64("id"), "id", "y").limit(MAX_TRAIN)
     part, n = F.col("part"), F.greatest(F.lit(1), F.ceil((F.length("raw") - (CHUNK - STEP)) / STEP)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
-    # MAX_TRAIN rows at most are broadcast, and as many times TRAIN_CHUNKS chunks come back.
+    # MAX_TRAIN rows at most are broadcast, and as many times TRAIN_CHUNKS chunks come back: an id counts once, with the
+    # first of its texts and labels by hash.
     rows = rows.join(F.broadcast(marks), "id").withColumn("n", n)
     order = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.xxhash64("id", k).alias("h"), k.alias("k"))))
     rows = rows.withColumn("part", F.transform(F.slice(order, 1, TRAIN_CHUNKS), lambda x: x["k"]))
     picked = F.transform(part, lambda k: F.substring(F.col("raw"), k * STEP + 1, F.lit(CHUNK)))
-    got = rows.select("id", "y", picked.alias("chunks")).orderBy("id", "y").toArrow()
+    one = F.min(F.struct(F.xxhash64("raw").alias("h"), "y", picked.alias("chunks"))).alias("one")
+    got = rows.groupBy("id").agg(one).select("id", "one.y", "one.chunks").orderBy("id").toArrow()
     texts = [[bytes(c) for c in x] for x in got["chunks"].to_pylist()]
     return fit(texts, np.array(got["y"].to_pylist(), dtype=np.float32))
 
@@ -176,13 +178,11 @@ def score_texts(w: Weights, texts: list[str | None]) -> np.ndarray:
 
 def score(docs: DataFrame, w: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.columns[1].to_pylist()
-            for lo, hi in slices(texts, 4_000_000):
-                yield pa.record_batch([batch.columns[0].slice(lo, hi - lo), pa.array(score_texts(w, texts[lo:hi]))], names=["id", "score"])
+            for lo, hi, texts in slices(batch.columns[1], 4_000_000):
+                yield pa.record_batch([batch.columns[0].slice(lo, hi - lo), pa.array(score_texts(w, texts))], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, score double")
@@ -190,13 +190,11 @@ def score(docs: DataFrame, w: Weights, id_col: str = "doc_id", text_col: str = "
 
 def keep_good(docs: DataFrame, w: Weights, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores ``ACCEPT`` or more, with all their columns."""
-    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.columns[at].to_pylist()
-            good = np.concatenate([np.empty(0), *[score_texts(w, texts[lo:hi]) for lo, hi in slices(texts, 4_000_000)]]) >= ACCEPT
+            good = np.concatenate([np.empty(0), *[score_texts(w, texts) for _, _, texts in slices(batch.columns[at], 4_000_000)]]) >= ACCEPT
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

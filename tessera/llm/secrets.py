@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import slices
 
 #: Kinds in their order; the first three are the fixed patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -115,14 +115,14 @@ def spans(text: str | None, encode) -> list[tuple[str, int, int]]:  # noqa: ANN0
 
 def scan(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and spans, an array of (kind, start, end)."""
-    bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_ordinary
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(x, encode)] for x in batch.columns[1].to_pylist()]
-            yield pa.record_batch([batch.columns[0], pa.array(found, kind)], names=["id", "spans"])
+            for lo, hi, texts in slices(batch.columns[1], 4_000_000):
+                found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(x, encode)] for x in texts]
+                yield pa.record_batch([batch.columns[0].slice(lo, hi - lo), pa.array(found, kind)], names=["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, spans array<struct<kind:string, start:bigint, end:bigint>>")
@@ -135,15 +135,15 @@ def listed(found: Column) -> Column:
 
 def mask(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``MASK``; overlapping spans are masked as one.  A null text stays null."""
-    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_ordinary
         for batch in batches:
-            texts = [None if x is None else masked(x, encode) for x in batch.columns[at].to_pylist()]
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.record_batch(columns, names=batch.schema.names)
+            for lo, hi, texts in slices(batch.columns[at], 4_000_000):
+                clean = pa.array([None if x is None else masked(x, encode) for x in texts], pa.string())
+                columns = [clean if k == at else c.slice(lo, hi - lo) for k, c in enumerate(batch.columns)]
+                yield pa.record_batch(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,13 +8,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one is set for the session."""
+    """The folder in ``spark.checkpoint.dir``.  Where it is unset, a session on one machine (tests) gets a new local one;
+    a cluster gets an error, as its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,25 +38,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lower the session's Arrow batch so that a batch of very long texts stays small; a smaller setting is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
-def slices(texts: Sequence[str | None], chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of ``texts`` of about so many characters at most; a longer text is a run of its own."""
-    lo, held = 0, 0
-    for i, x in enumerate(texts):
-        n = len(x or "")
-        if i > lo and held + n > chars:
-            yield lo, i
-            lo, held = i, 0
-        held += n
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(texts: pa.Array, size: int = 16_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(from, to, texts) of consecutive runs of a column of about so many bytes at most; a longer text is a run of its own.
+    Spark bounds an Arrow batch by bytes, and only a run of it is held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
