@@ -10,8 +10,8 @@ probabilities by Zipf's law (``1 / (rank + ZIPF)``, normalised), so ids are thos
 can differ from the library's, which merges by rank; decoding gives back the text in either case.
 
 Where no piece has a space sign behind another character, no path crosses the place before such a space sign: all paths
-meet there.  Stretches between such places are therefore independent, and a worker keeps those that it has solved, up to
-``limit`` of them.
+meet there.  Stretches between such places are therefore streams of their own, whatever their length, and a worker keeps
+the ids of short ones that it has streamed, up to ``limit`` of them.
 
 Defined results: a null or empty text has no ids and decodes to the empty text.  The space sign itself in a text decodes
 to a space.  Repeated rows are encoded each.  An empty table gives an empty result.  Other columns are not read.
@@ -24,13 +24,15 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import slices
 
 SPACE = "▁"
 ZIPF = 10.0
@@ -39,6 +41,8 @@ UNKNOWN = 10.0
 #: Steps of a score per unit of log probability.
 UNIT = 1 << 20
 WORST = -(1 << 62)
+#: Characters of the longest stretch whose ids a worker keeps.
+KEPT = 64
 
 
 class Pieces:
@@ -54,8 +58,14 @@ class Pieces:
         self.scores = {model.id_to_piece(i): (round((-math.log(rank + ZIPF) - total) * UNIT), i) for rank, i in enumerate(plain)}
         self.unknown = min(s for s, _ in self.scores.values()) - round(UNKNOWN * UNIT)
         self.longest = max(map(len, self.scores))
-        #: Every beginning of a piece; a walk along a text ends where its stretch isn't among them.
-        self.beginnings = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
+        #: Pieces by their characters from the last to the first: character -> (the same one character further, score and id
+        #: of the piece that begins here or None).
+        self.tree: dict = {}
+        for piece, entry in self.scores.items():
+            under = self.tree
+            for char in piece[:0:-1]:
+                under = under.setdefault(char, [{}, None])[0]
+            under.setdefault(piece[0], [{}, None])[1] = entry
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.out = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.scores.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]*").findall
@@ -65,71 +75,53 @@ class Pieces:
         raw = char.encode("utf-8", "surrogatepass")
         return self.unknown * len(raw), tuple(self.bytes[b] for b in raw)
 
-    def stream(self, chars: Iterable[str]) -> Iterator[tuple[int, ...]]:
+    def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream of characters, in the order in which they are committed.
 
-        ``best[k]`` is (score, step back, ids) of the best path to boundary ``done + k``; a piece ends at the newest
-        boundary, so of the older ones only those within the longest piece can still be extended.  Among equal scores
-        the longest last piece wins."""
-        best: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
-        text, scores, longest = "", self.scores, self.longest
+        ``score``, ``back`` and ``used`` (its last piece) are those of the best path to each boundary since the last commit; a piece ends at
+        the newest boundary, so of the older ones only those within the longest piece can still be extended.  Among equal
+        scores the longest last piece wins."""
+        score, back, used, text, longest, tree, scores = [0], [0], [None], "", self.longest, self.tree, self.scores
         for char in chars:
             text += char
-            n = len(text)
-            score, back, ids = WORST, 1, ()
-            for k in range(min(n, longest), 0, -1):
-                found = scores.get(text[n - k :])
-                if found and best[n - k][0] + found[0] > score:
-                    score, back, ids = best[n - k][0] + found[0], k, (found[1],)
+            top, step, last, under = WORST, 1, None, tree
+            for k, before in enumerate(text[: -longest - 1 : -1], 1):
+                if before not in under:
+                    break
+                under, found = under[before]
+                if found and score[-k] + found[0] >= top:
+                    top, step, last = score[-k] + found[0], k, found
             if char not in scores:
-                cost, raw = self.fallback(char)
-                if best[n - 1][0] + cost > score:
-                    score, back, ids = best[n - 1][0] + cost, 1, raw
-            best.append((score, back, ids))
-            # All paths that can still be extended go through the boundary where the paths back from them meet.
-            at = set(range(max(0, n - longest + 1), n + 1))
-            while len(at) > 1:
-                far = max(at)
-                at.discard(far)
-                at.add(far - best[far][1])
-            meet = at.pop()
-            if meet:
-                yield self.path(best, meet)
-                best, text = [(s - best[meet][0], b, i) for s, b, i in best[meet:]], text[meet:]
-        yield self.path(best, len(text))
+                found = self.fallback(char)
+                if score[-1] + found[0] > top:
+                    top, step, last = score[-1] + found[0], 1, found
+            score.append(top)
+            back.append(step)
+            used.append(last)
+            n = len(text)
+            # The paths that can still be extended are those to the last ``longest`` boundaries.  While the beginning is one
+            # of them, they can meet nowhere else.
+            if n >= longest:
+                at = set(range(n - longest + 1, n + 1))
+                while len(at) > 1:
+                    far = max(at)
+                    at.discard(far)
+                    at.add(far - back[far])
+                meet = at.pop()
+                if meet:
+                    yield self.path(back, used, meet)
+                    score, back, used, text = [x - score[meet] for x in score[meet:]], back[meet:], used[meet:], text[meet:]
+        yield self.path(back, used, len(text))
 
     @staticmethod
-    def path(best: list[tuple[int, int, tuple[int, ...]]], at: int) -> tuple[int, ...]:
-        parts = []
-        while at:
-            parts.append(best[at][2])
-            at -= best[at][1]
-        return tuple(i for part in reversed(parts) for i in part)
-
-    def solve(self, stretch: str) -> tuple[int, ...]:
-        """Ids of a short stretch: the same recursion, with all its boundaries kept and pieces walked forward."""
-        n, scores, beginnings = len(stretch), self.scores, self.beginnings
-        best = [0] + [WORST] * n
-        step: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
-        for i in range(n):
-            base = best[i]
-            char = stretch[i]
-            if char not in scores:
-                cost, raw = self.fallback(char)
-                if base + cost > best[i + 1]:
-                    best[i + 1], step[i + 1] = base + cost, (i, raw)
-            for j in range(i + 1, n + 1):
-                part = stretch[i:j]
-                if part not in beginnings:
-                    break
-                found = scores.get(part)
-                if found and base + found[0] > best[j]:
-                    best[j], step[j] = base + found[0], (i, (found[1],))
-        parts, at = [], n
+    def path(back: list[int], used: list, at: int) -> list[int]:
+        """The ids of the path to boundary ``at``."""
+        out: list[int] = []
         while at:
-            at, ids = step[at]
-            parts.append(ids)
-        return tuple(i for part in reversed(parts) for i in part)
+            _, ids = used[at]
+            out[:0] = ids if type(ids) is tuple else (ids,)
+            at -= back[at]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -137,14 +129,14 @@ class Pieces:
             return b""
         text = SPACE + text.replace(" ", SPACE)
         if not self.apart:
-            return np.array([i for ids in self.stream(text) for i in ids], "<u4").tobytes()
+            return np.fromiter(chain.from_iterable(self.stream(text)), "<u4").tobytes()
         solved, out = self.solved, []
         for stretch in self.cut(text):
             raw = solved.get(stretch)
             if raw is None:
-                ids = self.solve(stretch) if len(stretch) <= 64 else [i for ids in self.stream(stretch) for i in ids]
-                raw = np.array(ids, "<u4").tobytes()
-                if len(stretch) <= 64:
+                ids = [*chain.from_iterable(self.stream(stretch))]
+                raw = pack(f"<{len(ids)}I", *ids)
+                if len(stretch) <= KEPT:
                     if len(solved) >= self.limit:
                         solved.clear()
                     solved[stretch] = raw
@@ -164,13 +156,13 @@ def pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids (little-endian unsigned 32-bit)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            ids = [model.encode(x or "") for x in batch.columns[1].to_pylist()]
-            yield pa.record_batch([batch.columns[0], pa.array(ids, pa.binary())], names=["id", "ids"])
+            for lo, hi, texts in slices(batch.columns[1], 4_000_000):
+                ids = [model.encode(x or "") for x in texts]
+                yield pa.record_batch([batch.columns[0].slice(lo, hi - lo), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids binary")
@@ -178,13 +170,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """(id, n_ids, ids_crc32, text) of encoded rows (id, ids)."""
-    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            raw = batch.columns[1].to_pylist()
-            columns = [pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([model.decode(x) for x in raw], pa.string())]
-            yield pa.record_batch([batch.columns[0], *columns], names=["id", "n_ids", "ids_crc32", "text"])
+            for lo, hi, raw in slices(batch.columns[1], 4_000_000):
+                columns = [pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([model.decode(x) for x in raw], pa.string())]
+                yield pa.record_batch([batch.columns[0].slice(lo, hi - lo), *columns], names=["id", "n_ids", "ids_crc32", "text"])
 
     return rows.select("id", "ids").mapInArrow(run, "id long, n_ids long, ids_crc32 long, text string")
