@@ -1,12 +1,14 @@
 """Fast ids of a word-level BPE tokenizer: each distinct word is merged once, many words at a time; the rest are lookups.
 
-The tokenizer file's normalisers and word pattern are checked first, so that a file with others is refused rather than
-tokenised wrongly.
+The tokenizer file's normalisers, word pattern and the flags of its added tokens are checked first, so that a file with
+others is refused rather than tokenised wrongly.  An added token that stands in a text is its own id, and what is on
+either side of it is tokenised apart, as the tokenizer does unless it is told to take such tokens for ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
@@ -46,7 +48,7 @@ class Numbered(dict):
 
 
 class WordBpe:
-    """``encode(texts)``: (ids of all texts in a row, number of ids of each text).
+    """``encode(texts)``: (ids of all texts in a row, number of ids of each text), added tokens included.
 
     Memory: at most ``limit`` stretches between white space are kept; when more come, they start afresh.
     """
@@ -69,6 +71,11 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order
         self.made = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         self.find = regex.compile(WORDS).findall
+        added = spec["added_tokens"]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError(f"{path}: added tokens that are not matched as they stand")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.apart = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.limit = limit
         self._clear()
 
@@ -77,6 +84,28 @@ class WordBpe:
         self.ids, self.at, self.used = np.empty(1 << 16, "<u4"), np.zeros(1, np.int64), 0
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(map(self.apart.search, texts)):
+            return self._plain(texts)
+        # Plain parts and added tokens take turns, with a plain part at either end.
+        parts: list[str] = []
+        marks: list[int | None] = []
+        for text in texts:
+            at = 0
+            for m in self.apart.finditer(text):
+                parts.append(text[at : m.start()])
+                marks.append(self.added[m[0]])
+                at = m.end()
+            parts.append(text[at:])
+            marks.append(None)
+        ids, counts = self._plain(parts)
+        ends = np.cumsum(counts)
+        marked = np.array([m is not None for m in marks])
+        out = np.insert(ids, ends[marked], [m for m in marks if m is not None])
+        last = np.flatnonzero(~marked)
+        totals = np.cumsum(counts + marked)[last]
+        return out, np.diff(np.concatenate([[0], totals]))
+
+    def _plain(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         # Characters are lower-cased one by one, so a final sigma is like any other.
         low = [unicodedata.normalize("NFC", x).replace("Σ", "σ").lower() for x in texts]
         split = [self.find(x) if any(c in x for c in _ODD) else x.split() for x in low]
