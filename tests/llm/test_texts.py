@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,8 @@ from tessera.llm import archives, packing, pieces, queries, secrets
 from tessera.llm.word_bpe import WordBpe
 
 LONG = "gate and tower " * 3000
-TEXTS = ["", None, "One small document.", "One small document.", LONG, "İstanbul ΑΣ ΑΣΣ'S <|endoftext|> don't", "\x1c\x85 x\n\ty", "ﬁ J̌ é é \U0001f600", "a" * 5000]
+ADDED = ["<|endoftext|>", "<|endoftext|> hi<|startoftext|><|endoftext|>", "a <|ENDOFTEXT|> b", "x<|endoftext|", "Σ<|endoftext|>é", "<|<|endoftext|>|>  <|startoftext|>Ab"]
+TEXTS = ["", None, "One small document.", "One small document.", LONG, "İstanbul ΑΣ ΑΣΣ'S <|endoftext|> don't", "\x1c\x85 x\n\ty", "ﬁ J̌ é é \U0001f600", "a" * 5000, *ADDED]
 SCHEMA = "doc_id long, text string, id long, row long, packer long, length long"
 
 
@@ -20,9 +23,7 @@ def docs(spark, texts=TEXTS):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
 
 
 def test_word_bpe_equals_the_tokenizer(tokenizer):
@@ -47,6 +48,23 @@ def test_packing_places_every_piece_once(spark, tokenizer):
     assert packing.pack(docs(spark, []), queries.tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_repeated_rows_and_rows_without_ids_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 40 + [(None, "same text")] * 40 + [(None, None)] * 3, "doc_id long, text string").coalesce(2)
+    path = queries.tokenizer("word_bpe_49k.json")
+    deals = [r["deal"] for r in packing.pieces(docs, path, "doc_id", "text").collect()]
+    assert len(set(deals)) > 75
+    rows = packing.pack(docs, path, group=20).collect()
+    assert Counter(r["id"] for r in rows) == {7: 40, None: 43} and len({(r["sequence_id"], r["offset"]) for r in rows}) == 83
+
+
+def test_packing_is_near_the_lower_bound(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), queries.tokenizer("word_bpe_49k.json"), group=500).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 3
+
+
 def test_sum_of_squares_chooses_the_smallest_sum():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 13, 120)
@@ -126,6 +144,23 @@ def test_pieces_round_trip_and_are_optimal(spark):
     assert pieces.encode(docs(spark, []), path).count() == 0
 
 
+def test_every_character_is_streamed(spark, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    model, seen, stream = pieces.Pieces(queries.tokenizer("piece_bpe_32k.model"), limit=0), [], pieces.Pieces.stream
+    monkeypatch.setattr(pieces.Pieces, "stream", lambda self, chars: seen.append(len(chars)) or stream(self, chars))
+    monkeypatch.setattr(pieces, "KEPT", 0)
+    for t in texts:
+        model.encode(t or "")
+    assert sum(seen) == sum(len(t) + 1 for t in texts if t)
+
+
+def test_ids_are_null_safe(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(None, "gate"), (None, None), (1, "gate"), (1, "gate")], "doc_id long, text string")
+    got = pieces.decode(pieces.encode(rows, path), path).collect()
+    assert sorted((str(r["id"]), r["text"]) for r in got) == [("1", "gate"), ("1", "gate"), ("None", ""), ("None", "gate")]
+
+
 def test_streaming_commits_before_the_end():
     model = pieces.Pieces(queries.tokenizer("piece_bpe_32k.model"))
     assert sum(1 for part in model.stream(pieces.SPACE.join(["gate"] * 50)) if part) > 10
@@ -155,15 +190,44 @@ def test_archives_round_trip(spark):
     assert len({r["record_id"] for r in got}) == len(got) - 1
 
 
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 3000)
+    pages = spark.createDataFrame([(k, "u", "x" * 1200 + str(k), 1, "c") for k in range(20)], PAGES).coalesce(1)
+    path = archives.archive(pages)
+    files = [[len(b) for _, b in archives.warc_blocks(r["content"])] for r in archives.files_below(spark, path).collect()]
+    assert sum(map(len, files)) == 20 and len(files) >= 6 and max(map(len, files)) <= 3
+    assert sorted(r["key"] for r in archives.read_warc(spark, path).collect()) == list(range(20))
+
+
 def test_arc_versions_and_bad_bytes():
     for version in (1, 2):
         data = archives.arc_file([(1, "http://a b/", b"x\n\n"), (None, None, b"")], version)
-        assert [(r[0], r[1], r[5], r[6]) for r in archives.arc_records(data)] == [(1, "http://a%20b/", 200, b"x\n\n"), (None, "about:blank", 200, b"")]
+        for raw in (data, gzip.compress(data)):
+            assert [(r[0], r[1], r[5], r[6]) for r in archives.arc_records(raw)] == [(1, "http://a%20b/", 200, b"x\n\n"), (None, "about:blank", 200, b"")]
         with pytest.raises(ValueError, match="cut short"):
             list(archives.arc_records(data[:-5]))
-    with pytest.raises(ValueError, match="no ARC header"):
-        list(archives.arc_records(b"what is this\n"))
+    with pytest.raises(ValueError, match="checksum"):
+        list(archives.arc_records(data.replace(b"x\n\n", b"y\n\n")))
+    for bad in (b"what is this\n", b"no line feed 5"):
+        with pytest.raises(ValueError, match="no ARC header"):
+            list(archives.arc_records(bad))
+
+
+def test_arc_headers_written_by_others():
+    """Records as crawlers of the time wrote them: spaces in types and URLs, short dates, other checksums, other statuses."""
+    about = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    one = b"filedesc://a.arc 0.0.0.0 19990101 text/plain %d\n%s\n" % (len(about), about)
+    page = b"HTTP/1.1 404 Not Found\r\nX: y\r\n\r\ngone"
+    one += b"http://h/a b 10.0.0.1 19990203040506 text/html; charset=utf-8 %d\n%s\n" % (len(page), page) + b"dns:h 10.0.0.1 1999020304 text/dns 3\nabc\n"
+    got = list(archives.arc_records(one))
+    assert got == [(None, "http://h/a b", "10.0.0.1", "19990203040506", "text/html; charset=utf-8", 404, b"gone"), (None, "dns:h", "10.0.0.1", "1999020304", "text/dns", 0, b"abc")]
+    about = b"2 0 Crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = b"filedesc://a.arc 0.0.0.0 19990101 text/plain 200 - - 0 a.arc %d\n%s\n" % (len(about), about)
+    two += b"http://h/ 10.0.0.1 19990203040506 text/html; x 301 0a1b2c http://i/ 123456789 a.arc 2\nhi\n"
+    assert list(archives.arc_records(two)) == [(None, "http://h/", "10.0.0.1", "19990203040506", "text/html; x", 301, b"hi")]
+    record = archives.warc_record(*got[0], len(got[0][-1]), hashlib.sha1(got[0][-1]).hexdigest(), None)
+    assert b"HTTP/1.1 404" in record and b"WARC-Date: 1999-02-03T04:05:06Z" in record and archives.iso_date("1999020304") == "1999-02-03T04:00:00Z"
 
 
 def test_empty_archives(spark):
-    assert archives.read_arc(archives.pages_to_arc(spark.createDataFrame([], PAGES))).count() == 0
+    assert archives.read_warc(spark, archives.archive(spark.createDataFrame([], PAGES))).count() == 0
