@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, which is set to a new local one where it is unset (tests)."""
+    """A path of its own below the shared folder.  Where that is unset, a session on one machine (tests) gets a new local
+    folder; a cluster gets an error, as its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-stages-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
