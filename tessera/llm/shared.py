@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is common where it has at least one row in so many; so there are at most so many common keys.
+COMMON = 1024
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key of theirs and the number of rows with it in
+    ``copies``; rows with a null in their key get nulls.  Both should be staged, as each is read twice.
+
+    Common keys, at most COMMON of them, are broadcast, so that their rows stay where they are; the others, none of which
+    has more than that share of the rows, are shuffled."""
+    common = table.where(F.col(copies) * COMMON >= rows.count()).drop(copies)
+    full = rows.dropna(subset=keys)
+    hot = full.join(F.broadcast(common), keys)
+    cold = full.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(table.drop(copies), keys)
+    return hot.unionByName(cold).unionByName(rows.where(" OR ".join(f"{k} IS NULL" for k in keys)), allowMissingColumns=True)
+
+
 def slices(texts: pa.Array, size: int = 16_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
     """(from, to, texts) of consecutive runs of a column of about so many bytes at most; a longer text is a run of its own.
     Spark bounds an Arrow batch by bytes, and only a run of it is held as Python strings."""

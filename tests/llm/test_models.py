@@ -136,16 +136,37 @@ def test_vector_groups_match_brute_force(spark, monkeypatch, block):
     assert got == {i: (count[i], want[i], want[i] == i) for i in want}
 
 
-def test_estimates_are_unbiased():
+@pytest.mark.parametrize("dim", [24, 64, 200])
+def test_estimates_are_unbiased_and_bounded(monkeypatch, dim):
     rng = np.random.default_rng(4)
-    q, o = (x / np.linalg.norm(x) for x in rng.standard_normal((2, 64)))
-    rel = []
-    for _ in range(400):
-        r = np.linalg.qr(rng.standard_normal((64, 64)))[0]
-        y = r @ o
-        sign = np.where(y > 0, 1, -1) / 8
-        rel.append(sign @ (r @ q) / (sign @ y))
-    assert abs(np.mean(rel) - q @ o) < 0.02
+    z = rng.standard_normal((2, 400, dim))
+    one, two = (vector_dedup.unit(x) for x in (z[0], 0.9 * vector_dedup.unit(z[0]) + 0.44 * vector_dedup.unit(z[1])))
+    true = np.einsum("nd,nd->n", one, two)
+    off, beyond = [], 0
+    for seed in range(6):
+        monkeypatch.setattr(vector_dedup, "SEED", 100 + seed)
+        vector_dedup.rotations.cache_clear()
+        dot, error = vector_dedup.estimates(vector_dedup.sketches(one, 10_000), vector_dedup.sketches(two, 10_000), dim)
+        off.append(np.diag(dot) - true)
+        beyond += (np.abs(off[-1]) > 3.5 * np.diag(error) * np.sqrt(np.maximum((1 - true**2) / 0.19, 1))).sum()
+    vector_dedup.rotations.cache_clear()
+    assert abs(np.mean(off)) < 0.006 and beyond <= 5
+
+
+def test_recall_on_planted_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    one, z = (vector_dedup.unit(x) for x in rng.standard_normal((2, 6000, 64)))
+    z = vector_dedup.unit(z - np.einsum("nd,nd->n", z, one)[:, None] * one)
+    cosine = rng.uniform(0.9005, 0.93, 6000)
+    v = np.vstack([one, cosine[:, None] * one + np.sqrt(1 - cosine**2)[:, None] * z])
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    links = sum(r["n_links"] for r in vector_dedup.groups(frame).collect())
+    assert 2 * 6000 * 0.99 <= links <= 2 * 6000
+
+
+def test_equal_64_bit_hashes_make_no_node(spark):
+    rows = vector_dedup.nodes_of(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    assert (rows[0]["one"], rows[0]["two"]) == (rows[1]["one"], rows[1]["two"]) and len({r["one"] for r in rows} | {r["two"] for r in rows}) == 4
 
 
 def test_no_vectors(spark):
