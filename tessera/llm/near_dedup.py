@@ -11,7 +11,9 @@
 4. The verified links are drawn together towards their components.  Texts of a bucket that may reach the threshold with a text of another
    component get their multisets in that bucket's task, where all such pairs are compared exactly; only a forest of the
    links found leaves the task.  So no pair that may link two components goes untested, and no list of pairs is made.
-Large buckets are split into blocks, every two of which meet in one task.
+A large bucket is split into blocks.  In step 3 each block meets the same few leaders of the bucket alone.  In step 4 only
+texts outside the bucket's largest component meet all others; so a large group of copies, which the leaders draw together,
+is not compared with itself.
 
 At similarity 0.8, 20 bands of 5 registers miss a pair with probability 0.0004; a pair is taken not to reach the
 threshold where its estimate is over four standard deviations below it.
@@ -28,20 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components, contracted
-from .shared import slices, sorted_groups, stage_table
+from .shared import looked_up, slices, sorted_groups, stage_table
 from .shingles import U, mix, shingles
 
 REGISTERS, BAND = 100, 5
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Members of a bucket that meet in one task, at most.
-BLOCK = 1024
+#: Texts of a block of a bucket, and shingles of a block, about; two blocks meet in one task.
+BLOCK, ITEMS = 256, 4_000_000
+#: Members of a large bucket that meet all its blocks, about.
+LEADERS = 8
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, count: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
@@ -279,18 +283,40 @@ def crossing_links(rows: DataFrame) -> DataFrame:
     return dealt.select(*GROUP, "key", "comp", "items").mapInArrow(run, "a long, b long, similarity double").distinct()
 
 
-def in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every two blocks of a bucket of ``sizes`` (bucket, n) as a task's rows; a small bucket is one block."""
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    rows = rows.withColumn("other", other)
-    few = F.col("blocks") <= 2
-    return rows.select(
-        "bucket", "key",
-        F.when(few, 0).otherwise(F.least("own", "other")).alias("block_a"),
-        F.when(few, 0).otherwise(F.greatest("own", "other")).alias("block_b"),
-    )
+def with_blocks(members: DataFrame) -> DataFrame:
+    """Members (bucket, key, size) of buckets of two texts or more, with n (the bucket's texts) and blocks: how many blocks of
+    at most about BLOCK texts and ITEMS shingles it has.  Two blocks are no more than one task's rows, so they count as one."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / ITEMS))
+    sizes = sizes.select("bucket", "n", F.when(blocks <= 2, 1).otherwise(blocks).cast("int").alias("blocks"))
+    return members.join(sizes, "bucket")
+
+
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("key"), blocks).cast("int")
+
+
+def with_leaders(members: DataFrame) -> DataFrame:
+    """(bucket, key, block_a, block_b): each block of a bucket, to which the bucket's leaders come too."""
+    leads = F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < LEADERS
+    every = F.when(leads & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block_of(F.col("blocks"))))
+    return members.select("bucket", "key", F.explode(every).alias("block_a")).withColumn("block_b", F.col("block_a"))
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """(bucket, key, comp, block_a, block_b) of members (bucket, key, size, n, blocks, comp): every two texts of a bucket that are of
+    different components meet.  Texts of the largest component of a large bucket do not meet one another."""
+    small = members.where("blocks = 1").select("bucket", "key", "comp", F.lit(0).alias("block_a"), F.lit(0).alias("block_b"))
+    large = members.where("blocks > 1")
+    parts = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    rest = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    rest = rest.select("bucket", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.m")).alias("others"), "s").where("others > 0")
+    # Blocks 0 to r - 1 are of the other components, those from r on of the largest one.
+    r = F.greatest(F.ceil(F.col("others") / BLOCK), F.least(F.ceil(F.col("s") / ITEMS), F.col("others"))).cast("int")
+    rows = large.join(stage_table(rest.select("bucket", "top", r.alias("r")), "rest"), "bucket").withColumn("own", F.when(F.col("comp") == F.col("top"), F.col("r") + block_of(F.col("blocks"))).otherwise(block_of(F.col("r"))))
+    last = F.when(F.col("own") >= F.col("r"), F.col("r")).otherwise(F.col("r") + F.col("blocks")) - 1
+    rows = rows.select("bucket", "key", "comp", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return small.unionByName(rows.select("bucket", "key", "comp", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,13 +341,11 @@ def keyed_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     the classes; not every pair within a class."""
     rows = stage_table(sketch(docs, id_col, text_col), "sketches")
     named = rows.where("key IS NOT NULL")
-    reps = stage_table(named.groupBy("key").agg(F.min("id").alias("rep_id")), "representatives")
+    reps = stage_table(named.groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "representatives")
     own = stage_table(named.select("key", "size", "bands", "sig").dropDuplicates(["key"]), "compared")
-    members = own.select("key", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stage_table(in_blocks(members, sizes), "buckets")
+    members = stage_table(with_blocks(own.select("key", "size", F.explode("bands").alias("bucket"))), "buckets")
     shown = own.select("key", "sig", "size")
-    pairs = stage_table(forest_pairs(buckets.join(shown, "key")), "pairs")
+    pairs = stage_table(forest_pairs(with_leaders(members).join(shown, "key")), "pairs")
     # A forest reaches every text that may be in a link, so step 4 needs no other texts.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key").select(F.col("rep_id").alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -332,16 +356,16 @@ def keyed_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     # Two rounds leave some components in parts, which only means that step 4 compares a little more.
     stars = contracted(links.select("a", "b"), rounds=2)
     comp = stage_table(stars.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("comp")), "parts")
-    joined = buckets.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")).join(shown, "key")
-    rest = crossing_links(stage_table(crossing(joined), "crossing").join(sets, "key"))
+    parted = stage_table(members.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
+    rest = crossing_links(stage_table(crossing(meetings(parted).join(shown, "key")), "crossing").join(sets, "key"))
     rest = stage_table(rest, "crossing-links")
     links = links.unionByName(rest)
     comp = components(stars.unionByName(rest.select("a", "b"))).withColumnRenamed("id", "key")
     comp = reps.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = F.min(F.when(F.col("rep_id").isNotNull(), F.struct("rep_id", "key"))).alias("first")
     least = comp.groupBy("component").agg(first).select("component", F.col("first.rep_id").alias("class_id"), F.col("first.key").alias("class_key"))
-    named = stage_table(comp.join(least, "component").select("key", "rep_id", "class_id", "class_key"), "classes")
-    classes = rows.select("id", "key").join(named, "key", "left")
+    named = stage_table(comp.join(least, "component").select("key", "rep_id", "class_id", "class_key", "copies"), "classes")
+    classes = looked_up(rows.select("id", "key"), named, ["key"], "copies")
     classes = classes.select("id", "key", F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"), "class_key")
     one, two = (reps.select(F.col("key").alias(c), F.col("rep_id").alias(f"id_{c}")) for c in "ab")
     ids = links.join(one, "a").join(two, "b")

@@ -70,6 +70,31 @@ def test_near_groups_match_brute_force(spark, monkeypatch, block):
     assert all(r["similarity"] >= 0.8 for r in links.collect())
 
 
+@pytest.mark.parametrize("items", [4_000_000, 300])
+def test_large_buckets_of_linked_and_unlinked_texts(spark, monkeypatch, items):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "ITEMS", items)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(60)], []
+    # One large group of near copies around a text, and chains that lead away from it.
+    for k in range(60):
+        text = list(base)
+        text[int(rng.integers(60))] = f"x{k}"
+        if k % 3 == 0:
+            for at in rng.integers(0, 60, 4):
+                text[at] = f"y{rng.integers(9)}"
+        rows.append((k, " ".join(text)))
+    classes, _ = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["class_id"] for r in classes.collect()} == brute_classes(rows)
+
+
+def test_a_linked_bucket_is_not_compared_with_itself(spark):
+    rows = [(1, k, 9, 3000, 12, 0) for k in range(3000)] + [(2, k, 9, 3000, 12, 0 if k else 1) for k in range(3000)] + [(3, k, 9, 2, 1, k) for k in range(2)]
+    got = near_dedup.meetings(spark.createDataFrame(rows, "bucket long, key long, size long, n long, blocks int, comp long"))
+    count = Counter(r["bucket"] for r in got.collect())
+    assert count == {2: 2999 + 13, 3: 2}
+
+
 def test_dropping_near_copies_names_rows_by_id_and_text(spark):
     one, two, three = "a b c d e f g h", "z y x w v u t s", "k l m n o p q r"
     rows = [(3, one), (5, "A b c d e f g h"), (5, two), (7, three), (7, three), (7, "K l m n o p q r"), (8, three), (None, one), (9, ""), (9, None)]
