@@ -3,8 +3,10 @@
 A run of 20 or more characters of the usual encodings is random where a general vocabulary needs many tokens for it:
 ``MAX_RATIO`` characters a token or fewer.  Where a whole run is not, its parts between signs are judged: words, for which
 the vocabulary has long tokens, and known digests divide it, and what lies between them is judged again.  Letters without
-digits, and words with numbers, are judged by their letters alone.  Not tested are known digests (hexadecimal strings of
-the length of a common hash), UUIDs and numbers.
+digits, and words with numbers, are judged by their letters alone.  Not tested are known digests, UUIDs and numbers.  A
+digest is a hexadecimal string of the length of a common hash where the text before it names it as one ("sha256:", "commit",
+"etag=") or it is a part of a path, or where a file name follows as in a list of checksums; elsewhere it is a string like
+any other.
 
 Defined results: a null or empty text has no spans.  Offsets are code points, the end exclusive; spans are ordered by
 start and then by kind, and spans of different kinds may overlap.  Repeated rows are scanned each.  An empty table gives
@@ -38,6 +40,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])", re.I)
+#: What stands before a digest: a word for one, or the path or reference that it ends.
+NAMED = re.compile(r"(?i:(?<![A-Za-z0-9])(?:md5|sha|sha-?[0-9]{1,3}|digest|checksum|hash|etag|commit|rev|revision|integrity|fingerprint|blob|tree|object)[^A-Za-z0-9]{1,4}|[/@])\Z")
+#: What stands behind a digest in a list of checksums.
+LISTED = re.compile(r" [ *]\S")
 #: A part of a run: a UUID, or characters between signs.
 PART = re.compile(rf"(?<![A-Za-z0-9])(?i:{UUID.pattern})|[A-Za-z0-9]+")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*\Z")
@@ -52,12 +58,19 @@ def encoder(path: str, pattern: str):  # noqa: ANN201  (tiktoken's own class)
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    return bool(DIGEST.match(run) or UUID.fullmatch(run))
+def is_named(text: str, lo: int, hi: int) -> bool:
+    """Whether what is around ``text[lo:hi]`` says that it is a digest."""
+    return bool(NAMED.search(text[max(0, lo - 24) : lo]) or LISTED.match(text, hi))
 
 
-def is_random(run: str, encode) -> bool:  # noqa: ANN001
-    if is_known(run) or not re.search("[A-Za-z]", run):
+def is_known(text: str, lo: int, hi: int) -> bool:
+    """Whether ``text[lo:hi]`` is a UUID, or a digest that is named as one."""
+    return bool(UUID.fullmatch(text, lo, hi) or DIGEST.match(text[lo:hi]) and is_named(text, lo, hi))
+
+
+def is_random(run: str, encode, named: bool = True) -> bool:  # noqa: ANN001
+    """``named``: whether a run of a digest's form is one."""
+    if UUID.fullmatch(run) or named and DIGEST.match(run) or not re.search("[A-Za-z]", run):
         return False
     if WORDS.match(run) or not re.search("[0-9]", run):
         # Numbers, signs and words of one token say nothing; other letters must be half of the run.
@@ -73,12 +86,13 @@ def random_strings(text: str, lo: int, hi: int, encode) -> Iterator[tuple[int, i
     # Padding and joining signs at the ends are not part of a random string.
     if not parts or parts[-1][1] - parts[0][0] < 20:
         return
-    if is_random(text[parts[0][0] : parts[-1][1]], encode):
+    judged = lambda a, b: is_random(text[a:b], encode, is_named(text, a, b))
+    if not any(is_known(text, a, b) for a, b in parts) and judged(parts[0][0], parts[-1][1]):
         yield parts[0][0], parts[-1][1]
         return
     stretches: list[list[tuple[int, int]]] = [[]]
     for a, b in parts:
-        if is_known(text[a:b]) or b - a > MAX_RATIO * len(encode(text[a:b])):
+        if is_known(text, a, b) or b - a > MAX_RATIO * len(encode(text[a:b])):
             stretches.append([])
         else:
             stretches[-1].append((a, b))
@@ -93,10 +107,10 @@ def random_strings(text: str, lo: int, hi: int, encode) -> Iterator[tuple[int, i
             i += 1
         while j - i > 1 and held[j - 1][1] - held[j - 1][0] <= 2 and held[j - 2][1] - held[i][0] >= 20:
             j -= 1
-        if i < j and held[j - 1][1] - held[i][0] >= 20 and is_random(text[held[i][0] : held[j - 1][1]], encode):
+        if i < j and held[j - 1][1] - held[i][0] >= 20 and judged(held[i][0], held[j - 1][1]):
             yield held[i][0], held[j - 1][1]
         else:
-            yield from ((a, b) for a, b in held[i:j] if b - a >= 20 and is_random(text[a:b], encode))
+            yield from ((a, b) for a, b in held[i:j] if b - a >= 20 and judged(a, b))
 
 
 def spans(text: str | None, encode) -> list[tuple[str, int, int]]:  # noqa: ANN001

@@ -121,6 +121,90 @@ def test_random_strings_behind_words_and_without_digits():
         assert found(text) == [], text
 
 
+def brute_spans(text):
+    """The base kinds, character by character."""
+    out = []
+    value = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
+
+    def run(i, signs):
+        j = i
+        while j < len(text) and text[j] in signs:
+            j += 1
+        return j
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if len(text[i : i + len(word)]) == len(word) and all(x in (c, c.upper()) for x, c in zip(text[i : i + len(word)], word, strict=True)):
+                j = i + len(word)
+                j = run(j + (text[j : j + 1] in ("'", '"')), " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"')
+                    return j, run(j, value)
+        return i, i
+
+    i = 0
+    while i < len(text):
+        j, end = assign(i)
+        if end > j and end - j >= 6:
+            out.append((i, 0, end))
+        i = max(end, i + 1)
+    i = 0
+    while i < len(text):
+        end = run(i + 4, value[26:62]) if text[i : i + 4] == "AKIA" else i
+        if end >= i + 20:
+            out.append((i, 1, end))
+        i = max(end, i + 1)
+    i = 0
+    while i < len(text):
+        end = run(i, "0123456789abcdef")
+        if end >= i + 24:
+            out.append((i, 2, end))
+        i = max(end, i + 1)
+    return [(secrets.KINDS[k], a, b) for a, k, b in sorted(out)]
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abcdef", "ab.c/d+", "AKIA", "AKIAQ" + "7" * 14, "QZ09" * 4, "0a1b" * 3, "f" * 24, "deadbeef" * 3, "é", "ſ", "K", "\n", "\t", "x", "-", "_"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 40)))) for _ in range(3000)]
+    rows = {r["id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs(spark, texts), *queries.secret_vocabulary()).collect()}
+    for k, text in enumerate(texts):
+        assert [s for s in rows[k] if s[0] != "random"] == brute_spans(text), text
+
+
+def test_random_kind_finds_secrets_and_leaves_prose_and_identifiers(spark):
+    encode = secrets.encoder(*queries.secret_vocabulary()).encode_ordinary
+    rng = np.random.default_rng(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = lambda text: [(a, b) for kind, a, b in secrets.spans(text, encode) if kind == "random"]
+    signs = {"hex": "0123456789abcdef", "letters and digits": letters + letters.upper() + "0123456789", "base64": letters + letters.upper() + "0123456789+/"}
+    for kind, alphabet in signs.items():
+        hits = 0
+        for k in range(300):
+            key = "".join(rng.choice(list(alphabet), (24, 32, 40, 64)[k % 4]))
+            text = f'the gate {("token = ", "key: ", "")[k % 3]}"{key}" is open'
+            at = text.index(key)
+            hits += any(a <= at + 4 and b >= at + len(key) - 4 for a, b in found(text))
+        assert hits >= 285, kind
+    sha1, sha256 = hashlib.sha1(b"a").hexdigest(), hashlib.sha256(b"a").hexdigest()
+    for text in (f"sha256:{sha256}", f"commit {sha1}", f'ETag: "{sha1}"', f"http://h/objects/{sha1}", f"{sha256}  notes.txt", f"integrity = {sha1}", "id 123e4567-e89b-12d3-a456-426614174000"):
+        assert found(text) == [], text
+    assert found(f'token = "{sha1}"') == [(9, 49)]
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    assert not any(found(t or "") for t in prose)
+
+
+def test_scan_of_odd_tables(spark):
+    vocabulary = queries.secret_vocabulary()
+    assert secrets.scan(docs(spark, []), *vocabulary).count() == 0 and secrets.mask(docs(spark, []), *vocabulary).count() == 0
+    text = 'token="' + "0a1b2c3d" * 4 + '"'
+    rows = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    assert len({str(r["spans"]) for r in secrets.scan(rows, *vocabulary).collect()}) == 1
+    # Three overlapping spans are masked as one.
+    assert {r["text"] for r in secrets.mask(rows, *vocabulary).collect()} == {'[SECRET]"'}
+
+
 def test_pieces_round_trip_and_are_optimal(spark):
     path = queries.tokenizer("piece_bpe_32k.model")
     model = pieces.Pieces(path, limit=3)
