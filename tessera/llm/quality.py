@@ -82,6 +82,36 @@ def head(w: Weights, mean: np.ndarray, places: np.ndarray) -> tuple[np.ndarray,
     return h, 1 / (1 + np.exp(-np.clip(h @ w["w2"] + w["b2"], -30, 30)))
 
 
+def gradients(w: Weights, data: np.ndarray, places: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[float, Weights]:
+    """The mean log loss of texts, and its gradient by each weight; ``owner`` says which text each chunk is of."""
+    size = len(labels)
+    n = np.bincount(owner, minlength=size)[:, None].astype(np.float32)
+    p, best, x = pooled(w, data, places, train=True)
+    mean = np.zeros((size, FILTERS), np.float32)
+    np.add.at(mean, owner, p)
+    mean /= n
+    length = np.bincount(owner, places, size) / n[:, 0]
+    h, y = head(w, mean, length)
+    g: Weights = {}
+    dy = ((y - labels) / size).astype(np.float32)
+    g["w2"], g["b2"] = h.T @ dy, np.array([dy.sum()], np.float32)
+    dh = np.outer(dy, w["w2"]) * (h > 0)
+    full = np.hstack([mean, (np.log2(length)[:, None] / 7).astype(np.float32)])
+    g["w1"], g["b1"] = full.T @ dh, dh.sum(axis=0)
+    dp = ((dh @ w["w1"][:FILTERS].T) / n)[owner] * (p > 0)
+    g["bias"] = dp.sum(axis=0)
+    # Only the place of each maximum gets a gradient.
+    at = (np.arange(len(data)) * (CHUNK // STRIDE))[:, None] + best
+    dx = np.zeros_like(x)
+    for side, place in (("left", at), ("right", at + 1)):
+        g[side] = np.einsum("cfe,cf->ef", x[place], dp)
+        np.add.at(dx, place, dp[:, :, None] * w[side].T[None])
+    g["embed"] = np.zeros_like(w["embed"])
+    used = np.flatnonzero(dx.any(axis=1))
+    np.add.at(g["embed"], data.reshape(-1, STRIDE)[used], dx[used].reshape(-1, STRIDE, EMBED))
+    return float(-np.mean(np.where(labels > 0.5, np.log(y), np.log1p(-y)))), g
+
+
 def fit(texts: list[list[bytes]], labels: np.ndarray) -> Weights:
     """Weights from texts, each given as its chunks, by Adam on the log loss."""
     w, rng = new_weights(), np.random.default_rng(11)
@@ -111,29 +141,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray) -> Weights:
         alone[one] = True
         seen[one] = np.minimum(seen[one], rng.integers(1, SHORT + 1, len(one)))
         d, owner, seen = d[alone], owner[alone], seen[alone]
-        n = np.bincount(owner, minlength=BATCH)[:, None].astype(np.float32)
-        p, best, x = pooled(w, d, seen, train=True)
-        mean = np.zeros((BATCH, FILTERS), np.float32)
-        np.add.at(mean, owner, p)
-        mean /= n
-        h, y = head(w, mean, np.bincount(owner, seen, BATCH) / n[:, 0])
-        g: Weights = {}
-        dy = ((y - labels[pick]) / BATCH).astype(np.float32)
-        g["w2"], g["b2"] = h.T @ dy, np.array([dy.sum()], np.float32)
-        dh = np.outer(dy, w["w2"]) * (h > 0)
-        full = np.hstack([mean, (np.log2(np.bincount(owner, seen, BATCH) / n[:, 0])[:, None] / 7).astype(np.float32)])
-        g["w1"], g["b1"] = full.T @ dh, dh.sum(axis=0)
-        dp = ((dh @ w["w1"][:FILTERS].T) / n)[owner] * (p > 0)
-        g["bias"] = dp.sum(axis=0)
-        # Only the place of each maximum gets a gradient.
-        at = (np.arange(len(d)) * (CHUNK // STRIDE))[:, None] + best
-        dx = np.zeros_like(x)
-        for side, place in (("left", at), ("right", at + 1)):
-            g[side] = np.einsum("cfe,cf->ef", x[place], dp)
-            np.add.at(dx, place, dp[:, :, None] * w[side].T[None])
-        g["embed"] = np.zeros_like(w["embed"])
-        used = np.flatnonzero(dx.any(axis=1))
-        np.add.at(g["embed"], d.reshape(-1, STRIDE)[used], dx[used].reshape(-1, STRIDE, EMBED))
+        _, g = gradients(w, d, seen, owner, labels[pick])
         rate = RATE * min(1.0, 2 * (1 - t / (TRAIN_STEPS + 1)))
         for k, grad in g.items():
             m[k] = 0.9 * m[k] + 0.1 * grad

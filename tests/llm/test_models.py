@@ -222,6 +222,62 @@ def test_scores_cover_whole_texts_and_odd_ones(spark):
     assert quality.score(docs.limit(0), w).count() == 0
 
 
+def naive_score(w, text):
+    """The network by its definition, one filter and place at a time."""
+    raw, pooled, places = (text or "").encode(), [], []
+    for at in range(0, max(1, len(raw) - (quality.CHUNK - quality.STEP)), quality.STEP):
+        chunk = raw[at : at + quality.CHUNK]
+        n = min(max(1, -(-len(chunk) // 4) - 1), 127)
+        chunk = chunk.ljust(quality.CHUNK, b"\0")
+        tops = []
+        for f in range(quality.FILTERS):
+            best = -np.inf
+            for p in range(n):
+                window = [w["embed"][b] for b in chunk[4 * p : 4 * p + 8]]
+                kernel = np.concatenate([w["left"][:, f], w["right"][:, f]]).reshape(8, quality.EMBED)
+                best = max(best, sum(float(x @ k) for x, k in zip(window, kernel, strict=True)))
+            tops.append(max(best + w["bias"][f], 0))
+        pooled.append(tops)
+        places.append(n)
+    x = np.append(np.mean(pooled, axis=0), np.log2(np.mean(places)) / 7)
+    return 1 / (1 + np.exp(-(np.maximum(x @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"][0])))
+
+
+def test_scores_match_a_naive_convolution():
+    w = quality.new_weights(3)
+    texts = ["", None, "a", "Plain words, é and more.", "x1 " * 170, "long text " * 110]
+    got = quality.score_texts(w, texts)
+    assert np.allclose(got, [naive_score(w, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    w = {k: x.astype(np.float64) for k, x in quality.new_weights(5).items()}
+    data, places, owner = rng.integers(0, 256, (5, quality.CHUNK)).astype(np.uint8), np.array([127, 20, 127, 3, 127]), np.array([0, 0, 1, 2, 2])
+    labels = np.array([1.0, 0.0, 1.0])
+    _, g = quality.gradients(w, data, places, owner, labels)
+    for name, x in w.items():
+        flat = x.reshape(-1)
+        for at in np.argsort(-np.abs(np.asarray(g[name]).reshape(-1)))[[0, 1, 5] if flat.size > 5 else [0]]:
+            was, step = flat[at], 1e-3
+            flat[at] = was + step
+            up = quality.gradients(w, data, places, owner, labels)[0]
+            flat[at] = was - step
+            down = quality.gradients(w, data, places, owner, labels)[0]
+            flat[at] = was
+            want = (up - down) / (2 * step)
+            assert np.isclose(np.asarray(g[name]).reshape(-1)[at], want, rtol=0.05, atol=1e-4), (name, at)
+
+
+def test_training_takes_one_text_of_a_repeated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(len(texts)) or quality.new_weights())
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(3, "other"), (4, None)], "doc_id long, text string")
+    ids = [r["id"] for r in docs.select(F.col("doc_id").alias("id")).distinct().where(quality.fold_free(F.col("id"))).collect()]
+    quality.train(docs, spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, 1)], "doc_id long, quality int"))
+    assert seen == [len(ids)]
+
+
 def test_training_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     w = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
