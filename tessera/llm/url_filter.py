@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage_table
+from .shared import looked_up, stage_table
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -132,10 +132,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     # A score depends on the symbols alone, so equal URLs are scored once.
-    urls = rows.groupBy("sym").agg(F.count_if(F.col("ruled") == "allow").alias("yes"), F.count_if(F.col("ruled") == "block").alias("no"))
+    ruled = [F.count_if(F.col("ruled") == v).alias(c) for c, v in (("yes", "allow"), ("no", "block"))]
+    urls = rows.groupBy("sym").agg(*ruled, F.count(F.lit(1)).alias("n"))
     urls = stage_table(urls, "urls")
     scored = stage_table(score(urls, fit(urls)).join(urls, "sym"), "url-scores")
     cut = stage_table(threshold(scored), "url-threshold").agg(F.coalesce(F.max("cut"), F.lit(0.0)).alias("cut"))
-    asked = rows.join(scored.select("sym", "score"), "sym").withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")
+    asked = looked_up(rows, scored.select("sym", "score", "n"), ["sym"], "n").withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block"))
     return asked.select("id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -121,6 +121,28 @@ def test_rare_contexts_count_however_many_urls_there_are(spark):
     assert got[606]["verdict"] == "allow" and got[607]["verdict"] == "block"
 
 
+def test_threshold_is_the_middle_of_the_best_gap(spark):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(4):
+        rows = [(round(rng.gauss(0.3, 0.4), 3), rng.randrange(4), 0) for _ in range(30)] + [(round(rng.gauss(-0.3, 0.4), 3), 0, rng.randrange(4)) for _ in range(30)] + [(9.0, 0, 0)]
+        got = url_filter.threshold(spark.createDataFrame(rows, "score double, yes long, no long")).first()["cut"]
+        steps = sorted({math.floor(s * url_filter.STEPS) for s, y, n in rows if y or n})
+        yes, no = sum(r[1] for r in rows), sum(r[2] for r in rows)
+        error = lambda k: round(sum(y / yes if math.floor(s * url_filter.STEPS) < k else n / no if math.floor(s * url_filter.STEPS) >= k else 0 for s, y, n in rows if y or n), 9)  # noqa: E731, B023
+        errors = [error(k) for k in steps]
+        at = errors.index(min(errors))
+        below = steps[at - 1] + 1 if at else steps[at]
+        assert math.isclose(got, (steps[at] + below) / 2 / url_filter.STEPS)
+
+
+def test_a_hot_url_is_looked_up_where_it_is(spark):
+    rows = [(k, "http://a.com/en/x" if k % 3 else f"http://b{k}.net/es/") for k in range(300)] + [(None, None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()
+    assert len(got) == 301 and len({r["id"] for r in got}) == 301 and all(r["score"] is not None for r in got)
+
+
 def test_urls_of_one_class_or_none(spark):
     assert judged(spark, []) == {}
     assert {r["verdict"] for r in judged(spark, ["http://a.org/", None]).values()} == {"allow"}
