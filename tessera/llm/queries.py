@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, exact_dedup, near_dedup, packing, pieces, quality, secrets, transcripts, url_filter, vector_dedup
-from .shared import table
+from .shared import stage_table, table
 
 #: (host, path, verdict) of the rules of op10.
 URL_RULES = [
@@ -61,10 +61,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = transcripts.raw_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    lines = stage_table(transcripts.lines_of(raw, "conv_id", "turn", "text", "role"), "lines")
     # Roles are read for the counts, which are over all transcripts; the parser sees lines alone.
-    model = transcripts.fit(transcripts.lines_of(raw, "conv_id", "turn", "text", "role"))
-    lines = transcripts.lines_of(raw, "conv_id", "turn", "text")
-    return transcripts.rendered(transcripts.parse(lines, model)).withColumnRenamed("conv", "conv_id")
+    model = transcripts.fit(lines)
+    return transcripts.rendered(transcripts.parse(lines.drop("state"), model)).withColumnRenamed("conv", "conv_id")
 
 
 def op7_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,6 +338,40 @@ def test_roles_are_recovered_without_their_counts(spark):
     assert rows.agg(F.avg((F.col("found") == F.col("role")).cast("double"))).first()[0] >= 0.9
 
 
+def test_turns_that_the_parser_splits_and_merges(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "BLOCK", 2)
+    n = len(transcripts.STATES)
+    # Only a marker opens a turn, whatever its role.
+    emit = np.ones((n, transcripts.N_OBS))
+    for k, (role, opening) in enumerate(transcripts.STATES):
+        for obs in range(transcripts.N_OBS):
+            emit[k, obs] = 1e6 if opening == (obs >= 8) and (not opening or obs // 8 == role + 1) else 1e-3
+    model = transcripts.Model(np.ones(n), np.ones((n, n)), emit)
+    turns = [(1, 0, "User: a\nBot: b\nmore"), (1, 5, "and more"), (1, 6, "still"), (1, 9, "Human: c"), (2, 3, "System: s"), (2, 4, "")]
+    lines = transcripts.lines_of(spark.createDataFrame(turns, "c long, t long, x string"), "c", "t", "x")
+    parsed = transcripts.stage_table(transcripts.parse(lines, model), "parsed")
+    got = sorted((r["conv"], r["turn"], r["part"], r["role"], r["lines"], r["until"], r["text"]) for r in transcripts.recovered(parsed).collect())
+    assert got == [
+        (1, 0, 0, "user", 1, 0, "<|user|>\na"), (1, 0, 1, "assistant", 4, 6, "<|assistant|>\nb\nmore\nand more\nstill"),
+        (1, 9, 0, "user", 1, 9, "<|user|>\nc"), (2, 3, 0, "system", 2, 4, "<|system|>\ns\n"),
+    ]
+    rows = {(r["conv"], r["turn"]): (r["role"], r["opened"], r["text"]) for r in transcripts.rendered(parsed).collect()}
+    assert rows[1, 0] == ("user", 2, "<|user|>\na\n<|assistant|>\nb\nmore\nand more\nstill") and rows[1, 5] == ("assistant", 0, None) and len(rows) == 6
+
+
+def test_gaps_and_rows_without_ids(spark):
+    turns = [(1, 0, "user", "User: a"), (1, 7, "assistant", "Bot: b"), (1, 900, "user", "User: c"), (None, 3, "user", "x"), (None, 4, "system", "y")]
+    lines = transcripts.lines_of(spark.createDataFrame(turns, "c long, t long, r string, x string"), "c", "t", "x", "r")
+    model = transcripts.fit(transcripts.stage_table(lines, "lines"))
+    n = len(transcripts.STATES)
+    start, step = np.zeros(n), np.zeros((n, n))
+    user, assistant, system = (transcripts.STATES.index((transcripts.ROLES.index(r), True)) for r in ("user", "assistant", "system"))
+    start[user], start[system], step[user, assistant], step[assistant, user] = 2, 1, 1, 1
+    want = transcripts.Model(start, step, np.zeros((n, transcripts.N_OBS)))
+    assert np.array_equal(model.step, want.step)
+    assert lines.where("conv = -1").select("lone").distinct().count() == 2 and lines.where("conv = 1 AND lone <> 0").isEmpty()
+
+
 def test_odd_turns(spark):
     turns = spark.createDataFrame([(None, None, None, 1), (1, 0, "User: a\n\nb", 1), (1, 0, "User: a\n\nb", 1), (1, -70, "[bot] hi", 1)], "conv_id long, turn long, text string, obs int")
     n = len(transcripts.STATES)
