@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources import stages
 
+from .evidence import numbered
+
+
+def bands_for(rows: int, length: int, most: int) -> int:
+    """How many bands make a key: the fewest with which a key has about 64 rows or fewer, were bits random."""
+    together = 1
+    while 2 ** (together * length // (most + together)) * 64 < rows and together < length - most:
+        together += 1
+    return together
+
 
 def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
     """(a, b, distance), a < b, of (id, bits) with a Hamming distance of at most ``most``.
 
-    Bits are cut into ``most + 1`` bands: two strings that differ in ``most`` places at most agree in one band, so the join
-    is by equal bands.  All strings have one length.  Equal strings are one node in it and are paired among themselves afterwards."""
-    nodes = rows.groupBy("bits").agg(F.min("id").alias("n"))
-    width = F.ceil(F.length("bits") / (most + 1)).cast("int")
-    band = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.substring("bits", k * width + 1, width).alias("part")))
+    Bits are cut into ``most + k`` bands, of which two strings that differ in ``most`` places at most have k the same, so the join
+    is by equal sets of k bands; k grows slowly with the rows, and so do the bits of a key.  All strings have one length.
+    Equal strings are one node in it and are paired among themselves afterwards."""
+    nodes = stages.stage(rows.groupBy("bits").agg(F.min("id").alias("n")), "hashes")
+    size = nodes.agg(F.count(F.lit(1)), F.max(F.length("bits"))).first()
+    length = size[1] or 1
+    k = bands_for(size[0], length, most)
+    cuts = [i * length // (most + k) for i in range(most + k + 1)]
+    part = lambda i: F.substring("bits", cuts[i] + 1, F.lit(cuts[i + 1] - cuts[i]))
+    band = F.array(*[F.struct(F.lit(n).alias("k"), F.concat(*map(part, some)).alias("part")) for n, some in enumerate(itertools.combinations(range(most + k), k))])
     words = F.transform(F.sequence(F.lit(0), F.ceil(F.length("bits") / 32).cast("int") - 1), lambda k: F.conv(F.substring("bits", k * 32 + 1, F.lit(32)), 2, 10).cast("long"))
     bands = nodes.select("n", "bits", words.alias("words"), F.explode(band).alias("band"))
     x, y = (bands.select("band", F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"), F.col("words").alias(f"words_{c}")) for c in "xy")
@@ -30,10 +46,6 @@ def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
     return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "distance")
 
 
-def suggested_action(same_node: Column, distance: Column) -> Column:
-    return F.when(same_node, "keep_one").when(distance <= 5, "review").otherwise("none")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) is connected with, by repeated minimum.
 
@@ -54,5 +66,5 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster_names(parts: DataFrame) -> DataFrame:
     """(component, size, cluster): names numbered from the largest cluster on."""
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    number = F.row_number().over(W.orderBy(F.desc("size"), "component"))
-    return sizes.select("component", "size", F.format_string("near_cluster_%04d", number).alias("cluster"))
+    rows = numbered(sizes.withColumn("_all", F.lit(0)).withColumn("_least", -F.col("size")), ["_all"], ["_least", "component"])
+    return rows.select("component", "size", F.format_string("near_cluster_%04d", "place").alias("cluster"))

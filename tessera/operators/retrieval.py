@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import texts, vectors
+from tessera.sources import stages
 
 #: Vectors of a block; two blocks meet in one row.
 QUERY_BLOCK, GALLERY_BLOCK = 256, 2048
@@ -19,48 +20,131 @@ QUERY_BLOCK, GALLERY_BLOCK = 256, 2048
 PLACEHOLDERS = ["暂无内容", "暂无", "无", "null"]
 
 
-def _blocks(rows: DataFrame, key: str, vec: str, size: int, name: str) -> DataFrame:
-    """One row per block of about ``size`` vectors: (name, name_ids, name_vecs).  Blocks are dealt by a hash of the key, so
-    their number grows with the rows and none is hot."""
+def _blocks(rows: DataFrame, key: str, vec: list[str], more: list[str], size: int, name: str) -> DataFrame:
+    """One row per block of about ``size`` rows, with a list of each column (numbers; a null is NaN).  Blocks are dealt by a
+    hash of the key, so their number grows with the rows and none is hot."""
     count = max(1, round(rows.count() / size))
     part = F.pmod(F.xxhash64(key), F.lit(count)).alias(name)
-    return rows.select(part, F.col(key).alias("_k"), vectors.doubles(F.col(vec)).alias("_v")).groupBy(name).agg(
-        F.collect_list("_k").alias(f"{name}_ids"), F.collect_list("_v").alias(f"{name}_vecs")
-    )
+    each = {"ids": F.col(key)} | {v: vectors.doubles(F.col(v)) for v in vec} | {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in more}
+    rows = rows.select(part, *[x.alias(f"{name}_{c}") for c, x in each.items()])
+    return rows.groupBy(name).agg(*[F.collect_list(f"{name}_{c}").alias(f"{name}_{c}") for c in each])
+
+
+def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Similarities of two sets of vectors (a distance is taken negative), to 12 digits, so that equal vectors have equal
+    ones wherever they stand."""
+    if metric == "l2":
+        return -np.round(np.stack([np.sqrt(((x - b) ** 2).sum(axis=1)) for x in a]), 12)
+    s = a @ b.T
+    if metric == "cosine":
+        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
+        s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+    return np.round(s, 12)
+
+
+def met_in_blocks(
+    queries: DataFrame, gallery: DataFrame, reduce: Callable[..., pd.DataFrame], schema: str, vec: Sequence[str] = ("vec",), of_query: Sequence[str] = (), of_gallery: Sequence[str] = (), metric: str = "cosine"
+) -> DataFrame:
+    """What ``reduce(qids, gids, [scores by each vector], query columns, gallery columns)`` makes of every meeting of a block of
+    ``queries`` (qid, *vec, *of_query) with one of the ``gallery`` (gid, *vec, *of_gallery).  No vector meets itself: the score of a
+    gid with its equal qid is -inf."""
+    q = _blocks(queries, "qid", list(vec), list(of_query), QUERY_BLOCK, "qb")
+    g = _blocks(gallery, "gid", list(vec), list(of_gallery), GALLERY_BLOCK, "gb")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                qid, gid = np.asarray(row["qb_ids"]), np.asarray(row["gb_ids"])
+                every = []
+                for v in vec:
+                    a, b = (np.array([np.asarray(x, float) for x in row[f"{side}_{v}"]]) for side in ("qb", "gb"))
+                    s = scores(a, b, metric)
+                    s[qid[:, None] == gid[None]] = -np.inf
+                    every.append(s)
+                yield reduce(qid, gid, every, {c: np.asarray(row[f"qb_{c}"]) for c in of_query}, {c: np.asarray(row[f"gb_{c}"]) for c in of_gallery})
+
+    return q.crossJoin(g).repartition("qb", "gb").mapInPandas(meet, schema)
 
 
 def scored_pairs(queries: DataFrame, gallery: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
     """(qid, gid, score, rank): the gallery ranked for each query by ``metric`` (``cosine``, ``dot`` or ``l2``), best
     first and ties by gid; the first ``k`` of them, or all.
 
-    ``queries`` has (qid, vec), ``gallery`` (gid, vec).  Blocks of queries meet blocks of the gallery; each meeting is a
-    matrix product that keeps its own best ``k``, so what is ranked at last is ``k`` rows per query and gallery block."""
-    q = _blocks(queries, "qid", "vec", QUERY_BLOCK, "qb")
-    g = _blocks(gallery, "gid", "vec", GALLERY_BLOCK, "gb")
+    ``queries`` has (qid, vec), ``gallery`` (gid, vec).  A meeting of blocks keeps its own best ``k``, so what is ranked at
+    last is ``k`` rows per query and gallery block."""
+
+    def best(qid, gid, every, _, __):  # noqa: ANN001, ANN202
+        top = min(k or len(gid), len(gid))
+        order = np.stack([np.lexsort((gid, -s))[:top] for s in every[0]])
+        out = pd.DataFrame({"qid": np.repeat(qid, top), "gid": gid[order].ravel(), "score": np.take_along_axis(every[0], order, 1).ravel()})
+        return out[np.isfinite(out["score"])]
 
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                a, b = (np.array([np.asarray(x, float) for x in v]) for v in (row.qb_vecs, row.gb_vecs))
-                gid = np.asarray(row.gb_ids)
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if len(a) * len(b) <= 65536 else -np.stack([np.sqrt(((x - b) ** 2).sum(axis=1)) for x in a])
-                else:
-                    s = a @ b.T
-                    if metric == "cosine":
-                        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
-                        s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-                top = min(k or len(gid), len(gid))
-                for i, qid in enumerate(row.qb_ids):
-                    best = np.lexsort((gid, -s[i]))[:top]
-                    yield pd.DataFrame({"qid": qid, "gid": gid[best], "score": s[i, best]})
-
-    pairs = q.crossJoin(g).repartition("qb", "gb").mapInPandas(meet, "qid long, gid long, score double")
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "gid"))
-    out = pairs.withColumn("rank", rank)
+    out = met_in_blocks(queries, gallery, best, "qid long, gid long, score double", metric=metric).withColumn("rank", rank)
     return out.where(F.col("rank") <= k) if k else out
 
 
+def label_scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(qid, q_label, g_label, max_score, mean_score, top3_mean, hybrid_score) of cosines, over the gallery's vectors of each label:
+    the last is 0.7 of the best with 0.3 of the mean of the best three.  A meeting of blocks keeps a row per query and label."""
+
+    def per_label(qid, gid, every, of_query, of_gallery):  # noqa: ANN001, ANN202
+        label, out = of_gallery["g_label"], []
+        for name in np.unique(label[~np.isnan(label)]):
+            s = -np.sort(-every[0][:, label == name], axis=1)
+            finite = np.isfinite(s)
+            n = finite.sum(axis=1)
+            some = n > 0
+            out.append(pd.DataFrame({"qid": qid[some], "q_label": of_query["q_label"][some], "g_label": name, "n": n[some], "total": np.where(finite, s, 0).sum(axis=1)[some], "top": [list(x[np.isfinite(x)]) for x in s[some, :3]]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("qid", "q_label", "g_label", "n", "total", "top")})
+
+    schema = "qid long, q_label double, g_label double, n long, total double, top array<double>"
+    rows = met_in_blocks(queries, gallery, per_label, schema, of_query=["q_label"], of_gallery=["g_label"])
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, 3).alias("top")
+    out = rows.groupBy("qid", "q_label", "g_label").agg((F.sum("total") / F.sum("n")).alias("mean_score"), top)
+    out = out.withColumns({"max_score": F.element_at("top", 1), "top3_mean": F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")})
+    out = out.withColumn("hybrid_score", 0.7 * F.col("max_score") + 0.3 * F.col("top3_mean"))
+    return out.select("qid", F.col("q_label").cast("int"), F.col("g_label").cast("int"), "max_score", "mean_score", "top3_mean", "hybrid_score")
+
+
+def first_hits(queries: DataFrame, gallery: DataFrame, vec: Sequence[str] = ("vec",), weights: Sequence[Sequence[float]] = ((1.0,),)) -> DataFrame:
+    """(alpha, qid, hit): the rank of the first vector of a query's own label by the weighted sum of cosines of the columns
+    ``vec``, for each of the ``weights`` (alpha is the first weight); null where there is none.
+
+    A first meeting of all blocks finds each query's best vector of its label, a second one counts the vectors before it;
+    either gives one row per query, weight and block."""
+
+    def mixed(every, w):  # noqa: ANN001, ANN202
+        return np.round(sum(x * s for x, s in zip(w, every, strict=True) if x), 9) if len(w) > 1 else every[0]
+
+    def best(qid, gid, every, of_query, of_gallery):  # noqa: ANN001, ANN202
+        own, out = of_query["q_label"][:, None] == of_gallery["g_label"][None], []
+        for w in weights:
+            s = np.where(own, mixed(every, w), -np.inf)
+            order = np.array([np.lexsort((gid, -x))[0] for x in s])
+            top = s[np.arange(len(qid)), order]
+            out.append(pd.DataFrame({"alpha": w[0], "qid": qid, "score": top, "gid": gid[order]})[np.isfinite(top)])
+        return pd.concat(out)
+
+    found = met_in_blocks(queries, gallery, best, "alpha double, qid long, score double, gid long", vec, ["q_label"], ["g_label"])
+    first = found.groupBy("alpha", "qid").agg(F.max(F.struct("score", (-F.col("gid")).alias("g"))).alias("x"))
+    wide = first.groupBy("qid").agg(*[F.max(F.when(F.col("alpha") == w[0], x)).alias(f"{c}{k}") for k, w in enumerate(weights) for c, x in (("s", F.col("x.score")), ("g", -F.col("x.g")))])
+    names = [f"{c}{k}" for k in range(len(weights)) for c in "sg"]
+
+    def ahead(qid, gid, every, of_query, _):  # noqa: ANN001, ANN202
+        out = []
+        for k, w in enumerate(weights):
+            s, at, g = mixed(every, w), of_query[f"s{k}"][:, None], of_query[f"g{k}"][:, None]
+            n = ((s > at) | ((s == at) & (gid[None] < g))).sum(axis=1)
+            out.append(pd.DataFrame({"alpha": w[0], "qid": qid, "n": n})[~np.isnan(at[:, 0])])
+        return pd.concat(out)
+
+    asked = queries.join(wide, "qid", "left")
+    counts = met_in_blocks(asked, gallery, ahead, "alpha double, qid long, n long", vec, names).groupBy("alpha", "qid").agg((F.sum("n") + 1).cast("int").alias("hit"))
+    every = queries.select("qid", F.explode(F.array(*[F.lit(float(w[0])) for w in weights])).alias("alpha"))
+    return every.join(counts, ["alpha", "qid"], "left")
+
+
 def node_scores(hits: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Per group of hits: max, mean, mean of the best three, and 0.7 of the max with 0.3 of the mean of the best three."""
     best = W.partitionBy(*keys).orderBy(F.desc(score))
@@ -138,3 +222,48 @@ def recall_channels(rows: DataFrame, node: str, score: str, method: str) -> Data
     """One row per node: its best score and the methods that found it, best first."""
     ordered = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(method).alias("m"))))
     return rows.groupBy(node).agg(F.max(score).alias("score"), F.array_distinct(F.transform(ordered, lambda x: x["m"])).alias("methods"))
+
+
+def relevance_tier(name: Column, query: str, is_root: Column) -> Column:
+    """100 for the name itself, 80 for its beginning, 60 for a part of it, else 30; without a query 20 for a root, else 0."""
+    q, low = query.strip().lower(), F.lower(name)
+    if not q:
+        return F.when(is_root, 20).otherwise(0)
+    return F.when(low == q, 100).when(low.startswith(q), 80).when(F.contains(low, F.lit(q)), 60).otherwise(30)
+
+
+def fused_channels(hits: DataFrame, key: str, channel: str, score: str, weights: dict[str, float]) -> DataFrame:
+    """(key, score): the weighted sum of a key's best score in each channel; a channel without a hit adds nothing."""
+    weight = F.lit(0.0)
+    for name, w in weights.items():
+        weight = F.when(F.col(channel) == name, w).otherwise(weight)
+    best = hits.groupBy(key, channel).agg(F.max(score).alias("_s"))
+    return best.groupBy(key).agg(F.sum(F.col("_s") * weight).alias("score"))
+
+
+#: Lengths of the stretches that join passages to texts, the longest that a passage has.
+GRAMS = (12, 4, 1)
+
+
+def held_beginnings(docs: DataFrame, passages: DataFrame, doc: str, text: str, item: str, passage: str, length: int) -> DataFrame:
+    """(doc, item, whole): texts that hold the first ``length`` characters of a passage, and whether they hold all of it.
+    Passages without a character are in no text.
+
+    Both sides are joined by a stretch of fixed length at every place of a text (at the beginning of a passage), and only then
+    compared as a whole; texts are cut by one pass of a pattern, so that long ones cost no more for each character."""
+    size = F.lit(None).cast("int")
+    for n in sorted(GRAMS):
+        size = F.when(F.length(passage) >= n, n).otherwise(size)
+    asked = stages.stage(passages.where(F.length(passage) > 0).select(item, passage, size.alias("_n")).withColumn("_gram", F.substring(passage, F.lit(1), F.col("_n"))), "passages")
+    keys = asked.select("_n", "_gram").distinct()
+    hits = None
+    for n in GRAMS:
+        if asked.where(F.col("_n") == n).isEmpty():
+            continue
+        grams = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("_gram")
+        found = docs.select(doc, grams).join(keys.where(F.col("_n") == n).select("_gram"), "_gram").join(asked.where(F.col("_n") == n).select("_gram", item), "_gram").select(doc, item)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return docs.select(doc).join(asked.select(item), F.lit(False)).withColumn("whole", F.lit(False))
+    rows = hits.join(docs.select(doc, text), doc).join(asked.select(item, passage), item)
+    return rows.where(F.contains(text, F.substring(passage, 1, length))).select(doc, item, F.contains(text, F.col(passage)).alias("whole"))

@@ -22,11 +22,6 @@ def non_entity(mention: Column) -> Column:
     )
 
 
-def malformed(predicate: Column, value: Column) -> Column:
-    """What is wrong with a claim's predicate or value; null if nothing."""
-    return F.when(F.length(predicate) > 8, "LONG_PREDICATE").when(F.contains(value, F.lit('"')), "QUOTED").when(predicate == value, "SELF_VALUE")
-
-
 def scoped(rows: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     """Rows of the seeds; all rows where there are no seeds."""
     return rows if seeds.isEmpty() else rows.join(seeds, key, "left_semi")

@@ -20,8 +20,6 @@ QUERIES, ORACLES = register.queries, register.oracles
 CLAIMS = """c AS (SELECT l_orderkey * 16 + l_linenumber * 2 AS claim_id, l_partkey AS subject, 'flag' AS predicate, l_returnflag AS value, l_suppkey AS source, l_discount * 10 AS confidence, l_tax AS tax, l_shipdate AS day FROM lineitem
     UNION ALL SELECT l_orderkey * 16 + l_linenumber * 2 + 1, l_partkey, 'status', l_linestatus, l_suppkey, l_discount * 10, l_tax, l_shipdate FROM lineitem)"""
 KEY = ["subject", "predicate"]
-#: Added before rounding, so that sums of short decimals that lie on a rounding tie go up in either engine.
-NUDGE = 1e-9
 
 
 def claims(spark, sf_dir) -> DataFrame:
@@ -44,21 +42,21 @@ def fused(spark, sf_dir):
     return C.fused(claims(spark, sf_dir).withColumn("kind", F.col("source") % 3), [*KEY, "value"], "source", "kind", "confidence")
 
 
-@register(f"WITH {FUSED} SELECT subject, predicate, value, round(support + 1e-9, 6) AS support, families, evidence, kinds, round(cross_source, 6) AS cross_source FROM z")
+@register(f"WITH {FUSED} SELECT subject, predicate, value, round(support::DECIMAL(20,10), 6)::DOUBLE AS support, families, evidence, kinds, round(cross_source, 6) AS cross_source FROM z")
 def a6_evidence_fusion(spark, sf_dir):
-    return fused(spark, sf_dir).withColumns({"support": F.round(F.col("support") + NUDGE, 6), "cross_source": F.round("cross_source", 6)})
+    return fused(spark, sf_dir).withColumns({"support": S.rounded(F.col("support"), 6), "cross_source": F.round("cross_source", 6)})
 
 
-@register("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax = 0 THEN (least(1, l_discount * 10) * 0.5 + least(1, l_quantity / 50) * 0.3) / 0.8 ELSE (least(1, l_discount * 10) * 0.5 + least(1, l_quantity / 50) * 0.3 + least(1, l_tax * 10) * 0.2) / 1.0 END + 1e-9, 3) AS support FROM lineitem""")
+@register("""SELECT l_orderkey, l_linenumber, round((CASE WHEN l_tax = 0 THEN (least(1, l_discount * 10) * 0.5 + least(1, l_quantity / 50) * 0.3) / 0.8 ELSE (least(1, l_discount * 10) * 0.5 + least(1, l_quantity / 50) * 0.3 + least(1, l_tax * 10) * 0.2) / 1.0 END)::DECIMAL(20,10), 3)::DOUBLE AS support FROM lineitem""")
 def a7_weighted_mean(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_discount") * 10, "b": F.col("l_quantity") / 50, "c": F.when(F.col("l_tax") != 0, F.col("l_tax") * 10)})
-    return rows.select("l_orderkey", "l_linenumber", F.round(S.weighted_mean({"a": 0.5, "b": 0.3, "c": 0.2}, 12) + NUDGE, 3).alias("support"))
+    return rows.select("l_orderkey", "l_linenumber", S.weighted_mean({"a": 0.5, "b": 0.3, "c": 0.2}, 3).alias("support"))
 
 
-@register(f"WITH {FUSED} SELECT subject, predicate, value, round(least(1, greatest(0, 0.55 * support + 0.2 + 0.15 * 0.5 + 0.1 * cross_source - 0.1 * 0.25)) + 1e-9, 4) AS trust FROM z")
+@register(f"WITH {FUSED} SELECT subject, predicate, value, round(least(1, greatest(0, 0.55 * support + 0.2 + 0.15 * 0.5 + 0.1 * cross_source - 0.1 * 0.25))::DECIMAL(20,10), 4)::DOUBLE AS trust FROM z")
 def a8_trust_score(spark, sf_dir):
-    score = S.trust(F.col("support"), F.lit(1.0), F.lit(0.5), F.col("cross_source"), F.lit(0.25), 12)
-    return fused(spark, sf_dir).select(*KEY, "value", F.round(score + NUDGE, 4).alias("trust"))
+    score = S.trust(F.col("support"), F.lit(1.0), F.lit(0.5), F.col("cross_source"), F.lit(0.25))
+    return fused(spark, sf_dir).select(*KEY, "value", score.alias("trust"))
 
 
 CLASSES = f"""{CLAIMS}, g AS (SELECT subject, predicate, count(DISTINCT value) AS n_values, count(DISTINCT source) AS n_sources, max(confidence) AS best, arg_max(value, (confidence, value)) AS best_value FROM c GROUP BY ALL),
@@ -224,13 +222,6 @@ def h10_verification(spark, sf_dir):
     return claims(spark, sf_dir).select("claim_id", F.round(s, 6).alias("score"), S.support_status(s).alias("status"))
 
 
-@register(f"WITH {CLAIMS} SELECT claim_id, round(least(1, 0.7 * confidence + 0.3 * tax * 10), 3) AS score FROM c WHERE predicate = 'flag' AND abs((0.7 * confidence + 0.3 * tax * 10) * 1000 % 1 - 0.5) > 1e-6")
-def h9_final_evidence_score(spark, sf_dir):
-    # Rows whose third digit is a rounding tie are left out: engines round binary ties differently.
-    rows = claims(spark, sf_dir).where("predicate = 'flag' AND abs((0.7D * confidence + 0.3D * tax * 10) * 1000 % 1 - 0.5) > 1e-6")
-    return rows.select("claim_id", S.evidence_score(F.col("confidence"), F.col("tax") * 10).alias("score"))
-
-
 @register("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'FACT' WHEN o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '2-%' THEN 'NODE' ELSE 'PROPERTY' END AS track, CASE WHEN o_orderstatus = 'F' THEN 'AUDIT_ONLY' WHEN o_totalprice > 200000 THEN 'GROWTH_RUN' ELSE 'NODE_WORKBENCH' END AS surface FROM orders""")
 def f4_candidate_projection(spark, sf_dir):
     done, urgent = F.col("o_orderstatus") == "F", F.col("o_orderpriority").startswith("1-") | F.col("o_orderpriority").startswith("2-")

@@ -28,38 +28,12 @@ def f10_non_entity_mentions(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", rules.non_entity(F.col("text")).alias("reason"))
 
 
-@register("""SELECT conv_id, turn, CASE WHEN length(role) > 8 THEN 'LONG_PREDICATE' WHEN contains(text, '"') THEN 'QUOTED' WHEN role = text THEN 'SELF_VALUE' END AS reason FROM conversations""")
-def f9_malformed_claims(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", rules.malformed(F.col("role"), F.col("text")).alias("reason"))
-
-
-@register("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'RELATION' WHEN value > 50 AND event_type IN ('purchase', 'signup') THEN 'BACKGROUND' ELSE 'PROPERTY' END AS lane, CASE WHEN event_type = 'click' OR NOT (value > 50 AND event_type IN ('purchase', 'signup')) THEN NULL WHEN event_type = 'purchase' THEN 'GOAL' ELSE 'ACTION' END AS role FROM events""")
-def f12_claim_lanes(spark, sf_dir):
-    e, cue = F.col("event_type"), (F.col("value") > 50) & F.col("event_type").isin("purchase", "signup")
-    lane = F.when(e == "click", "RELATION").when(cue, "BACKGROUND").otherwise("PROPERTY")
-    return t(spark, sf_dir, "events").select("event_id", lane.alias("lane"), F.when((e != "click") & cue, F.when(e == "purchase", "GOAL").otherwise("ACTION")).alias("role"))
-
-
-@register("""WITH k AS (SELECT p_partkey, p_type, p_brand FROM part), a AS (SELECT 'STANDARD' AS code, 'std' AS label UNION ALL SELECT 'ECONOMY', 'eco') SELECT p_partkey, coalesce(label, lower(p_type)) AS kind, p_type = '' OR coalesce(label, lower(p_type)) IN ('std', 'eco') AS compatible FROM k LEFT JOIN a ON code = p_type""")
-def f13_type_compatibility(spark, sf_dir):
-    alias = spark.createDataFrame([("STANDARD", "std"), ("ECONOMY", "eco")], "p_type string, label string")
-    rows = t(spark, sf_dir, "part").join(F.broadcast(alias), "p_type", "left").withColumn("kind", F.coalesce("label", F.lower("p_type")))
-    return rows.select("p_partkey", "kind", ((F.col("p_type") == "") | F.col("kind").isin("std", "eco")).alias("compatible"))
-
-
 @register("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def f14_seed_scope(spark, sf_dir):
     seeds = t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return rules.scoped(t(spark, sf_dir, "part").select("p_partkey"), seeds, "p_partkey")
 
 
-@register("""SELECT vec_id, CASE WHEN vec_id IS NULL THEN 'BLANK_ASSET' WHEN doc_id IS NULL THEN 'UNKNOWN_TARGET' END AS reason FROM embeddings LEFT JOIN labels ON doc_id = vec_id""")
-def f15_asset_binding_guard(spark, sf_dir):
-    known = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("known"))
-    rows = t(spark, sf_dir, "embeddings").select("vec_id").join(known, "vec_id", "left")
-    return rows.select("vec_id", F.when(F.col("vec_id").isNull(), "BLANK_ASSET").when(F.col("known").isNull(), "UNKNOWN_TARGET").alias("reason"))
-
-
 @register("""WITH c AS (SELECT vec_id, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS d FROM embeddings) SELECT vec_id, round(d, 6) AS d FROM c WHERE d <= 1.4""")
 def f6_distance_threshold(spark, sf_dir):
     from tessera.functions import vectors as V
@@ -69,25 +43,11 @@ def f6_distance_threshold(spark, sf_dir):
     return e.crossJoin(F.broadcast(one)).select("vec_id", V.l2(F.col("embedding"), F.col("q")).alias("d")).where("d <= 1.4").withColumn("d", F.round("d", 6))
 
 
-@register("""SELECT doc_id, item_id, CASE WHEN contains(dk, bk) THEN 1.0 WHEN contains(dk, left(bk, 40)) THEN 0.45 ELSE 0 END AS coverage FROM (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS dk FROM documents), (SELECT item_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS bk FROM benchmark WHERE item_id < 3)""".replace("\\\\", "\\"))
-def a9_quote_coverage(spark, sf_dir):
-    # Three stated passages, so the passages' side has three rows.
-    b = t(spark, sf_dir, "benchmark").where("item_id < 3").select("item_id", X.compact(F.col("text")).alias("bk")).limit(3)
-    rows = t(spark, sf_dir, "documents").select("doc_id", X.compact(F.col("text")).alias("dk")).crossJoin(F.broadcast(b))
-    coverage = F.when(F.contains("dk", F.col("bk")), 1.0).when(F.contains("dk", F.substring("bk", 1, 40)), 0.45).otherwise(0.0)
-    return rows.select("doc_id", "item_id", coverage.alias("coverage"))
-
-
-@register("""SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN contains(text, 'The') AND contains(text, 'of') AND contains(text, 'and') THEN 0.9 WHEN contains(text, 'The') AND contains(text, 'and') THEN 0.8 WHEN contains(text, 'of') AND contains(text, 'and') THEN 0.7 WHEN contains(text, 'and') THEN 0.45 ELSE 0.15 END AS entailment FROM documents""")
+@register("""SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN contains(text, 'The') AND contains(text, 'of') AND contains(text, 'and') THEN 0.9 WHEN contains(text, 'The') AND contains(text, 'and') THEN 0.8 WHEN contains(text, 'and') THEN 0.7 WHEN contains(text, 'The') AND contains(text, 'of') THEN 0.45 ELSE 0.15 END AS entailment FROM documents""")
 def h11_lexical_entailment(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", S.entailment(F.col("text"), F.lit("The"), F.lit("of"), F.lit("and")).alias("entailment"))
 
 
-@register("""SELECT l_orderkey, l_linenumber, coalesce(CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END, l_returnflag) AS predicate FROM lineitem""")
-def h12_canonical_predicate(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.aliased(F.col("l_returnflag"), {"A": "accepted", "R": "returned"}).alias("predicate"))
-
-
 @register(r"""SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '\d+', '#', 'g') AS predicate FROM pages""")
 def h13_discovered_predicate(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\d+", "#").alias("predicate"))
@@ -108,12 +68,6 @@ def h15_text_value(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", rules.without_noise(raw).alias("value"))
 
 
-@register("""SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'jewel' WHEN ends_with(p_name, 'widget') THEN 'tool' ELSE lower(p_type) END AS kind, CASE WHEN contains(p_name, 'ring') THEN 0.9 WHEN ends_with(p_name, 'widget') THEN 0.86 ELSE 0.72 END AS confidence FROM part""")
-def h17_inferred_type(spark, sf_dir):
-    ring, widget = F.contains("p_name", F.lit("ring")), F.col("p_name").endswith("widget")
-    return t(spark, sf_dir, "part").select("p_partkey", F.when(ring, "jewel").when(widget, "tool").otherwise(F.lower("p_type")).alias("kind"), F.when(ring, 0.9).when(widget, 0.86).otherwise(0.72).alias("confidence"))
-
-
 @register("""SELECT doc_id, round(3.0 * contains(lower(text), 'license')::INT + 1.6 * contains(lower(text), 'the')::INT + 0.8 * (source = 'src0')::INT + 0.4 * (doc_id <= 2)::INT, 2) AS score, CASE WHEN round(3.0 * contains(lower(text), 'license')::INT + 1.6 * contains(lower(text), 'the')::INT + 0.8 * (source = 'src0')::INT + 0.4 * (doc_id <= 2)::INT, 2) >= 1.2 THEN 'keep' ELSE 'reject' END AS decision FROM documents""")
 def h6_source_relevance(spark, sf_dir):
     low = F.lower("text")
@@ -133,25 +87,12 @@ def h8_source_weight(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", rules.source_weight(F.col("url")).alias("weight"))
 
 
-@register("""WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT vec_id, list_sum(v) AS s FROM a) SELECT vec_id, CASE WHEN s > 1 THEN 'same_node' WHEN s > 0.5 THEN 'same_content' WHEN s > 0 THEN 'near' ELSE 'none' END AS action FROM h WHERE abs(s - 1) > 1e-9 AND abs(s - 0.5) > 1e-9 AND abs(s) > 1e-9""")
-def h25_pair_actions(spark, sf_dir):
-    s = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    rows = t(spark, sf_dir, "embeddings").select("vec_id", s.alias("s")).where("abs(s - 1) > 1e-9 AND abs(s - 0.5D) > 1e-9 AND abs(s) > 1e-9")
-    return rows.select("vec_id", F.when(F.col("s") > 1, "same_node").when(F.col("s") > 0.5, "same_content").when(F.col("s") > 0, "near").otherwise("none").alias("action"))
-
-
 @register(r"""SELECT p_partkey, lower(regexp_replace(p_name, '[\s\p{P}]', '', 'g')) AS norm, list_distinct(list_concat([p_name], string_split(p_brand, '#'))) AS aliases FROM part""".replace("list_distinct(list_concat([p_name], string_split(p_brand, '#')))", "list_sort(list_distinct(list_concat([p_name], string_split(p_brand, '#'))))"))
 def h26_name_aliases(spark, sf_dir):
     aliases = F.array_sort(F.array_union(F.array("p_name"), F.split("p_brand", "#")))
     return t(spark, sf_dir, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", r"[\s\p{P}]", "")).alias("norm"), aliases.alias("aliases"))
 
 
-@register("""WITH c AS (SELECT source, lang, count(*) AS n, count(*) FILTER (n_chars >= 200) AS readable, count(DISTINCT lang) AS langs FROM documents GROUP BY ALL) SELECT source, lang, CASE WHEN readable = 0 THEN 'no_text' WHEN readable = n THEN 'all_match' WHEN readable * 2 >= n THEN 'mostly_match' ELSE 'needs_review' END AS decision FROM c""")
-def h27_cluster_decision(spark, sf_dir):
-    c = t(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 200).alias("r"))
-    return c.select("source", "lang", F.when(F.col("r") == 0, "no_text").when(F.col("r") == F.col("n"), "all_match").when(F.col("r") * 2 >= F.col("n"), "mostly_match").otherwise("needs_review").alias("decision"))
-
-
 @register("""WITH d AS (SELECT o_orderkey % 1500 AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'keep' WHEN 'O' THEN 'exclude' ELSE 'uncertain' END AS action, o_orderkey FROM orders), l AS (SELECT doc_id, arg_max(action, o_orderkey) AS action FROM d GROUP BY doc_id) SELECT documents.doc_id, coalesce(action, 'none') AS action, coalesce(action, 'none') <> 'exclude' AS usable FROM documents LEFT JOIN l USING (doc_id)""")
 def h29_review_decisions(spark, sf_dir):
     action = F.when(F.col("o_orderstatus") == "F", "keep").when(F.col("o_orderstatus") == "O", "exclude").otherwise("uncertain")
@@ -160,99 +101,23 @@ def h29_review_decisions(spark, sf_dir):
     return rows.withColumn("usable", F.col("action") != "exclude")
 
 
-@register("""WITH d AS (SELECT source, CASE WHEN source IN ('src1', 'src2') THEN 'exclude_shared' WHEN source = 'src3' THEN 'needs_rebind' ELSE 'keep' END AS decision FROM (SELECT DISTINCT source FROM documents)) SELECT decision, count(*) AS docs, count(DISTINCT source) AS clusters FROM documents JOIN d USING (source) GROUP BY decision""")
-def h30_cluster_decisions(spark, sf_dir):
-    decision = F.when(F.col("source").isin("src1", "src2"), "exclude_shared").when(F.col("source") == "src3", "needs_rebind").otherwise("keep")
-    return t(spark, sf_dir, "documents").groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("source").alias("clusters"))
-
-
-@register("""SELECT c_custkey, round(CASE WHEN n.n_regionkey = 0 THEN 1.0 WHEN n.n_regionkey = 1 THEN 0.55 ELSE 0.25 END * 0.2 + 0.45 * least(1, greatest(0, c_acctbal / 10000)) + 0.2 + 0.15 * 0.5, 4) AS score FROM customer JOIN nation n ON n_nationkey = c_nationkey""".replace(", 4) AS score", " + 1e-9, 4) AS score"))
-def h36_joint_resolution(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    context = F.when(F.col("n_regionkey") == 0, 1.0).when(F.col("n_regionkey") == 1, 0.55).otherwise(0.25)
-    score = context * 0.2 + 0.45 * S.clamp(F.col("c_acctbal") / 10000) + 0.2 + 0.15 * 0.5
-    return t(spark, sf_dir, "customer").join(n, "c_nationkey").select("c_custkey", F.round(score + 1e-9, 4).alias("score"))
-
-
-@register("""SELECT p_partkey, len(list_filter(string_split('red widget', ''), lambda c: contains(p_name, c))) / 10.0 * CASE WHEN contains(p_name, 'red') THEN 3 ELSE 1 END AS score FROM part""".replace("/ 10.0 * CASE", "* CASE").replace("AS score FROM", "/ 10.0 AS score FROM"))
-def h37_character_overlap(spark, sf_dir):
-    hits = F.size(F.filter(F.split(F.lit("red widget"), ""), lambda c: F.contains("p_name", c)))
-    return t(spark, sf_dir, "part").select("p_partkey", (hits * F.when(F.contains("p_name", F.lit("red")), 3).otherwise(1) / 10.0).alias("score"))
-
-
-@register("""WITH e AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS c FROM embeddings), b AS (SELECT vec_id, CASE WHEN label = 3 THEN c * 1.05 + 0.05 ELSE c END * CASE WHEN label = 5 AND c > 0.1 THEN 1.2 ELSE 1 END AS s FROM e) SELECT vec_id, round(s, 6) AS score FROM b WHERE s > 0.12""")
-def h39_boosted_score(spark, sf_dir):
-    from tessera.functions import vectors as V
-
-    e = t(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 7").select(F.col("embedding").alias("q")).limit(1)
-    c = e.crossJoin(F.broadcast(one)).select("vec_id", "label", V.cosine(F.col("embedding"), F.col("q")).alias("c"))
-    s = F.when(F.col("label") == 3, F.col("c") * 1.05 + 0.05).otherwise(F.col("c")) * F.when((F.col("label") == 5) & (F.col("c") > 0.1), 1.2).otherwise(1.0)
-    return c.select("vec_id", s.alias("score")).where("score > 0.12").withColumn("score", F.round("score", 6))
-
-
-@register("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'CONFLICT' WHEN o_orderstatus = 'F' THEN 'DUPLICATE' WHEN o_totalprice < 50000 THEN 'LOW_EVIDENCE' ELSE 'PENDING' END AS status FROM orders")
-def h42_candidate_status(spark, sf_dir):
-    p = F.col("o_totalprice")
-    return t(spark, sf_dir, "orders").select("o_orderkey", F.when(p > 300000, "CONFLICT").when(F.col("o_orderstatus") == "F", "DUPLICATE").when(p < 50000, "LOW_EVIDENCE").otherwise("PENDING").alias("status"))
-
-
-@register("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.95 ELSE round(0.6 * l_discount * 10 + 0.3 * l_tax * 10 + 0.1, 6) END AS score FROM lineitem")
-def h43_resolution_scores(spark, sf_dir):
-    blend = F.round(0.6 * F.col("l_discount") * 10 + 0.3 * F.col("l_tax") * 10 + 0.1, 6)
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.95).otherwise(blend).alias("score"))
-
-
-@register("SELECT l_orderkey, l_linenumber, round(0.65 * l_discount * 10 + 0.25 * l_tax * 10 + CASE WHEN l_linestatus = 'O' THEN 0.04 ELSE 0 END, 6) AS score FROM lineitem")
-def h44_reranked_score(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(0.65 * F.col("l_discount") * 10 + 0.25 * F.col("l_tax") * 10 + F.when(F.col("l_linestatus") == "O", 0.04).otherwise(0.0), 6).alias("score"))
-
-
 @register("""WITH q AS (SELECT p_partkey, unnest([{'kind': 'property', 'priority': 82}, {'kind': 'relation', 'priority': 75}, {'kind': 'temporal', 'priority': 60}]) AS z FROM part) SELECT p_partkey, z.kind AS kind, z.priority AS priority, sha1(p_partkey || '|' || z.kind)[1:12] AS question_id FROM q""")
 def k1_question_planning(spark, sf_dir):
     return rules.planned(t(spark, sf_dir, "part"), "p_partkey", {"property": 82, "relation": 75, "temporal": 60})
 
 
-@register("""SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THEN event_type WHEN value > 20 THEN 'PENDING' ELSE 'LOW_EVIDENCE' END AS status, CASE WHEN event_type IN ('purchase', 'error') THEN 'UNCHANGED' WHEN value > 60 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM events""")
-def k14_image_only_policy(spark, sf_dir):
-    done = F.col("event_type").isin("purchase", "error")
-    return t(spark, sf_dir, "events").select(
-        "event_id", F.when(done, F.col("event_type")).when(F.col("value") > 20, "PENDING").otherwise("LOW_EVIDENCE").alias("status"), F.when(done, "UNCHANGED").when(F.col("value") > 60, "MEDIUM").otherwise("HIGH").alias("risk")
-    )
-
-
 @register("""SELECT p_partkey, array_to_string(list_filter([p_name, p_type, CASE WHEN p_brand <> 'Brand#1' THEN p_brand ELSE '' END], lambda x: x <> ''), ' ') AS query FROM part""")
 def k15_query_text(spark, sf_dir):
     parts = F.array("p_name", "p_type", F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).otherwise(""))
     return t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), " ").alias("query"))
 
 
-@register("""WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax > 0.07), f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM c)) SELECT CASE WHEN l_discount >= 0.05 THEN 'facts' WHEN l_discount > 0 THEN 'discoveries' ELSE 'dropped' END AS bucket, count(*) AS n, count(DISTINCT l_partkey) AS subjects FROM f GROUP BY ALL""")
-def k16_result_projection(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem")
-    rows = rows.join(rows.where("l_tax > 0.07").select("l_partkey"), "l_partkey", "left_anti")
-    bucket = F.when(F.col("l_discount") >= 0.05, "facts").when(F.col("l_discount") > 0, "discoveries").otherwise("dropped")
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("subjects"))
-
-
-@register("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS k FROM embeddings) SELECT label, vec_id, k AS place FROM r WHERE k <= 3""")
-def k17_multimodal_rerank(spark, sf_dir):
-    rows = R.first_by_key(t(spark, sf_dir, "embeddings"), ["label"], [F.desc(F.element_at("embedding", 1)), F.col("vec_id")], 3)
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(F.desc(F.element_at("embedding", 1)), "vec_id"))).select("label", "vec_id", "place")
-
-
 @register("""WITH s AS (SELECT 1 AS level, doc_id FROM documents WHERE source = 'src99' UNION ALL SELECT 2, doc_id FROM documents WHERE source = 'src3' UNION ALL SELECT 3, doc_id FROM documents) SELECT doc_id, level FROM s WHERE level = (SELECT min(level) FROM s)""")
 def x6_scope_ladder(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     return rules.first_scope([d.where("source = 'src99'").select("doc_id"), d.where("source = 'src3'").select("doc_id"), d.select("doc_id")])
 
 
-@register("""SELECT doc_id, round(0.5 * least(1, n_chars / 10000) + 0.3 * (lang = 'en')::INT + 0.2 * (source = 'src0')::INT, 6) AS score FROM documents""")
-def x7_channel_fusion(spark, sf_dir):
-    score = 0.5 * F.least(F.lit(1.0), F.col("n_chars") / 10000) + 0.3 * (F.col("lang") == "en").cast("int") + 0.2 * (F.col("source") == "src0").cast("int")
-    return t(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"))
-
-
 @register("""SELECT event_id, json_extract_string(props, '$.k') AS wrapped, coalesce(nullif(event_type, 'view'), json_extract_string(props, '$.k')) AS value FROM events""")
 def s20_wrapped_values(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
@@ -273,12 +138,6 @@ def s27_keyword_migration(spark, sf_dir):
     return p.select("p_partkey", "id").join(words, "id", "left").select("p_partkey", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-@register("""SELECT n_nationkey, coalesce(r_name, 'OTHER') AS topic FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 3""")
-def s28_topic_assignment(spark, sf_dir):
-    r = t(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return t(spark, sf_dir, "nation").join(r, "n_regionkey", "left").select("n_nationkey", F.coalesce("r_name", F.lit("OTHER")).alias("topic"))
-
-
 @register(r"""SELECT p_partkey, CASE WHEN regexp_extract(p_brand, '(\d+)', 1) = '' THEN NULL ELSE regexp_extract(p_brand, '(\d+)', 1)::INT END AS people FROM part""")
 def s33_first_integer(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("int").alias("people"))
@@ -293,20 +152,3 @@ def s16_ocr_lines(spark, sf_dir):
     return rules.ocr_pages(R.first_by_key(li, ["asset", "line"], [F.col("text"), F.col("score")]), 0.55)
 
 
-@register("""WITH e AS (SELECT label AS asset, vec_id, arg_max(vec_id, vec_id) OVER (PARTITION BY label) AS last FROM embeddings) SELECT asset, max(last) AS last FROM e WHERE asset NOT IN (SELECT quality FROM labels WHERE quality IS NOT NULL) GROUP BY asset""")
-def s32_cluster_feed(spark, sf_dir):
-    rows = t(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("asset")).agg(F.max("vec_id").alias("last"))
-    return rows.join(t(spark, sf_dir, "labels").where("quality IS NOT NULL").select(F.col("quality").alias("asset")), "asset", "left_anti")
-
-
-@register("""SELECT n_regionkey AS part, string_agg(n_name, '' ORDER BY n_nationkey) AS whole, count(*) AS chunks FROM nation GROUP BY ALL""")
-def s7_chunk_assembly(spark, sf_dir):
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), "")
-    return t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("part")).agg(text.alias("whole"), F.count(F.lit(1)).alias("chunks"))
-
-
-@register("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(*) = 1 OR length(p_name) >= 2), c AS (SELECT conv_id, turn, text || ' ' || 'red widget' AS text FROM conversations WHERE turn = 0) SELECT conv_id, id FROM c JOIN n ON contains(text, name)""")
-def j11_mention_extraction(spark, sf_dir):
-    names = t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    texts = t(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.concat("text", F.lit(" red widget")).alias("text"))
-    return rules.mentions(texts, names, "conv_id", "text").select("conv_id", "id")

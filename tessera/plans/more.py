@@ -52,25 +52,6 @@ def u4_recall_channels(spark, sf_dir):
     return out.select(part[0].cast("int").alias("q_label"), part[1].cast("long").alias("gid"), F.round("score", 6).alias("score"))
 
 
-@register(f"WITH {PAIRS} SELECT qid, gid, row_number() OVER (ORDER BY rank, qid) AS place FROM r WHERE rank <= 3")
-def w7_rank_major_selection(spark, sf_dir):
-    rows = ranked(spark, sf_dir, 3)
-    # Within a rank, a query's place is its number among the queries; ranks follow one another, three in all.
-    n = rows.select("qid").distinct().agg(F.count(F.lit(1)).alias("n"))
-    number = F.row_number().over(W.partitionBy("rank").orderBy("qid"))
-    return rows.withColumn("k", number).crossJoin(F.broadcast(n)).select("qid", "gid", ((F.col("rank") - 1) * F.col("n") + F.col("k")).alias("place"))
-
-
-@register("""WITH h AS (SELECT c.conv_id, p.name FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) c, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) p WHERE contains(lower(c.text), p.name[1:2])),
-    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(name) DESC, name) AS n FROM h) SELECT conv_id, name FROM r WHERE n <= 3""")
-def w8_longest_first(spark, sf_dir):
-    names = t(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct().withColumn("gram", F.substring("name", 1, 2))
-    low = F.lower("text")
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))))
-    hits = t(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", grams.alias("gram")).join(names, "gram").select("conv_id", "name").distinct()
-    return R.first_by_key(hits, ["conv_id"], [F.desc(F.length("name")), F.col("name")], 3)
-
-
 @register(f"WITH {HASHES} SELECT a.vec_id, hamming(a.bits, b.bits) AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1")
 def h24_hamming_distance(spark, sf_dir):
     h = t(spark, sf_dir, "embeddings").select("vec_id", V.average_hash(F.col("embedding")).alias("bits"))
@@ -112,11 +93,3 @@ def g16_grounding_context(spark, sf_dir):
     rows = near.join(graphs.parts(spark, sf_dir), "id").join(n, "id", "left")
     return rows.select("id", "depth", "name", F.coalesce("relations", F.lit(0)).alias("relations"))
 
-
-@register("SELECT p_type AS tier_of, count(*) FILTER (p_name = 'red ring') AS exact, count(*) FILTER (starts_with(p_name, 'red') AND p_name <> 'red ring') AS beginning, count(*) FILTER (contains(p_name, 'red') AND NOT starts_with(p_name, 'red')) AS within FROM part GROUP BY p_type")
-def t8_relevance_tiers(spark, sf_dir):
-    name = F.col("p_name")
-    first = name.startswith("red")
-    return t(spark, sf_dir, "part").groupBy(F.col("p_type").alias("tier_of")).agg(
-        F.count_if(name == "red ring").alias("exact"), F.count_if(first & (name != "red ring")).alias("beginning"), F.count_if(name.contains("red") & ~first).alias("within")
-    )

@@ -59,18 +59,6 @@ def f5_content_filter(spark, sf_dir):
     return t(spark, sf_dir, "documents").where(R.has_content(F.col("text"), 40)).select("doc_id")
 
 
-@register("""WITH k AS (SELECT doc_id, text, contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT AS h FROM documents), v AS (SELECT doc_id, text, 1.0 / (1 + n_chars / 1000.0) AS s FROM documents),
-    a AS (SELECT doc_id AS id, text AS content, h * 1.0 AS similarity, 0 AS channel FROM k WHERE h > 1 AND doc_id % 3 = 0 UNION ALL SELECT doc_id, text, s, 1 FROM v WHERE doc_id % 2 = 0),
-    b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY channel, similarity DESC, id) AS n FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY md5(lower(trim(content))) ORDER BY channel, similarity DESC, id) AS m FROM b WHERE n = 1)
-    SELECT id, round(similarity, 6) AS similarity, channel FROM (SELECT * FROM c WHERE m = 1 ORDER BY channel, similarity DESC, id LIMIT 400)""")
-def u2_hybrid_merge(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    hits = X.keyword_hits(F.col("text"), ["the", "tion"])
-    first = d.where((hits > 1) & (F.col("doc_id") % 3 == 0)).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), hits.cast("double").alias("similarity"))
-    second = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (1.0 / (1 + F.col("n_chars") / 1000.0)).alias("similarity"))
-    return R.merged_search(first, second, 400).select("id", F.round("similarity", 6).alias("similarity"), "channel")
-
-
 @register("""WITH a AS (SELECT doc_id, md5(text) AS k, 3.0 AS score, 0 AS ch FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, md5(text), 2.0, 1 FROM documents WHERE n_chars > 1000),
     b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ch, doc_id) AS n FROM a) SELECT doc_id, score FROM b WHERE n = 1""")
 def u3_vector_keyword_merge(spark, sf_dir):
@@ -105,19 +93,6 @@ def w6_limit_after_dedupe(spark, sf_dir):
     return rows.withColumn("place", place).where("place <= 8").select("source", "doc_id", "place")
 
 
-@register("""WITH b AS (SELECT item_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS k FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS k FROM documents)
-    SELECT doc_id, item_id FROM d JOIN b ON contains(d.k, b.k)""".replace("\\\\", "\\"))
-def f8_grounded_passages(spark, sf_dir):
-    b = t(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("w"), X.compact(F.col("text")).alias("k"))
-    # A passage can only be in a text that holds its first word pair, so pairs make the join an equi-join.
-    pair = lambda w, i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))
-    b = b.where(F.size("w") >= 4).select("item_id", "k", pair(F.col("w"), F.lit(2)).alias("pair"))
-    d = t(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("w"), X.compact(F.col("text")).alias("text_key"))
-    pairs = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: pair(F.col("w"), i))))
-    hits = d.where(F.size("w") >= 4).select("doc_id", pairs.alias("pair")).join(b.select("item_id", "pair"), "pair").select("doc_id", "item_id").distinct()
-    return hits.join(d.select("doc_id", "text_key"), "doc_id").join(b.select("item_id", "k"), "item_id").where(F.contains("text_key", F.col("k"))).select("doc_id", "item_id")
-
-
 URL = r"""u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
     regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(regexp_extract(x, '^([^=]*)', 1)) NOT IN ('fbclid', 'gclid', 'spm', 'from')) AS q FROM pages)"""
 
@@ -161,18 +136,6 @@ def h28_resolved_url(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", X.resolved_url("http://base.example/", u).alias("resolved"))
 
 
-@register(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(no|not|never)\b') THEN 'negative' WHEN contains(lower(text), 'the') THEN 'affirmative' ELSE 'none' END AS reply FROM conversations""")
-def h34_reply_classifier(spark, sf_dir):
-    low = F.lower("text")
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(low.rlike(r"\b(no|not|never)\b"), "negative").when(low.contains("the"), "affirmative").otherwise("none").alias("reply"))
-
-
-@register("SELECT conv_id, bool_or(role = 'assistant' AND contains(text, 'tion')) AS pending FROM conversations GROUP BY conv_id")
-def q15_pending_confirmation(spark, sf_dir):
-    hit = (F.col("role") == "assistant") & F.contains("text", F.lit("tion"))
-    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(hit).alias("pending"))
-
-
 @register("""SELECT page_id, conv_id, turn, (sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn) - n - 1)::BIGINT AS char_start FROM (SELECT conv_id // 4 AS page_id, conv_id, turn, length(text) AS n FROM conversations)""")
 def w9_cumulative_offsets(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -259,11 +222,6 @@ def f3_json_predicate(spark, sf_dir):
     return t(spark, sf_dir, "events").where(k.isin(1, 5, 9)).select("event_id", k.alias("k"))
 
 
-@register("SELECT source, 'documents' AS table_name, count(*) AS n FROM documents GROUP BY source")
-def s24_catalog_preview(spark, sf_dir):
-    return t(spark, sf_dir, "documents").groupBy("source").agg(F.lit("documents").alias("table_name"), F.count(F.lit(1)).alias("n"))
-
-
 @register("SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'TOO_LARGE' WHEN lang NOT IN ('en', 'de') THEN 'UNSUPPORTED' END AS error FROM documents")
 def s30_upload_validation(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 2000, "TOO_LARGE").when(~F.col("lang").isin("en", "de"), "UNSUPPORTED").alias("error"))

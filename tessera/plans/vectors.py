@@ -1,4 +1,5 @@
-"""Queries on ``embeddings``: a vector's label is its node; every tenth vector is a query, the rest the gallery."""
+"""Queries on ``embeddings``: a vector's label is its node; vectors whose id is divisible by 50 are queries, and each is
+compared with all others."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import duplicates, retrieval as R
+from tessera.operators import assets, duplicates, retrieval as R
 
 from .registry import Registry
 from .shared import t
@@ -17,18 +18,16 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 PAIRS = """
     e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    q AS (SELECT * FROM e WHERE vec_id % 10 = 0), g AS (SELECT * FROM e WHERE vec_id % 10 <> 0),
+    q AS (SELECT * FROM e WHERE vec_id % 50 = 0), g AS (SELECT * FROM e),
     p AS (SELECT q.vec_id AS qid, q.label AS q_label, g.vec_id AS gid, g.label AS g_label,
-                 list_cosine_similarity(q.v, g.v) AS score FROM q, g),
+                 list_cosine_similarity(q.v, g.v) AS score FROM q, g WHERE q.vec_id <> g.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, gid) AS rank FROM p)"""
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = t(spark, sf_dir, "embeddings")
-    query, gallery = e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0")
-    return query.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), F.col("label").alias("q_label")), gallery.select(
-        F.col("vec_id").alias("gid"), F.col("embedding").alias("vec"), F.col("label").alias("g_label")
-    )
+    query = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), F.col("label").alias("q_label"))
+    return query, e.select(F.col("vec_id").alias("gid"), F.col("embedding").alias("vec"), F.col("label").alias("g_label"))
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int | None = None, metric: str = "cosine") -> DataFrame:
@@ -37,7 +36,7 @@ def ranked(spark: SparkSession, sf_dir: str, k: int | None = None, metric: str =
     return rows.join(q.select("qid", "q_label"), "qid").join(g.select("gid", "g_label"), "gid")
 
 
-@register(f"WITH {PAIRS} SELECT qid, gid, rank, round(greatest(0, 3 - sqrt(list_sum(list_transform(list_zip(qv, gv), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))), 6) AS score FROM (SELECT q.vec_id AS qid, g.vec_id AS gid, q.v AS qv, g.v AS gv, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, g.v), g.vec_id) AS rank FROM q, g) WHERE rank <= 10")
+@register(f"WITH {PAIRS} SELECT qid, gid, rank, round(greatest(0, 3 - sqrt(list_sum(list_transform(list_zip(qv, gv), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))), 6) AS score FROM (SELECT q.vec_id AS qid, g.vec_id AS gid, q.v AS qv, g.v AS gv, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, g.v), g.vec_id) AS rank FROM q, g WHERE q.vec_id <> g.vec_id) WHERE rank <= 10")
 def t1_vector_topk(spark, sf_dir):
     rows = ranked(spark, sf_dir, 10, "l2")
     return rows.select("qid", "gid", "rank", F.round(V.similarity(-F.col("score"), "text"), 6).alias("score"))
@@ -52,7 +51,7 @@ def t4_full_ranking(spark, sf_dir):
     SELECT qid, g_label, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score, round(avg(score) FILTER (k <= 3), 6) AS top3_mean,
            round(0.7 * max(score) + 0.3 * avg(score) FILTER (k <= 3), 6) AS hybrid_score FROM n GROUP BY ALL""")
 def a4_node_scores(spark, sf_dir):
-    out = R.node_scores(ranked(spark, sf_dir), ["qid", "g_label"])
+    out = R.label_scores(*split(spark, sf_dir))
     return out.select("qid", "g_label", *[F.round(c, 6).alias(c) for c in ("max_score", "mean_score", "top3_mean", "hybrid_score")])
 
 
@@ -72,16 +71,12 @@ def a5_centroid_scores(spark, sf_dir):
     SELECT count(*) AS cases, avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0 END) AS recall_5,
            avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0 END) AS recall_10, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM h""")
 def a17_recall_mrr(spark, sf_dir):
-    return R.topk_metrics(first_hits(ranked(spark, sf_dir)), [], "hit", [1, 5, 10]).withColumn("mrr", F.round("mrr", 6))
-
-
-def first_hits(rows: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    return rows.groupBy(*by).agg(F.min(F.when(F.col("q_label") == F.col("g_label"), F.col("rank"))).alias("hit"))
+    return R.topk_metrics(R.first_hits(*split(spark, sf_dir)), [], "hit", [1, 5, 10]).withColumn("mrr", F.round("mrr", 6))
 
 
 @register(f"WITH {PAIRS} SELECT qid, min(rank) FILTER (q_label = g_label) AS hit FROM r GROUP BY ALL")
 def w3_first_hit_rank(spark, sf_dir):
-    return first_hits(ranked(spark, sf_dir))
+    return R.first_hits(*split(spark, sf_dir)).select("qid", "hit")
 
 
 NODES = f"""{PAIRS}, s AS (SELECT qid, q_label, g_label, round(max(score), 2) AS s FROM p GROUP BY ALL),
@@ -89,7 +84,7 @@ NODES = f"""{PAIRS}, s AS (SELECT qid, q_label, g_label, round(max(score), 2) AS
 
 
 def node_ranks(spark, sf_dir):
-    best = ranked(spark, sf_dir).groupBy("qid", "q_label", "g_label").agg(F.round(F.max("score"), 2).alias("s"))
+    best = R.label_scores(*split(spark, sf_dir)).select("qid", "q_label", "g_label", F.round("max_score", 2).alias("s"))
     return R.tolerant_ranks(best, ["qid"], "s", "g_label").withColumnRenamed("rank", "node_rank")
 
 
@@ -112,20 +107,14 @@ def a18_node_metrics(spark, sf_dir):
     )
 
 
-@register(f"""WITH {PAIRS}, x AS (SELECT q.vec_id AS qid, q.label AS ql, g.vec_id AS gid, g.label AS gl, list_cosine_similarity(q.v[1:32], g.v[1:32]) AS a, list_cosine_similarity(q.v[33:64], g.v[33:64]) AS b FROM q, g),
+@register(f"""WITH {PAIRS}, x AS (SELECT q.vec_id AS qid, q.label AS ql, g.vec_id AS gid, g.label AS gl, list_cosine_similarity(q.v[1:32], g.v[1:32]) AS a, list_cosine_similarity(q.v[33:64], g.v[33:64]) AS b FROM q, g WHERE q.vec_id <> g.vec_id),
     w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha), z AS (SELECT alpha, qid, ql, gl, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * a + (1 - alpha) * b, 9) DESC, gid) AS rank FROM x, w),
     h AS (SELECT alpha, qid, min(rank) FILTER (ql = gl) AS hit FROM z GROUP BY ALL)
     SELECT alpha, count(*) AS cases, avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0 END) AS recall_5, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM h GROUP BY ALL""")
 def a19_alpha_sweep(spark, sf_dir):
-    q, g = split(spark, sf_dir)
-    half = lambda rows, lo: rows.withColumn("vec", F.slice("vec", lo, 32))
-    left = R.scored_pairs(half(q, 1), half(g, 1), None).select("qid", "gid", F.col("score").alias("a"))
-    right = R.scored_pairs(half(q, 33), half(g, 33), None).select("qid", "gid", F.col("score").alias("b"))
-    both = left.join(right, ["qid", "gid"]).join(q.select("qid", "q_label"), "qid").join(g.select("gid", "g_label"), "gid")
-    alpha = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("alpha")
-    rows = both.select("*", alpha).withColumn("s", F.round(F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b"), 9))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("alpha", "qid").orderBy(F.desc("s"), "gid")))
-    return R.topk_metrics(first_hits(rows, ("alpha", "qid")), ["alpha"], "hit", [1, 5]).withColumn("mrr", F.round("mrr", 6))
+    halves = [rows.withColumns({"one": F.slice("vec", 1, 32), "two": F.slice("vec", 33, 32)}) for rows in split(spark, sf_dir)]
+    hits = R.first_hits(*halves, ["one", "two"], [(x, 1 - x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    return R.topk_metrics(hits, ["alpha"], "hit", [1, 5]).withColumn("mrr", F.round("mrr", 6))
 
 
 @register("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), o AS (SELECT v FROM e WHERE vec_id = 7)
@@ -157,7 +146,7 @@ def t2_nearest_verification(spark, sf_dir):
 
 @register(f"""WITH {PAIRS}, m AS (SELECT qid, g_label, max(score) AS s FROM p GROUP BY ALL) SELECT qid, g_label, round(s, 6) AS s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, g_label) AS node_rank FROM m""")
 def w4_first_occurrence_rank(spark, sf_dir):
-    best = ranked(spark, sf_dir).groupBy("qid", "g_label").agg(F.max("score").alias("s"))
+    best = R.label_scores(*split(spark, sf_dir)).select("qid", "g_label", F.col("max_score").alias("s"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s"), "g_label"))
     return best.select("qid", "g_label", rank.alias("node_rank"), F.round("s", 6).alias("s"))
 
@@ -173,10 +162,9 @@ def a20_split_hits(spark, sf_dir):
     k AS (SELECT qid, unnest(list_filter([CASE WHEN hit IS NULL OR hit > 1 THEN 'image_top1' END, CASE WHEN hit IS NULL OR hit > 5 THEN 'image_top5' END], lambda x: x IS NOT NULL)) AS failure FROM f)
     SELECT failure, k.qid, list(gid ORDER BY rank) AS top FROM k JOIN r ON k.qid = r.qid AND rank <= 5 GROUP BY ALL""")
 def f19_failure_cases(spark, sf_dir):
-    rows = ranked(spark, sf_dir)
-    own = F.col("q_label") == F.col("g_label")
-    top = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "gid")))), lambda x: x["gid"])
-    cases = rows.groupBy("qid").agg(F.min(F.when(own, F.col("rank"))).alias("hit"), top.alias("top"))
+    q, g = split(spark, sf_dir)
+    top = F.transform(F.sort_array(F.collect_list(F.struct("rank", "gid"))), lambda x: x["gid"]).alias("top")
+    cases = R.first_hits(q, g).select("qid", "hit").join(R.scored_pairs(q, g, 5).groupBy("qid").agg(top), "qid")
     hit = F.coalesce("hit", F.lit(1 << 30))
     failures = F.array_compact(F.array(F.when(hit > 1, "image_top1"), F.when(hit > 5, "image_top5")))
     return cases.select(F.explode(failures).alias("failure"), "qid", "top")
@@ -202,19 +190,28 @@ def h38_average_hash(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", V.average_hash(F.col("embedding")).alias("bits"))
 
 
-NEAR = f"{HASHES}, d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same_label, hamming(a.bits, b.bits) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE hamming(a.bits, b.bits) <= 17)"
+#: Every vector's hash, and one more asset of the next node whose first id % 9 bits are the other way.
+ASSETS = f"""{HASHES}, h2 AS (SELECT vec_id * 2 AS id, label, bits FROM h UNION ALL SELECT vec_id * 2 + 1, (label + vec_id % 3) % 10, translate(bits[1 : vec_id % 9], '01', '10') || bits[vec_id % 9 + 1 : 64] FROM h)"""
+NEAR = f"{ASSETS}, d AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same_label, hamming(a.bits, b.bits) AS distance FROM h2 a JOIN h2 b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 5)"
+
+
+def hashed_assets(spark, sf_dir):
+    h = t(spark, sf_dir, "embeddings").select("vec_id", "label", V.average_hash(F.col("embedding")).alias("bits"))
+    n = (F.col("vec_id") % 9).cast("int")
+    flipped = F.concat(F.translate(F.substring("bits", 1, n), "01", "10"), F.substring("bits", n + 1, F.lit(64)))
+    return h.select((F.col("vec_id") * 2).alias("id"), "label", "bits").unionByName(h.select((F.col("vec_id") * 2 + 1).alias("id"), ((F.col("label") + F.col("vec_id") % 3) % 10).cast("int").alias("label"), flipped.alias("bits")))
 
 
 def near(spark, sf_dir):
-    h = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", V.average_hash(F.col("embedding")).alias("bits"))
-    pairs = duplicates.hamming_pairs(h.select("id", "bits"), 17)
+    h = hashed_assets(spark, sf_dir)
+    pairs = duplicates.hamming_pairs(h.select("id", "bits"), 5)
     one, two = (h.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").withColumn("same_label", F.col("label_a") == F.col("label_b"))
 
 
-@register(f"WITH {NEAR} SELECT a, b, distance, CASE WHEN same_label THEN 'keep_one' WHEN distance <= 5 THEN 'review' ELSE 'none' END AS action FROM d")
+@register(f"WITH {NEAR} SELECT a, b, distance, CASE WHEN same_label THEN 'same_node_duplicate_keep_one' ELSE 'cross_node_near_duplicate_manual_review' END AS action FROM d")
 def j12_near_duplicate_pairs(spark, sf_dir):
-    return near(spark, sf_dir).select("a", "b", F.col("distance").cast("long").alias("distance"), duplicates.suggested_action(F.col("same_label"), F.col("distance")).alias("action"))
+    return near(spark, sf_dir).select("a", "b", F.col("distance").cast("long").alias("distance"), assets.pair_action(F.col("same_label"), F.lit(None), F.lit(None), F.lit(None), F.col("distance")).alias("action"))
 
 
 @register(f"WITH {NEAR} SELECT a, list(b ORDER BY b) AS members FROM d GROUP BY ALL")
