@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,24 @@ def normalized_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, an array, with the value computed once however often ``use`` reads it."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Overlapping windows over the normalised text; the last reaches its end."""
-    clean, step = normalized_lines(text), size - overlap
-    last = F.ceil(F.greatest(F.length(clean) - size, F.lit(0)) / step).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: stripped(F.substring(clean, k * step + 1, F.lit(size))))
-    return F.filter(parts, lambda x: x != "")
+    """Overlapping windows over the normalised text; the last reaches its end.
+
+    One pass of a pattern cuts all windows (it takes a step and looks ahead for the rest), so a long text costs no more for
+    each character than a short one."""
+    step = size - overlap
+    windows = F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}")
+
+    def cut(clean: Column) -> Column:
+        n = 1 + F.ceil(F.greatest(F.length(clean) - size, F.lit(0)) / step).cast("int")
+        return F.filter(F.transform(F.slice(F.regexp_extract_all(clean, windows, F.lit(1)), 1, n), stripped), lambda x: x != "")
+
+    return once(normalized_lines(text), cut)
 
 
 def terms(text: Column, limit: int = 16) -> Column:
@@ -85,9 +99,13 @@ def safe_filename(name: Column) -> Column:
 
 def bigrams(text: Column, limit: int = 20) -> Column:
     """Adjacent pairs of words, joined."""
-    w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    n = F.least(F.size(w) - 1, F.lit(limit))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+    def pairs(w: Column) -> Column:
+        n = F.least(F.size(w) - 1, F.lit(limit))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+
+    return once(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""), pairs)
 
 
 def resolved_url(base: str, url: Column) -> Column:

@@ -62,9 +62,10 @@ CENTROIDS = """u AS (SELECT label, unnest(range(1, len(v) + 1)) AS pos, unnest(l
 @register(f"WITH {PAIRS}, {CENTROIDS} SELECT q.vec_id AS qid, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM q, c")
 def a5_centroid_scores(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    c = R.centroids(e, "label", "embedding").withColumnRenamed("centroid", "vec").withColumn("gid", F.col("label").cast("long"))
+    c = R.centroids(e, "label", "embedding").withColumnRenamed("centroid", "vec").withColumn("gid", -1 - F.col("label").cast("long"))
     q, _ = split(spark, sf_dir)
-    return R.scored_pairs(q, c, None).select("qid", F.col("gid").cast("int").alias("label"), F.round("score", 6).alias("score"))
+    # Numbers below 0 for labels: no centroid is a query itself.
+    return R.scored_pairs(q, c, None).select("qid", (-1 - F.col("gid")).cast("int").alias("label"), F.round("score", 6).alias("score"))
 
 
 @register(f"""WITH {PAIRS}, h AS (SELECT qid, min(rank) FILTER (q_label = g_label) AS hit FROM r GROUP BY ALL)
