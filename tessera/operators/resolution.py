@@ -114,9 +114,10 @@ def context_score(subject: Column, subject_parent: Column, target: Column, targe
 
 
 def joint_score(decision: Column, evidence: Column, context: Column, distance: Column) -> Column:
-    """0.45 of the recall decision's score, 0.2 of the evidence, 0.2 of the context and 0.15 of the nearest vector."""
+    """0.45 of the recall decision's score, 0.2 of the evidence, 0.2 of the context and 0.15 of the nearest vector (a null
+    distance: there is none)."""
     by_name = F.coalesce(looked_up(decision, DECISION), F.lit(0.0))
-    vector = F.coalesce(1 / (1 + F.greatest(F.lit(0.0), distance)), F.lit(0.0))
+    vector = F.when(distance.isNull(), 0.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), distance)))
     return scoring.rounded(0.45 * by_name + 0.20 * scoring.clamp(F.coalesce(evidence, F.lit(0.0))) + 0.20 * context + 0.15 * vector, 3)
 
 

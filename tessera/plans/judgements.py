@@ -241,7 +241,7 @@ def h43_resolution_scores(spark, sf_dir):
 JOINT = f"""{NODES}, pa AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 10 > 0 THEN p_partkey // 10 * 10 END AS parent FROM part), nv AS (SELECT mention, max(score) AS best FROM vr GROUP BY mention),
     j AS (SELECT rc.mention, decision, rc.node AS target, (rc.mention * 3) % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part) AS subject, CASE WHEN rc.mention % 6 > 0 THEN 1 - best END AS distance, CASE WHEN rc.mention % 8 > 0 THEN (rc.mention % 100) / 80.0 END AS ev FROM rc JOIN nv USING (mention)),
     cx AS (SELECT j.*, CASE WHEN target IS NULL THEN 0 WHEN coalesce(sp.parent = target, false) OR coalesce(tp.parent = subject, false) THEN 1.0 WHEN coalesce(sp.parent = tp.parent, false) THEN 0.55 ELSE 0.25 END AS context FROM j LEFT JOIN pa sp ON sp.node = subject LEFT JOIN pa tp ON tp.node = target),
-    sc AS (SELECT *, round((0.45 * CASE decision WHEN 'AUTO_EXACT_RECALL' THEN 1.0 WHEN 'AUTO_ALIAS_RECALL' THEN 0.85 WHEN 'REVIEW_REQUIRED' THEN 0.35 ELSE 0 END + 0.2 * least(1, coalesce(ev, 0)) + 0.2 * context + 0.15 * coalesce(1 / (1 + greatest(0, distance)), 0))::DECIMAL(20,10), 3)::DOUBLE AS score FROM cx)"""
+    sc AS (SELECT *, round((0.45 * CASE decision WHEN 'AUTO_EXACT_RECALL' THEN 1.0 WHEN 'AUTO_ALIAS_RECALL' THEN 0.85 WHEN 'REVIEW_REQUIRED' THEN 0.35 ELSE 0 END + 0.2 * least(1, coalesce(ev, 0)) + 0.2 * context + 0.15 * CASE WHEN distance IS NULL THEN 0 ELSE 1 / (1 + greatest(0, distance)) END)::DECIMAL(20,10), 3)::DOUBLE AS score FROM cx)"""
 
 
 @register(f"WITH {JOINT} SELECT mention, context::DOUBLE AS context, score, CASE WHEN decision IN ('AUTO_EXACT_RECALL', 'AUTO_ALIAS_RECALL') AND score >= 0.7 THEN 'REVIEW_READY_DETERMINISTIC' WHEN distance IS NOT NULL AND score >= 0.45 THEN 'REVIEW_REQUIRED_VECTOR_SUPPORT' ELSE 'REVIEW_REQUIRED' END AS review FROM sc")
