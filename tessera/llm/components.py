@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage_table
+from .shared import looked_up, stage_table
 
 
 def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -21,9 +21,10 @@ def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     before, done = None, 0
     while rounds is None or done < rounds:
         # Large star: the larger neighbours of a node go to the smallest of the node and its neighbours.
+        # Nodes with very many neighbours are looked up by broadcast, so that no task gets all edges of one.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = stage_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "neighbours")
+        large = looked_up(both, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # Small star: a node and its smaller neighbours go to the smallest of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
