@@ -50,10 +50,11 @@ def final_states(events: DataFrame, key: str, order: list[str], event: str, star
 
 def first_rule(facts: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """(key, assessment): per key the rule of smallest priority whose conditions (rule, priority, name, least, assessment)
-    all hold for its facts (key, name, value); DEFAULT where none does."""
+    all hold for its facts (key, name, value); DEFAULT where none does.  Whether the rules are broadcast is left to Spark, which
+    knows their size."""
     size = rules.groupBy("rule", "priority", "assessment").agg(F.count(F.lit(1)).alias("n"))
-    held = facts.join(F.broadcast(rules.select("rule", "name", "least")), "name").where(F.col("value") >= F.col("least"))
-    held = held.groupBy(key, "rule").agg(F.count(F.lit(1)).alias("h")).join(F.broadcast(size), "rule").where("h = n")
+    held = facts.join(rules.select("rule", "name", "least"), "name").where(F.col("value") >= F.col("least"))
+    held = held.groupBy(key, "rule").agg(F.count(F.lit(1)).alias("h")).join(size, "rule").where("h = n")
     best = held.groupBy(key).agg(F.min_by("assessment", "priority").alias("assessment"))
     return facts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("assessment", F.lit("DEFAULT")).alias("assessment"))
 

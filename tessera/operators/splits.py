@@ -20,10 +20,13 @@ def stratified(rows: DataFrame, stratum: str, cluster: str, share: float, order:
 
 
 def sample_with_top_up(rows: DataFrame, stratum: str, n: int, order: Column, row_id: str) -> DataFrame:
-    """``n`` rows: as many of each stratum as fit evenly, the rest from what is left, both in ``order``."""
+    """``n`` rows: as many of each stratum as fit evenly, the rest from what is left, both in ``order``.
+
+    Only a stratum's first ``n`` rows can be among them, so each task keeps that many of it before they meet."""
     kinds = rows.select(F.countDistinct(stratum).alias("_kinds"))
     each = F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_kinds")))
-    rows = rows.withColumns({"_o": order, "_k": F.row_number().over(W.partitionBy(stratum).orderBy(order, row_id))}).crossJoin(F.broadcast(kinds))
+    first = rows.withColumns({"_o": order, "_k": F.row_number().over(W.partitionBy(stratum).orderBy(order, row_id))}).where(F.col("_k") <= n)
+    rows = first.crossJoin(F.broadcast(kinds))
     return rows.orderBy((F.col("_k") > each).cast("int"), "_o", row_id).limit(n).drop("_o", "_k", "_kinds")
 
 

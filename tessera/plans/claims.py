@@ -175,7 +175,7 @@ def k10_same_value_sanitiser(spark, sf_dir):
 @register(f"WITH {CLAIMS} SELECT predicate, value, CASE predicate WHEN 'status' THEN 'exclusive' ELSE 'append' END AS policy, count(*) AS claims FROM c GROUP BY ALL")
 def k12_policy_lookup(spark, sf_dir):
     table = spark.createDataFrame([("status", "exclusive")], "predicate string, policy string")
-    rows = claims(spark, sf_dir).join(F.broadcast(table), "predicate", "left")
+    rows = claims(spark, sf_dir).join(table, "predicate", "left")
     return rows.groupBy("predicate", "value", F.coalesce("policy", F.lit("append")).alias("policy")).agg(F.count(F.lit(1)).alias("claims"))
 
 
