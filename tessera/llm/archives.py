@@ -157,8 +157,8 @@ def write_files(records: DataFrame, path: str, between: str) -> None:
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of batches, of which one slice at a time is held as Python values."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            yield from zip(*(c.slice(lo, 64).to_pylist() for c in batch.columns), strict=True)
+        for lo in range(0, batch.num_rows, 8):
+            yield from zip(*(c.slice(lo, 8).to_pylist() for c in batch.columns), strict=True)
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:

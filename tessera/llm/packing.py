@@ -102,10 +102,12 @@ def packed(rows: DataFrame, packers: int, first: int, capacity: int) -> DataFram
         lengths = frame["length"].to_numpy()
         bins, offsets = sum_of_squares(lengths, capacity)
         gaps = capacity - np.bincount(bins, lengths).astype(np.int64)
-        return frame.assign(sequence_id=frame["packer"].to_numpy() * (1 << 32) + bins, offset=offsets, gap=gaps[bins])[[*PIECES.names, "sequence_id", "offset", "gap"]]
+        return frame.assign(sequence_id=frame["packer"].to_numpy() * (1 << 32) + bins, offset=offsets, gap=gaps[bins])[[*PIECES.names, "unnamed", "sequence_id", "offset", "gap"]]
 
-    dealt = rows.withColumn("packer", F.pmod(F.xxhash64("deal", "piece"), F.lit(packers)) + first)
-    return dealt.groupBy("packer").applyInPandas(one, f"{DDL}, sequence_id long, offset long, gap long")
+    # A null would make all ids of a frame floating-point numbers.
+    dealt = rows.withColumns({"packer": F.pmod(F.xxhash64("deal", "piece"), F.lit(packers)) + first, "unnamed": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0))})
+    out = dealt.groupBy("packer").applyInPandas(one, f"{DDL}, unnamed boolean, sequence_id long, offset long, gap long")
+    return out.withColumn("id", F.when(~F.col("unnamed"), F.col("id"))).drop("unnamed")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, group: int = GROUP) -> DataFrame:

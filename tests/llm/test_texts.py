@@ -49,12 +49,13 @@ def test_packing_places_every_piece_once(spark, tokenizer):
 
 
 def test_repeated_rows_and_rows_without_ids_are_dealt_apart(spark):
-    docs = spark.createDataFrame([(7, "same text")] * 40 + [(None, "same text")] * 40 + [(None, None)] * 3, "doc_id long, text string").coalesce(2)
+    large = (1 << 60) + 1
+    docs = spark.createDataFrame([(large, "same text")] * 40 + [(None, "same text")] * 40 + [(None, None)] * 3, "doc_id long, text string").coalesce(2)
     path = queries.tokenizer("word_bpe_49k.json")
     deals = [r["deal"] for r in packing.pieces(docs, path, "doc_id", "text").collect()]
     assert len(set(deals)) > 75
     rows = packing.pack(docs, path, group=20).collect()
-    assert Counter(r["id"] for r in rows) == {7: 40, None: 43} and len({(r["sequence_id"], r["offset"]) for r in rows}) == 83
+    assert Counter(r["id"] for r in rows) == {large: 40, None: 43} and len({(r["sequence_id"], r["offset"]) for r in rows}) == 83
 
 
 def test_packing_is_near_the_lower_bound(spark):
