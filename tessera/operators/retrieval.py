@@ -22,7 +22,8 @@ PLACEHOLDERS = ["暂无内容", "暂无", "无", "null"]
 
 def _blocks(rows: DataFrame, key: str, vec: list[str], more: list[str], size: int, name: str) -> DataFrame:
     """One row per block of about ``size`` rows, with a list of each column (numbers; a null is NaN).  Blocks are dealt by a
-    hash of the key, so their number grows with the rows and none is hot."""
+    hash of the key, so their number grows with the rows and none is hot.  Rows without a key or vector are left out."""
+    rows = rows.dropna(subset=[key, *vec])
     count = max(1, round(rows.count() / size))
     part = F.pmod(F.xxhash64(key), F.lit(count)).alias(name)
     each = {"ids": F.col(key)} | {v: vectors.doubles(F.col(v)) for v in vec} | {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in more}
