@@ -242,7 +242,7 @@ def fused_channels(hits: DataFrame, key: str, channel: str, score: str, weights:
     return best.groupBy(key).agg(F.sum(F.col("_s") * weight).alias("score"))
 
 
-#: Lengths of the stretches that join passages to texts, the longest that a passage has.
+#: Lengths of the stretches that join passages to texts; one of n characters serves passages of 2n - 1 or more.
 GRAMS = (12, 4, 1)
 
 
@@ -250,21 +250,25 @@ def held_beginnings(docs: DataFrame, passages: DataFrame, doc: str, text: str, i
     """(doc, item, whole): texts that hold the first ``length`` characters of a passage, and whether they hold all of it.
     Passages without a character are in no text.
 
-    Both sides are joined by a stretch of fixed length at every place of a text (at the beginning of a passage), and only then
-    compared as a whole; texts are cut by one pass of a pattern, so that long ones cost no more for each character."""
+    A text is cut into stretches of n characters, by one pass of a pattern.  A beginning of 2n - 1 characters or more that
+    lies in it covers one of them as a whole, which is the beginning's stretch at one of n offsets.  So these join the two,
+    and only what they find is compared as a whole."""
     size = F.lit(None).cast("int")
     for n in sorted(GRAMS):
-        size = F.when(F.length(passage) >= n, n).otherwise(size)
-    asked = stages.stage(passages.where(F.length(passage) > 0).select(item, passage, size.alias("_n")).withColumn("_gram", F.substring(passage, F.lit(1), F.col("_n"))), "passages")
-    keys = asked.select("_n", "_gram").distinct()
+        size = F.when(F.length("_b") >= 2 * n - 1, n).otherwise(size)
+    asked = passages.where(F.length(passage) > 0).withColumn("_b", F.substring(passage, 1, length))
+    asked = stages.stage(asked.select(item, passage, "_b", size.alias("_n")), "passages")
     hits = None
     for n in GRAMS:
-        if asked.where(F.col("_n") == n).isEmpty():
+        some = asked.where(F.col("_n") == n)
+        if some.isEmpty():
             continue
-        grams = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("_gram")
-        found = docs.select(doc, grams).join(keys.where(F.col("_n") == n).select("_gram"), "_gram").join(asked.where(F.col("_n") == n).select("_gram", item), "_gram").select(doc, item)
+        offsets = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.col("_b"), i, F.lit(n)))  # noqa: B023
+        keys = some.select(item, F.explode(F.array_distinct(offsets)).alias("_gram"))
+        grams = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s).{{{n}}}"), F.lit(0)))).alias("_gram")
+        found = docs.select(doc, grams).join(keys, "_gram").select(doc, item).distinct()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select(doc).join(asked.select(item), F.lit(False)).withColumn("whole", F.lit(False))
-    rows = hits.join(docs.select(doc, text), doc).join(asked.select(item, passage), item)
-    return rows.where(F.contains(text, F.substring(passage, 1, length))).select(doc, item, F.contains(text, F.col(passage)).alias("whole"))
+    rows = hits.join(docs.select(doc, text), doc).join(asked.select(item, passage, "_b"), item)
+    return rows.where(F.contains(text, F.col("_b"))).select(doc, item, F.contains(text, F.col(passage)).alias("whole"))

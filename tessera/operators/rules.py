@@ -85,8 +85,7 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFra
 
     A name's first three characters, or all of a shorter name, must be somewhere in the text, so candidates are joined by
     the stretches of one to three characters at every place, and only then looked for as a whole."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    parts = F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col(text), i, F.lit(n)) for n in (1, 2, 3)])))
+    parts = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
     some = names.where(F.length("name") >= 1).withColumn("gram", F.substring("name", 1, 3))
     found = texts.select(key, F.explode(F.array_distinct(parts)).alias("gram")).join(some, "gram").join(texts.select(key, text), key)
     return found.where(F.contains(text, F.col("name"))).select(key, "name", "id").distinct()
