@@ -243,7 +243,7 @@ def s12_web_page_extraction(spark, sf_dir):
     return html.page_texts(t(spark, sf_dir, "pages"), "page_id", "html", boilerplate=True, least_line=8, most=6000)
 
 
-@register()
+@register("SELECT page_id AS id, length(coalesce(html, '')) AS n, 'utf-8' AS encoding FROM pages")
 def s6_decode_bytes(spark, sf_dir):
     files = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return html.decode_files(files, "page_id", "content").select("id", F.length("text").alias("n"), "encoding")
