@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, exact_dedup, near_dedup, packing, pieces, quality, secrets, transcripts, url_filter, vector_dedup
+from . import archives, exact_dedup, filter_audit, lattice, near_dedup, packing, periodic, pieces, quality, secrets, transcripts, url_filter, vector_dedup
 from .shared import stage_table, table
 
 #: (host, path, verdict) of the rules of op10.
@@ -88,9 +88,36 @@ def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
+def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by the id's CRC-32, repeats some of its words from some place on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"), F.floor(h / 10).alias("g"))
+    planted = planted.withColumns({"n": F.size("w"), "a": F.expr("CAST(g % size(w) AS INT)")})
+    planted = planted.withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
+    words = F.expr("array_join(transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[a + (i - a) % p] END), ' ')")
+    return planted.select("doc_id", F.when(F.col("n") > 0, words).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.scan(with_planted_runs(table(spark, sf_dir, "documents")))
+    sums = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("runs", "collapsed")]
+    return rows.select(F.col("id").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli", *sums)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op6_hmm_transcripts, op7_streaming_viterbi, op8_byte_cnn, op9_rotation_codes, op10_url_language_model)
-}
+    f.__name__: f for f in (
+        op1_bag_minhash, op2_arc_to_warc, op3_sum_of_squares_packing, op4_token_efficiency, op5_exact_dedup, op6_hmm_transcripts, op7_streaming_viterbi,
+        op8_byte_cnn, op9_rotation_codes, op10_url_language_model, op11_subword_lattice, op12_filter_interactions, op13_periodic_runs,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
@@ -98,4 +125,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
+    "op12_filter_interactions": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        fails AS (
+            SELECT w.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+                   [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+                    regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS f
+            FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        placed AS (SELECT part, filter_order, good, toxic, f, list_min([CASE WHEN f[k] THEN instr(filter_order, 'ABCDE'[k]) ELSE 6 END FOR k IN [1, 2, 3, 4, 5]]) AS pos FROM fails, orders),
+        steps AS (SELECT unnest([1, 2, 3, 4, 5]) AS step),
+        counted AS (
+            SELECT part, filter_order, step, filter_order[step] AS letter, count_if(pos > step) AS kept, count_if(pos = step) AS removed,
+                   count_if(f[instr('ABCDE', filter_order[step])] AND pos < step) AS redundant,
+                   count_if(f[instr('ABCDE', filter_order[step])] AND list_sum([CASE WHEN x THEN 1 ELSE 0 END FOR x IN f]) = 1) AS unique_fails,
+                   count_if(pos = step AND good) AS good_lost, count_if(pos = step AND toxic) AS toxic_lost
+            FROM placed, steps GROUP BY ALL)
+        SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted""",
 }
