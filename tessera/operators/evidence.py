@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import rules
-from .retrieval import first_by_key
+from . import mentions as names
 
 #: Names of a chunk at most, text and image evidence of a batch, seconds of a lease.
 MOST_NAMES, TEXTS, IMAGES, LEASE = 30, 200, 16, 900
@@ -19,23 +18,9 @@ SOURCES = {"provided": "provided_evidence", "local_kb": "domain_kb", "kb": "doma
 OWN_ONLY = ("self", "self_web", "node")
 
 
-def unique_names(nodes: DataFrame, least: int = 2) -> DataFrame:
-    """(name, id) of nodes (name, id) whose name, of ``least`` characters or more, no other node has."""
-    rows = nodes.select(F.trim("name").alias("name"), "id").where((F.length("name") >= least) & F.col("id").isNotNull())
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-
-
 def mentions(texts: DataFrame, nodes: DataFrame, key: str, text: str, most: int = MOST_NAMES) -> DataFrame:
-    """(key, id, name, place): the unique names of nodes that texts hold, from the longest on, ``most`` of a text.  A name
-    that is a number must not touch other letters or digits."""
-    found = rules.mentions(texts, unique_names(nodes), key, text)
-    alone = F.concat(F.lit("(?<![0-9A-Za-z])"), F.col("name"), F.lit("(?![0-9A-Za-z])"))
-    number = F.col("name").rlike("^[0-9]+$")
-    held = found.where(number).join(texts.select(key, text), key).where(F.regexp_like(F.col(text), alone)).select(key, "name", "id")
-    found = found.where(~number).select(key, "name", "id").unionByName(held)
-    order = [F.desc(F.length("name")), F.col("name")]
-    rows = first_by_key(found, [key], order, most)
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).select(key, "id", "name", "place")
+    """``names.mentions`` with the usual number of names of a text."""
+    return names.mentions(texts, nodes, key, text, most)
 
 
 def claim_batches(units: DataFrame, texts: int = TEXTS, images: int = IMAGES) -> DataFrame:

@@ -27,11 +27,6 @@ def scoped(rows: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     return rows if seeds.isEmpty() else rows.join(seeds, key, "left_semi")
 
 
-def aliased(name: Column, aliases: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for kv in aliases.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[name], name)
-
-
 def year_of(text: Column) -> Column:
     """The first year from 1000 to 2099 in a text."""
     return F.regexp_extract(text, r"\b(1[0-9]{3}|20[0-9]{2})\b", 1).try_cast("int")
@@ -78,14 +73,3 @@ def ocr_pages(lines: DataFrame, least: float) -> DataFrame:
         F.round(F.avg(F.when(kept, F.col("score"))), 6).alias("mean_kept"), F.count_if(kept).alias("kept"),
     )
     return out.withColumn("clean", F.nullif(F.col("clean"), F.lit("")))
-
-
-def mentions(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, id): the names (name, id) that texts hold.
-
-    A name's first three characters, or all of a shorter name, must be somewhere in the text, so candidates are joined by
-    the stretches of one to three characters at every place, and only then looked for as a whole."""
-    parts = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
-    some = names.where(F.length("name") >= 1).withColumn("gram", F.substring("name", 1, 3))
-    found = texts.select(key, F.explode(F.array_distinct(parts)).alias("gram")).join(some, "gram").join(texts.select(key, text), key)
-    return found.where(F.contains(text, F.col("name"))).select(key, "name", "id").distinct()
