@@ -9,7 +9,7 @@ from tessera.functions import scoring as S
 from tessera.functions import texts as X
 from tessera.functions import vectors as V
 from tessera.operators import claim_checks as C
-from tessera.operators import dialogue, evidence, resolution as Z, retrieval as R, spaces
+from tessera.operators import dialogue, evidence, resolution as Z, retrieval as R, spaces, vector_index
 
 from .fixtures import CLAIMS, claims, pick, pick_sql
 from .registry import Registry
@@ -194,13 +194,19 @@ def h12_canonical_predicate(spark, sf_dir):
     return claims(spark, sf_dir).join(aliases, "predicate", "left").select("claim", Z.canonical_predicate(F.col("predicate"), role, temporal=("construction_time",)).alias("predicate"))
 
 
-#: Nodes are parts; names that several have are ambiguous.  A mention is a customer's, of the node that its key points at.
+#: Nodes are parts; names that several have are ambiguous.  A mention is a customer's, of the node that its key points at.  The
+#: vectors of nodes are those of their number; a mention has one of the queries' vectors, each drawn near to the next node's.
 NODES = """n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_name || ' ' || p_partkey END AS name FROM part), al AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_brand || '-' || p_partkey END AS name FROM part),
-    me AS (SELECT c_custkey AS mention, CASE c_custkey % 4 WHEN 0 THEN upper(p_name) || '(' || p_partkey || ')' WHEN 1 THEN p_brand || ' ' || p_partkey WHEN 2 THEN p_name ELSE c_name END AS name FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part)),
+    pc AS (SELECT count(*) AS n, min(p_partkey) AS lo FROM part), c0 AS (SELECT c_custkey, c_name, c_custkey % n + lo AS p_partkey FROM customer, pc),
+    me AS (SELECT c_custkey AS mention, CASE c_custkey % 4 WHEN 0 THEN upper(p_name) || '(' || p_partkey || ')' WHEN 1 THEN p_brand || ' ' || p_partkey WHEN 2 THEN p_name ELSE c_name END AS name FROM c0 JOIN part USING (p_partkey)),
     nk AS (SELECT lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS key, count(DISTINCT node) AS n, min(node) AS node FROM n GROUP BY key), ak AS (SELECT lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS key, count(DISTINCT node) AS n, min(node) AS node FROM al GROUP BY key),
     rc AS (SELECT mention, coalesce(nk.n, ak.n, 0) AS candidates, CASE WHEN coalesce(nk.n, ak.n, 0) = 1 THEN coalesce(nk.node, ak.node) END AS node, CASE WHEN coalesce(nk.n, ak.n, 0) = 0 THEN 'NO_GRAPH_MATCH' WHEN coalesce(nk.n, ak.n) > 1 THEN 'REVIEW_REQUIRED' WHEN nk.n = 1 THEN 'AUTO_EXACT_RECALL' ELSE 'AUTO_ALIAS_RECALL' END AS decision
         FROM me LEFT JOIN nk ON nk.key = lower(regexp_replace(me.name, '[^\\p{L}\\p{N}]', '', 'g')) LEFT JOIN ak ON ak.key = lower(regexp_replace(me.name, '[^\\p{L}\\p{N}]', '', 'g'))),
-    vr AS (SELECT mention, p_partkey AS node, round(0.55 + ((mention * 7 + k * 13) % 45) / 100.0, 6) AS score FROM me, (SELECT unnest([1, 2, 3]) AS k), part WHERE p_partkey = (mention + k) % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part))""".replace("\\\\", "\\")
+    ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    qv AS (SELECT a.vec_id AS qid, list_transform(list_zip(a.v, b.v), lambda x: x[1] * (0.5 - a.vec_id // 50 % 5 * 0.1) + x[2] * (0.5 + a.vec_id // 50 % 5 * 0.1)) AS v FROM ev a JOIN ev b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0),
+    qc AS (SELECT count(*) AS n FROM qv), mq AS (SELECT mention, mention % n * 50 AS qid FROM me, qc),
+    qs AS (SELECT qid, ev.vec_id AS node, round(list_cosine_similarity(qv.v, ev.v), 6) AS score FROM qv, ev WHERE ev.vec_id <> qid),
+    vr AS (SELECT mention, node, score FROM mq JOIN (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) <= 5) USING (qid))""".replace("\\\\", "\\")
 
 
 def named(spark, sf_dir):
@@ -215,8 +221,15 @@ def named(spark, sf_dir):
     rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name", (c % n + least).alias("p_partkey")).join(part, "p_partkey")
     name = F.when(c % 4 == 0, F.concat(F.upper("p_name"), F.lit("("), number, F.lit(")"))).when(c % 4 == 1, F.concat("p_brand", F.lit(" "), number)).when(c % 4 == 2, F.col("p_name")).otherwise(F.col("c_name"))
     mentions = rows.select(c.alias("mention"), name.alias("name"))
-    k = F.col("k")
-    ranked = mentions.select("mention", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).select("mention", ((F.col("mention") + k) % n + least).alias("node"), F.round(0.55 + ((F.col("mention") * 7 + k * 13) % 45) / 100.0, 6).alias("score"))
+    e = t(spark, sf_dir, "embeddings")
+    share = F.col("vec_id").cast("long")
+    share = 0.5 + F.floor(share / 50) % 5 * 0.1
+    near = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    mixed = F.zip_with("embedding", "next", lambda x, y: x.cast("double") * (1 - share) + y.cast("double") * share)
+    asked = e.where("vec_id % 50 = 0").join(near, "vec_id").select(F.col("vec_id").alias("qid"), mixed.alias("vec"))
+    best = vector_index.top_k(asked, e.select(F.col("vec_id").alias("gid"), F.col("embedding").alias("vec")), 5)
+    queries = mentions.select("mention", (F.col("mention") % asked.count() * 50).alias("qid"))
+    ranked = queries.join(best, "qid").select("mention", F.col("gid").alias("node"), F.round("score", 6).alias("score"))
     return Z.name_recall(mentions, nodes, aliases), ranked, n, least
 
 
@@ -239,7 +252,7 @@ def h43_resolution_scores(spark, sf_dir):
 
 
 JOINT = f"""{NODES}, pa AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 10 > 0 THEN p_partkey // 10 * 10 END AS parent FROM part), nv AS (SELECT mention, max(score) AS best FROM vr GROUP BY mention),
-    j AS (SELECT rc.mention, decision, rc.node AS target, (rc.mention * 3) % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part) AS subject, CASE WHEN rc.mention % 6 > 0 THEN 1 - best END AS distance, CASE WHEN rc.mention % 8 > 0 THEN (rc.mention % 100) / 80.0 END AS ev FROM rc JOIN nv USING (mention)),
+    j AS (SELECT rc.mention, decision, rc.node AS target, (rc.mention * 3) % pc.n + pc.lo AS subject, CASE WHEN rc.mention % 6 > 0 THEN 1 - best END AS distance, CASE WHEN rc.mention % 8 > 0 THEN (rc.mention % 100) / 80.0 END AS ev FROM pc, rc JOIN nv USING (mention)),
     cx AS (SELECT j.*, CASE WHEN target IS NULL THEN 0 WHEN coalesce(sp.parent = target, false) OR coalesce(tp.parent = subject, false) THEN 1.0 WHEN coalesce(sp.parent = tp.parent, false) THEN 0.55 ELSE 0.25 END AS context FROM j LEFT JOIN pa sp ON sp.node = subject LEFT JOIN pa tp ON tp.node = target),
     sc AS (SELECT *, round((0.45 * CASE decision WHEN 'AUTO_EXACT_RECALL' THEN 1.0 WHEN 'AUTO_ALIAS_RECALL' THEN 0.85 WHEN 'REVIEW_REQUIRED' THEN 0.35 ELSE 0 END + 0.2 * least(1, coalesce(ev, 0)) + 0.2 * context + 0.15 * CASE WHEN distance IS NULL THEN 0 ELSE 1 / (1 + greatest(0, distance)) END)::DECIMAL(20,10), 3)::DOUBLE AS score FROM cx)"""
 
