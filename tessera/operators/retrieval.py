@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,66 +13,30 @@ from pyspark.sql import functions as F
 from tessera.functions import texts, vectors
 from tessera.sources import stages
 
-#: Vectors of a block; two blocks meet in one row.
-QUERY_BLOCK, GALLERY_BLOCK = 256, 2048
+from . import vector_index
 
 #: Texts that stand for no content.
 PLACEHOLDERS = ["暂无内容", "暂无", "无", "null"]
 
 
-def _blocks(rows: DataFrame, key: str, vec: list[str], more: list[str], size: int, name: str) -> DataFrame:
-    """One row per block of about ``size`` rows, with a list of each column (numbers; a null is NaN).  Blocks are dealt by a
-    hash of the key, so their number grows with the rows and none is hot.  Rows without a key or vector are left out."""
-    rows = rows.dropna(subset=[key, *vec])
-    count = max(1, round(rows.count() / size))
-    part = F.pmod(F.xxhash64(key), F.lit(count)).alias(name)
-    each = {"ids": F.col(key)} | {v: vectors.doubles(F.col(v)) for v in vec} | {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in more}
-    rows = rows.select(part, *[x.alias(f"{name}_{c}") for c, x in each.items()])
-    return rows.groupBy(name).agg(*[F.collect_list(f"{name}_{c}").alias(f"{name}_{c}") for c in each])
-
-
-def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Similarities of two sets of vectors (a distance is taken negative), to 12 digits, so that equal vectors have equal
-    ones wherever they stand."""
-    if metric == "l2":
-        return -np.round(np.stack([np.sqrt(((x - b) ** 2).sum(axis=1)) for x in a]), 12)
-    s = a @ b.T
-    if metric == "cosine":
-        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
-        s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
-    return np.round(s, 12)
-
-
 def met_in_blocks(
     queries: DataFrame, gallery: DataFrame, reduce: Callable[..., pd.DataFrame], schema: str, vec: Sequence[str] = ("vec",), of_query: Sequence[str] = (), of_gallery: Sequence[str] = (), metric: str = "cosine"
 ) -> DataFrame:
     """What ``reduce(qids, gids, [scores by each vector], query columns, gallery columns)`` makes of every meeting of a block of
     ``queries`` (qid, *vec, *of_query) with one of the ``gallery`` (gid, *vec, *of_gallery).  No vector meets itself: the score of a
     gid with its equal qid is -inf."""
-    q = _blocks(queries, "qid", list(vec), list(of_query), QUERY_BLOCK, "qb")
-    g = _blocks(gallery, "gid", list(vec), list(of_gallery), GALLERY_BLOCK, "gb")
-
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                qid, gid = np.asarray(row["qb_ids"]), np.asarray(row["gb_ids"])
-                every = []
-                for v in vec:
-                    a, b = (np.array([np.asarray(x, float) for x in row[f"{side}_{v}"]]) for side in ("qb", "gb"))
-                    s = scores(a, b, metric)
-                    s[qid[:, None] == gid[None]] = -np.inf
-                    every.append(s)
-                yield reduce(qid, gid, every, {c: np.asarray(row[f"qb_{c}"]) for c in of_query}, {c: np.asarray(row[f"gb_{c}"]) for c in of_gallery})
-
-    return q.crossJoin(g).repartition("qb", "gb").mapInPandas(meet, schema)
+    index = vector_index.build(gallery, "gid", vec, of_gallery, metric, cells=1)
+    return vector_index.meet(queries, "qid", index, vector_index.everywhere, reduce, schema, of_query)
 
 
 def scored_pairs(queries: DataFrame, gallery: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
     """(qid, gid, score, rank): the gallery ranked for each query by ``metric`` (``cosine``, ``dot`` or ``l2``), best
     first and ties by gid; the first ``k`` of them, or all.
 
-    ``queries`` has (qid, vec), ``gallery`` (gid, vec).  A meeting of blocks keeps its own best ``k``, so what is ranked at
-    last is ``k`` rows per query and gallery block."""
+    ``queries`` has (qid, vec), ``gallery`` (gid, vec).  The first ``k`` by a metric of distances come from an exact index; else
+    a meeting of blocks keeps its own best ``k``."""
+    if k and metric != "dot":
+        return vector_index.top_k(queries, gallery, k, metric)
 
     def best(qid, gid, every, _, __):  # noqa: ANN001, ANN202
         top = min(k or len(gid), len(gid))
@@ -112,8 +76,8 @@ def first_hits(queries: DataFrame, gallery: DataFrame, vec: Sequence[str] = ("ve
     """(alpha, qid, hit): the rank of the first vector of a query's own label by the weighted sum of cosines of the columns
     ``vec``, for each of the ``weights`` (alpha is the first weight); null where there is none.
 
-    A first meeting of all blocks finds each query's best vector of its label, a second one counts the vectors before it;
-    either gives one row per query, weight and block."""
+    A query first meets the vectors of its own label alone, for the best of them; then those that can come before it are
+    counted: by one vector, those within its radius; by several, all."""
 
     def mixed(every, w):  # noqa: ANN001, ANN202
         return np.round(sum(x * s for x, s in zip(w, every, strict=True) if x), 9) if len(w) > 1 else every[0]
@@ -127,8 +91,16 @@ def first_hits(queries: DataFrame, gallery: DataFrame, vec: Sequence[str] = ("ve
             out.append(pd.DataFrame({"alpha": w[0], "qid": qid, "score": top, "gid": gid[order]})[np.isfinite(top)])
         return pd.concat(out)
 
-    found = met_in_blocks(queries, gallery, best, "alpha double, qid long, score double, gid long", vec, ["q_label"], ["g_label"])
+    index = vector_index.build(gallery, "gid", vec, ["g_label"], within="g_label")
+    asked = queries.withColumn("_cell", vector_index.cell_of(F.col("q_label")))
+    schema = "alpha double, qid long, score double, gid long"
+    found = vector_index.meet(asked, "qid", index, vector_index.own_cell(index, "_cell"), best, schema, ["q_label", "_cell"])
     first = found.groupBy("alpha", "qid").agg(F.max(F.struct("score", (-F.col("gid")).alias("g"))).alias("x"))
+    if len(vec) == 1:
+        hits = first.select("qid", "x.score", (-F.col("x.g")).alias("hit"))
+        asked = stages.stage(queries.select("qid", F.col(vec[0]).alias("vec")).join(hits, "qid", "left"), "own-hits")
+        n = vector_index.count_ahead(asked, gallery.select("gid", F.col(vec[0]).alias("vec")))
+        return queries.select("qid").join(n, "qid", "left").select(F.lit(float(weights[0][0])).alias("alpha"), "qid", (F.col("n") + 1).cast("int").alias("hit"))
     wide = first.groupBy("qid").agg(*[F.max(F.when(F.col("alpha") == w[0], x)).alias(f"{c}{k}") for k, w in enumerate(weights) for c, x in (("s", F.col("x.score")), ("g", -F.col("x.g")))])
     names = [f"{c}{k}" for k in range(len(weights)) for c in "sg"]
 
@@ -146,14 +118,6 @@ def first_hits(queries: DataFrame, gallery: DataFrame, vec: Sequence[str] = ("ve
     return every.join(counts, ["alpha", "qid"], "left")
 
 
-def node_scores(hits: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Per group of hits: max, mean, mean of the best three, and 0.7 of the max with 0.3 of the mean of the best three."""
-    best = W.partitionBy(*keys).orderBy(F.desc(score))
-    rows = hits.withColumn("_n", F.row_number().over(best))
-    out = rows.groupBy(*keys).agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.avg(F.when(F.col("_n") <= 3, F.col(score))).alias("top3_mean"))
-    return out.withColumn("hybrid_score", 0.7 * F.col("max_score") + 0.3 * F.col("top3_mean"))
-
-
 def centroids(rows: DataFrame, key: str, vec: str) -> DataFrame:
     """(key, centroid): the mean of the normalised vectors, at length 1."""
     each = rows.select(key, F.posexplode(vectors.normalized(F.col(vec))).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))

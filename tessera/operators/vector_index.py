@@ -32,7 +32,7 @@ from tessera.sources import stages
 #: Vectors of a block, and queries of a row that meets one.
 BLOCK, CHUNK = 2048, 256
 #: Vectors that centers are fitted on, cells, and vectors of a cell that a further one is worth.
-SAMPLE, CELLS, WORTH = 4096, 1024, 256
+SAMPLE, CELLS, WORTH = 4096, 1024, 2048
 #: What rounding may add to a distance.
 SLACK = 1e-6
 
@@ -49,29 +49,37 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 12)
 
 
+def pack(batch: pa.RecordBatch, key: str, vec: Sequence[str], kinds: Sequence[str], more: Sequence[str]) -> pa.RecordBatch:
+    """A batch's (key, each vector as little-endian floats, *more), without vectors that cannot be compared."""
+    good, out = np.ones(batch.num_rows, bool), [batch.column(key)]
+    for v, kind in zip(vec, kinds, strict=True):
+        lists = batch.column(v)
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        odd = np.concatenate([[0], np.cumsum(~np.isfinite(values))])[ends]
+        good &= (length > 0) & (odd[1:] == odd[:-1])
+        at = pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes())
+        out.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, at, pa.py_buffer(values.tobytes())]))
+    return pa.record_batch([*out, *[batch.column(c) for c in more]], names=[key, *vec, *more]).filter(pa.array(good))
+
+
+def plain(rows: DataFrame, key: str, vec: Sequence[str], more: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(key, *vec, each of ``more`` as a double, null as NaN) of rows with a key, and the width of each vector's floats."""
+    each = [F.col(key).cast("long").alias(key), *vec, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in more]]
+    return rows.where(F.col(key).isNotNull()).select(*each), [width(rows, v) for v in vec]
+
+
 def packed(rows: DataFrame, key: str, vec: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
-    """(key, each vector as little-endian floats of its own width, each of ``more`` as a double, null as NaN)."""
-    kinds = ["<f4" if isinstance(rows.schema[v].dataType.elementType, FloatType) else "<f8" for v in vec]
-    names = [key, *vec, *more]
+    """(key, each vector as little-endian floats of its own width, *more as doubles)."""
+    rows, kinds = plain(rows, key, vec, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, out = np.ones(batch.num_rows, bool), [batch.column(key)]
-            for v, kind in zip(vec, kinds, strict=True):
-                lists = batch.column(v)
-                length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
-                ends = np.concatenate([[0], np.cumsum(length)])
-                odd = np.concatenate([[0], np.cumsum(~np.isfinite(values))])[ends]
-                good &= (length > 0) & (odd[1:] == odd[:-1])
-                at = pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes())
-                out.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, at, pa.py_buffer(values.tobytes())]))
-            table = pa.record_batch([*out, *[batch.column(c) for c in more]], names=names)
-            yield table.filter(pa.array(good))
+            yield pack(batch, key, vec, kinds, more)
 
-    each = [F.col(key).cast("long").alias(key), *vec, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in more]]
     schema = ", ".join([f"{key} long", *[f"{v} binary" for v in vec], *[f"{c} double" for c in more]])
-    return rows.where(F.col(key).isNotNull()).select(*each).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def width(rows: DataFrame, vec: str) -> str:
@@ -131,34 +139,33 @@ class Index:
 def build(gallery: DataFrame, key: str, vec: Sequence[str] = ("vec",), more: Sequence[str] = (), metric: str = "cosine", cells: int | None = None, within: str | None = None) -> Index:
     """The index of a gallery (key, *vec, *more).  Cells are formed for one vector column and a metric of distances; with
     several, or the inner product, there is one cell.  ``within`` names one of ``more``, whose values are dealt to CELLS cells."""
-    rows = packed(gallery, key, vec, more)
-    kinds = [width(gallery, v) for v in vec]
-    centers = None
+    rows, kinds = packed(gallery, key, vec, more), [width(gallery, v) for v in vec]
+    n = gallery.count()
+    count = cells or n // WORTH
+    centers, low, high = None, np.zeros(1), np.zeros(1)
     if within:
-        assigned = rows.where(~F.isnan(within)).select("*", cell_of(F.col(within)).cast("int").alias("cell"), F.lit(0.0).alias("d"))
-    elif len(vec) > 1 or metric == "dot" or cells == 1:
-        assigned = rows.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("d"))
+        # The cells' sizes need no vector.
+        each = {r[0]: r[1] for r in gallery.where(F.col(within).isNotNull()).groupBy(cell_of(F.col(within))).count().collect()}
+        sizes = np.array([each.get(c, 0) for c in range(CELLS)])
+        assigned = rows.where(~F.isnan(within)).withColumn("cell", cell_of(F.col(within)).cast("int"))
+    elif len(vec) > 1 or metric == "dot" or count <= 1:
+        sizes, assigned = np.array([n]), rows.withColumn("cell", F.lit(0))
     else:
-        rows = stages.stage(rows, "vectors")
-        n = rows.count()
         some = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0).select(vec[0]).limit(2 * SAMPLE).toPandas()[vec[0]].tolist()
         lengths = [len(x) for x in some]
-        usual = max(set(lengths), key=lambda k: (lengths.count(k), k)) if lengths else 0
+        usual = max(set(lengths), key=lambda k: (lengths.count(k), k)) if lengths else 8
         sample = matrix([x for x in some if len(x) == usual], kinds[0]) if some else np.zeros((1, 1))
         sample = unit(sample) if metric == "cosine" else sample
-        centers = centers_of(sample, max(1, min(CELLS, len(sample), cells or n // WORTH)))
-        assigned = _assigned(rows.where(F.length(vec[0]) == usual), key, vec[0], more, kinds[0], centers, metric)
-    assigned = stages.stage(assigned, "cells")
-    # One row for each cell, CELLS at most.
-    stats = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
-    count = max([len(centers) if centers is not None else 1, *[c + 1 for c in stats]])
-    column = lambda name, empty: np.array([stats[c][name] if c in stats else empty for c in range(count)])
-    sizes = column("n", 0)
+        centers = centers_of(sample, max(1, min(CELLS, len(sample), count)))
+        assigned = stages.stage(_assigned(rows.where(F.length(vec[0]) == usual), key, vec[0], more, kinds[0], centers, metric), "cells")
+        # One row for each cell, CELLS at most.
+        stats = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
+        sizes, low, high = (np.array([stats[c][x] if c in stats else 0 for c in range(len(centers))]) for x in ("n", "low", "high"))
     n_blocks = -(-sizes // BLOCK)
     block = F.pmod(F.xxhash64(key), F.element_at(F.lit([max(1, int(x)) for x in n_blocks]), F.col("cell") + 1)).cast("int").alias("block")
     named = {"ids": key} | {v: v for v in vec} | {c: c for c in more}
     blocks = assigned.select("cell", block, *[F.col(c).alias(f"g_{x}") for x, c in named.items()]).groupBy("cell", "block").agg(*[F.collect_list(f"g_{x}").alias(f"g_{x}") for x in named])
-    return Index(blocks, [*vec], kinds, [*more], metric, centers, n_blocks, sizes, column("low", 0.0), column("high", 0.0))
+    return Index(blocks, [*vec], kinds, [*more], metric, centers, n_blocks, sizes, low, high)
 
 
 def _assigned(rows: DataFrame, key: str, vec: str, more: Sequence[str], kind: str, centers: np.ndarray, metric: str) -> DataFrame:
@@ -238,6 +245,7 @@ def meet(queries: DataFrame, key: str, index: Index, choose: Choose, reduce: Cal
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = pack(batch, key, vec, q_kinds, of_query)
             if not batch.num_rows:
                 continue
             raw = [np.array(batch.column(v).to_pylist(), object) for v in vec]
@@ -273,7 +281,7 @@ def meet(queries: DataFrame, key: str, index: Index, choose: Choose, reduce: Cal
                 yield reduce(qid, gid, every, {c: np.frombuffer(row[f"q_{c}"], "<f8") for c in of_query}, {c: np.asarray(row[f"g_{c}"]) for c in more})
 
     index_dim = None if index.centers is None else index.centers.shape[1]
-    dealt = packed(queries, key, vec, of_query).mapInArrow(deal, ", ".join(["cell int", *[f"{n} binary" for n in names[1:]]]))
+    dealt = plain(queries, key, vec, of_query)[0].mapInArrow(deal, ", ".join(["cell int", *[f"{n} binary" for n in names[1:]]]))
     last = F.element_at(F.lit([int(x) for x in index.n_blocks]), F.col("cell") + 1) - 1
     visits = dealt.select("*", F.explode(F.sequence(F.lit(0), last)).alias("block"))
     return visits.join(index.blocks, ["cell", "block"]).mapInPandas(together, schema)
