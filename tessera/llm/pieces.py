@@ -13,8 +13,8 @@ Where no piece has a space sign behind another character, no path crosses the pl
 meet there.  Stretches between such places are therefore streams of their own, whatever their length, and a worker keeps
 the ids of short ones that it has streamed, up to ``limit`` of them.
 
-Defined results: a null or empty text has no ids and decodes to the empty text.  The space sign itself in a text decodes
-to a space.  Repeated rows are encoded each.  An empty table gives an empty result.  Other columns are not read.
+Defined results: a null or empty text has no ids and decodes to the empty text.  The space sign itself in a text becomes
+its byte pieces, so it comes back as it was.  Repeated rows are encoded each.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 SPACE = "▁"
+#: Stands for a space sign of the text itself: a lone surrogate, which no text in UTF-8 has.
+SIGN = "\ud800"
 ZIPF = 10.0
 #: What an unknown character costs beyond the least probable piece.
 UNKNOWN = 10.0
@@ -72,7 +74,7 @@ class Pieces:
         self.limit, self.solved = limit, {}
 
     def fallback(self, char: str) -> tuple[int, tuple[int, ...]]:
-        raw = char.encode("utf-8", "surrogatepass")
+        raw = (SPACE if char == SIGN else char).encode("utf-8", "surrogatepass")
         return self.unknown * len(raw), tuple(self.bytes[b] for b in raw)
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
@@ -127,7 +129,7 @@ class Pieces:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        text = SPACE + text.replace(" ", SPACE)
+        text = SPACE + text.replace(SPACE, SIGN).replace(" ", SPACE)
         if not self.apart:
             return np.fromiter(chain.from_iterable(self.stream(text)), "<u4").tobytes()
         solved, out = self.solved, []

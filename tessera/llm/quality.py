@@ -109,7 +109,9 @@ def gradients(w: Weights, data: np.ndarray, places: np.ndarray, owner: np.ndarra
     g["embed"] = np.zeros_like(w["embed"])
     used = np.flatnonzero(dx.any(axis=1))
     np.add.at(g["embed"], data.reshape(-1, STRIDE)[used], dx[used].reshape(-1, STRIDE, EMBED))
-    return float(-np.mean(np.where(labels > 0.5, np.log(y), np.log1p(-y)))), g
+    # In the logit, which doesn't saturate.
+    z = np.clip(h @ w["w2"] + w["b2"], -30, 30)
+    return float(np.mean(np.logaddexp(0, z) - labels * z)), g
 
 
 def fit(texts: list[list[bytes]], labels: np.ndarray) -> Weights:

@@ -206,6 +206,15 @@ def test_scan_of_odd_tables(spark):
     assert {r["text"] for r in secrets.mask(rows, *vocabulary).collect()} == {'[SECRET]"'}
 
 
+def test_space_signs_of_a_text_come_back(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    texts = ["▁", "a▁b", "▁▁ ▁", " ▁ a", "a b", "▁" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pieces.decode(pieces.encode(rows, path), path).orderBy("id").collect()
+    assert [r["text"] for r in got] == texts
+    assert got[0]["n_ids"] == 4  # the space in front and three bytes
+
+
 def test_pieces_round_trip_and_are_optimal(spark):
     path = queries.tokenizer("piece_bpe_32k.model")
     model = pieces.Pieces(path, limit=3)
