@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.stages import stage
 
+from . import set_join
+
 
 def co_occurrence(rows: DataFrame, page: str, entity: str) -> DataFrame:
     """(a, b, pages): every two different entities on a page, with the number of pages they share."""
@@ -52,40 +54,78 @@ def hops(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def neighbourhood(nodes: DataFrame, edges: DataFrame, root: int, most: int = 3, least: int = 1, relations: list[str] | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of the nodes at ``least`` to ``most`` steps from a root, over edges (a, b, relation) of the given relations alone:
+    id, name, kind, depth, total (of all pages) and has_more, by depth, name and id."""
+    way = edges if relations is None else edges.where(F.col("relation").isin(*relations))
+    near = hops(way, edges.sparkSession.createDataFrame([(root,)], "id long"), most).where((F.col("depth") >= least) & (F.col("id") != root))
+    return page(near.join(nodes, "id"), ["depth", "name", "id"], offset, limit)
+
+
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """``limit`` rows from ``offset`` on, with the number of all rows and whether more follow."""
+    rows = stage(rows, "found")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    some = rows.orderBy(*order).offset(offset).limit(limit)
+    return some.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+
+
 def shortest_path(edges: DataFrame, source: int, target: int, most: int = 10) -> DataFrame:
-    """(step, id): the shortest path, of several the one that is smallest step by step; no rows beyond ``most`` hops."""
+    """(step, id, from): the shortest path, of several the one that is smallest step by step, and the node before each; no rows
+    beyond ``most`` hops.
+
+    Frontiers grow from both ends, the smaller one next, until they meet.  Nodes on shortest paths are then read back from the
+    meeting, layer by layer on either side; the path itself takes one of them a step."""
     spark = edges.sparkSession
     way = stage(both_ways(edges), "edges")
-    seen = spark.createDataFrame([(target, 0)], "id long, depth int")
-    depth = 0
-    while seen.where(F.col("id") == source).isEmpty():
-        depth += 1
-        if depth > most:
-            return seen.where("false").select(F.col("depth").alias("step"), "id")
-        front = way.join(seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = front.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
-        seen = stage(seen.unionByName(front), "seen")
-    # From the source, the smallest neighbour that is one nearer to the target; one row a step.
+    layers = [[spark.createDataFrame([(x,)], "id long")] for x in (source, target)]
+    seen, sizes, met = [x[0] for x in layers], [1, 1], None
+    nothing = spark.createDataFrame([], "step int, id long, from long")
+    if source == target:
+        met = layers[0][0]
+    while met is None:
+        if len(layers[0]) + len(layers[1]) - 2 >= most or 0 in sizes:
+            return nothing
+        k = 0 if sizes[0] <= sizes[1] else 1
+        front = way.join(layers[k][-1].withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen[k], "id", "left_anti")
+        front = stage(front, "frontier")
+        layers[k].append(front)
+        seen[k], sizes[k] = seen[k].unionByName(front), front.count()
+        both = front.join(layers[1 - k][-1], "id", "left_semi")
+        met = None if both.isEmpty() else stage(both, "meeting")
+    on = [met]  # nodes on shortest paths, a step at a time
+    for layer in layers[0][-2::-1]:
+        on.insert(0, stage(layer.join(way.join(on[0].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")), "id", "left_semi"), "on-path"))
+    for layer in layers[1][-2::-1]:
+        on.append(stage(layer.join(way.join(on[-1].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")), "id", "left_semi"), "on-path"))
     path = [source]
-    for d in range(depth - 1, -1, -1):
-        near = way.where(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(seen.where(F.col("depth") == d), "id")
+    for step in on[1:]:
+        near = way.where(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(step, "id")
         path.append(near.agg(F.min("id")).first()[0])
-    return spark.createDataFrame(list(enumerate(path)), "step int, id long")
+    return spark.createDataFrame([(k, x, path[k - 1] if k else None) for k, x in enumerate(path)], "step int, id long, from long")
+
+
+def _walks(way: DataFrame, start: int, steps: int) -> list[DataFrame]:
+    """(path, end) of all walks without repeated nodes from a node, by length from 0 on."""
+    out = [way.sparkSession.createDataFrame([([start], start)], "path array<long>, end long")]
+    for _ in range(steps):
+        step = out[-1].join(way.select(F.col("src").alias("end"), "dst"), "end").where(~F.array_contains("path", F.col("dst")))
+        out.append(stage(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end")), "walks"))
+    return out
 
 
-def simple_paths(edges: DataFrame, source: int, target: int, most: int) -> DataFrame:
-    """(path, length): all paths without repeated nodes of at most ``most`` edges.  Only nodes that can still reach the
-    target in time are entered."""
+def simple_paths(edges: DataFrame, source: int, target: int, most: int = 3) -> DataFrame:
+    """(path, length): all paths without repeated nodes of at most ``most`` edges.
+
+    A path is two halves that meet in its middle and share nothing else, so walks go half as far from either end."""
     way = stage(both_ways(edges), "edges")
-    left = hops(edges, edges.sparkSession.createDataFrame([(target,)], "id long"), most).select(F.col("id").alias("dst"), F.col("depth").alias("left"))
-    paths = edges.sparkSession.createDataFrame([([source], source)], "path array<long>, src long")
+    ahead, behind = _walks(way, source, (most + 1) // 2), _walks(way, target, most // 2)
     done = None
     for k in range(1, most + 1):
-        step = paths.join(way, "src").where(~F.array_contains("path", F.col("dst"))).join(left, "dst").where(F.col("left") <= most - k)
-        step = stage(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src")), "paths")
-        found = step.where(F.col("src") == target).select("path", F.lit(k).alias("length"))
+        back = behind[k // 2].select(F.reverse("path").alias("rest"), "end")
+        both = ahead[(k + 1) // 2].join(back, "end").where(F.size(F.array_intersect("path", "rest")) == 1)
+        found = both.select(F.concat("path", F.slice("rest", F.lit(2), F.size("rest"))).alias("path"), F.lit(k).alias("length"))
         done = found if done is None else done.unionByName(found)
-        paths = step.where(F.col("src") != target)
     return done
 
 
@@ -97,21 +137,30 @@ def common_neighbours(edges: DataFrame, root: int) -> DataFrame:
     return far.join(near.withColumnRenamed("src", "id"), "id", "left_anti")
 
 
-def jaccard(edges: DataFrame, k: int, cutoff: float, most_degree: int | None = None) -> DataFrame:
-    """(a, b, common, similarity): for each node its ``k`` most similar ones by shared neighbours, at least ``cutoff``;
-    adjacent pairs are left out afterwards and each pair is told once.  A neighbour with more than ``most_degree`` edges
-    joins no pairs where that is given."""
+def similar_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10, cutoff: float = 0.75, selected: DataFrame | None = None, names: int = 8) -> DataFrame:
+    """(source, target, similarity, common, names): of each node's ``k`` most similar ones by shared neighbours (ties by id), at
+    least ``cutoff``, those with a greater id, the same kind and no edge to it; with the number of neighbours in common and
+    the first of their names.
+
+    Where nodes are ``selected`` (id), pairs have one of them, as the source if the target is none."""
     way = stage(both_ways(edges), "edges")
-    degree = way.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    bridge = way if most_degree is None else way.join(degree.where(F.col("d") <= most_degree).select(F.col("src").alias("dst")), "dst", "left_semi")
-    two = bridge.select(F.col("src").alias("other"), "dst")
-    common = bridge.join(two, "dst").where("src <> other").groupBy("src", "other").agg(F.count(F.lit(1)).alias("common"))
-    rows = common.join(degree, "src").join(degree.select(F.col("src").alias("other"), F.col("d").alias("e")), "other")
-    rows = rows.withColumn("similarity", F.col("common") / (F.col("d") + F.col("e") - F.col("common"))).where(F.col("similarity") >= cutoff)
-    best = W.partitionBy("src").orderBy(F.desc("similarity"), "other")
-    rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
-    rows = rows.select(F.least("src", "other").alias("a"), F.greatest("src", "other").alias("b"), "common", "similarity").distinct()
-    return rows.join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stage(set_join.similar_sets(way, "src", "dst", cutoff), "similar")
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "similarity"))
+    best = W.partitionBy("x").orderBy(F.desc("similarity"), "y")
+    rows = both.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= k) & (F.col("x") < F.col("y"))).drop("_n")
+    kinds = nodes.select("id", "kind")
+    rows = rows.join(kinds.withColumnsRenamed({"id": "x", "kind": "_k"}), "x").join(kinds.withColumnsRenamed({"id": "y", "kind": "_l"}), "y").where(F.col("_k") == F.col("_l"))
+    rows = rows.join(way.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_anti")
+    swap = F.lit(False)
+    if selected is not None:
+        one = selected.select("id").distinct().withColumn("_in", F.lit(True))
+        rows = rows.join(one.withColumnsRenamed({"id": "x", "_in": "_a"}), "x", "left").join(one.withColumnsRenamed({"id": "y", "_in": "_b"}), "y", "left").where("_a OR _b")
+        swap = F.col("_a").isNull()
+    shared = rows.select("x", "y").join(way.select(F.col("src").alias("x"), F.col("dst").alias("id")), "x").join(way.select(F.col("src").alias("y"), F.col("dst").alias("id")), ["y", "id"])
+    named = shared.join(nodes.select("id", "name"), "id").groupBy("x", "y").agg(F.slice(F.sort_array(F.collect_set("name")), 1, names).alias("names"))
+    rows = rows.join(named, ["x", "y"], "left")
+    pick = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
+    return rows.select(pick("y", "x").alias("source"), pick("x", "y").alias("target"), "similarity", "common", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hierarchy
+
 # Factors by where a unit's place lies from the asker's, for a named place and for the topic.
 SAME, ABOVE, BELOW, NAMED, TOPIC = 2.0, 1.2, 1.8, 3.0, 1.5
 #: Topics that ask for what is near, units that answer them, and topics with factors of their own.
@@ -12,16 +14,9 @@ NEARBY_TOPICS, NEARBY_UNITS = ("路线", "服务", "SERVICE", "ROUTE"), ("路线
 BUILDING_TOPICS, GENERAL_TOPICS = ("建筑", "BUILDING"), ("百科", "ENCYCLOPEDIA", "历史", "HISTORY")
 
 
-def closure(parents: DataFrame, most: int = 16) -> DataFrame:
-    """(above, below) for a tree of (space, parent): every place and all places beneath it, ``most`` steps down at most."""
-    pairs = step = parents.where("parent IS NOT NULL AND parent <> space").select(F.col("parent").alias("above"), F.col("space").alias("below"))
-    edges = step.select(F.col("above").alias("below"), F.col("below").alias("next"))
-    for _ in range(most - 1):
-        step = step.join(edges, "below").select("above", F.col("next").alias("below"))
-        if step.isEmpty():
-            break
-        pairs = pairs.unionByName(step)
-    return pairs.distinct()
+def closure(parents: DataFrame) -> DataFrame:
+    """(above, below) for a tree of (space, parent): every place and all places beneath it, at any depth."""
+    return hierarchy.ancestors(parents, "space", "parent").select("above", "below")
 
 
 def relation(pairs: DataFrame, asked: DataFrame) -> DataFrame:

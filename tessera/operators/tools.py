@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, retrieval
+from . import graph, hierarchy, retrieval
 
 #: Fixed value: rows of a page of a table's preview.
 PAGE = 50
@@ -31,17 +31,10 @@ def topics(items: DataFrame, tree: DataFrame, default: str) -> DataFrame:
     return items.join(first, "id", "left").select("id", F.coalesce("topic", F.lit(default)).alias("topic"))
 
 
-def resolved_aliases(registry: DataFrame, most: int = 8) -> DataFrame:
-    """(key, resolved) of a registry (key, alias_for): the entry at the end of a chain of aliases, null where the chain leaves the
-    registry or is longer than ``most`` (or a circle)."""
-    ends = registry.where("alias_for IS NULL").select("key", F.col("key").alias("resolved"))
-    now = ends
-    for _ in range(most):
-        now = registry.where("alias_for IS NOT NULL").join(now.select(F.col("key").alias("alias_for"), "resolved"), "alias_for").select("key", "resolved")
-        if now.isEmpty():
-            break
-        ends = ends.unionByName(now)
-    return registry.select("key").join(ends, "key", "left")
+def resolved_aliases(registry: DataFrame) -> DataFrame:
+    """(key, resolved) of a registry (key, alias_for): the entry at the end of a chain of aliases of any length, null where the
+    chain leaves the registry or is a circle."""
+    return hierarchy.ends(registry, "key", "alias_for").withColumnRenamed("end", "resolved")
 
 
 def search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int = 20) -> DataFrame:

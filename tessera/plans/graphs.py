@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators import hierarchy
 
 from .registry import Registry
 from .shared import t
@@ -20,13 +21,10 @@ ROOT, GOAL = 1, 21
 EDGES = """o AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS id FROM lineitem),
     e AS (SELECT x.id AS a, y.id AS b, count(*) AS pages FROM o x JOIN o y ON x.page = y.page AND x.id < y.id GROUP BY ALL),
     w AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"""
-#: A sparser graph for the long traversals: parts that share two orders or more.
-STRONG = EDGES.replace("GROUP BY ALL)", "GROUP BY ALL HAVING count(*) >= 2)", 1)
 
 
-def edges(spark, sf_dir, least: int = 1) -> DataFrame:
-    rows = G.co_occurrence(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
-    return rows.where(F.col("pages") >= least)
+def edges(spark, sf_dir) -> DataFrame:
+    return G.co_occurrence(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -85,27 +83,42 @@ def root(spark, node=ROOT):
     return spark.createDataFrame([(node,)], "id long")
 
 
-@register(f"WITH {STRONG}, {HOPS} SELECT id, min(depth) AS depth FROM z GROUP BY id")
+@register(f"WITH {EDGES}, {HOPS} SELECT id, min(depth) AS depth FROM z GROUP BY id")
 def g4_k_hop_neighbourhood(spark, sf_dir):
-    return G.hops(edges(spark, sf_dir, 2), root(spark), 3)
+    return G.hops(edges(spark, sf_dir), root(spark), 3)
 
 
-@register(f"WITH {STRONG}, {HOPS}, m AS (SELECT id, min(depth) AS depth FROM z GROUP BY id) SELECT depth, count(*) AS nodes, min(id) AS first, max(id) AS last FROM m WHERE depth > 0 GROUP BY depth")
+@register(f"WITH {EDGES}, {HOPS}, m AS (SELECT id, min(depth) AS depth FROM z GROUP BY id) SELECT depth, count(*) AS nodes, min(id) AS first, max(id) AS last FROM m WHERE depth > 0 GROUP BY depth")
 def g9_neighbours_by_hop(spark, sf_dir):
-    rows = G.hops(edges(spark, sf_dir, 2), root(spark), 3).where("depth > 0")
+    rows = G.hops(edges(spark, sf_dir), root(spark), 3).where("depth > 0")
     return rows.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-@register(f"""WITH RECURSIVE {STRONG}, p(path, src, k) AS (SELECT [{ROOT}::BIGINT], {ROOT}::BIGINT, 0 UNION ALL SELECT list_append(path, dst), dst, k + 1 FROM p JOIN w ON w.src = p.src WHERE k < 3 AND NOT list_contains(path, dst) AND p.src <> {GOAL}),
-    f AS (SELECT path FROM p WHERE src = {GOAL} ORDER BY len(path), path LIMIT 1) SELECT unnest(range(0, len(path))) AS step, unnest(path) AS id FROM f""")
+@register(f"""WITH {EDGES}, {HOPS}, x AS (SELECT a, b, CASE WHEN pages > 1 THEN 'often' ELSE 'once' END AS relation FROM e), y AS (SELECT a AS src, b AS dst FROM x WHERE relation = 'often' UNION SELECT b, a FROM x WHERE relation = 'often'),
+    n1 AS (SELECT DISTINCT dst AS id FROM y WHERE src = {ROOT}), n2 AS (SELECT DISTINCT dst AS id FROM y JOIN n1 ON src = id), n3 AS (SELECT DISTINCT dst AS id FROM y JOIN n2 ON src = id),
+    n AS (SELECT id, min(depth) AS depth FROM (SELECT {ROOT} AS id, 0 AS depth UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2 UNION ALL SELECT id, 3 FROM n3) GROUP BY id), f AS (SELECT id, p_name AS name, p_brand AS kind, depth FROM n JOIN part ON p_partkey = id WHERE depth >= 2)
+    SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 70 AS has_more FROM f ORDER BY depth, name, id LIMIT 50 OFFSET 20""")
+def g4_filtered_page(spark, sf_dir):
+    e = edges(spark, sf_dir).withColumn("relation", F.when(F.col("pages") > 1, "often").otherwise("once"))
+    return G.neighbourhood(parts(spark, sf_dir), e, ROOT, 3, 2, ["often"], 20, 50)
+
+
+@register(f"""WITH RECURSIVE {EDGES}, b(id, k) AS (SELECT {GOAL}::BIGINT, 0 UNION SELECT dst, k + 1 FROM b JOIN w ON src = id WHERE k < 10), m AS (SELECT id, min(k) AS k FROM b GROUP BY id),
+    p(step, id, "from", rest) AS (SELECT 0, {ROOT}::BIGINT, NULL::BIGINT, k FROM m WHERE id = {ROOT} UNION ALL SELECT step + 1, min(dst), p.id, rest - 1 FROM p JOIN w ON src = p.id JOIN m ON m.id = dst AND m.k = rest - 1 GROUP BY step, p.id, rest)
+    SELECT step, p.id, "from", pages FROM p LEFT JOIN e ON a = least(p.id, "from") AND b = greatest(p.id, "from")""")
 def g5_shortest_path(spark, sf_dir):
-    return G.shortest_path(edges(spark, sf_dir, 2), ROOT, GOAL, 3)
+    e = edges(spark, sf_dir)
+    path = G.shortest_path(e.select("a", "b"), ROOT, GOAL, 10)
+    ends = path.withColumns({"a": F.least("id", "from"), "b": F.greatest("id", "from")})
+    return ends.join(e, ["a", "b"], "left").select("step", "id", "from", F.when(F.col("step") > 0, F.col("pages")).alias("pages"))
 
 
-@register(f"""WITH RECURSIVE {STRONG}, p(path, src, k) AS (SELECT [{ROOT}::BIGINT], {ROOT}::BIGINT, 0 UNION ALL SELECT list_append(path, dst), dst, k + 1 FROM p JOIN w ON w.src = p.src WHERE k < 4 AND NOT list_contains(path, dst) AND p.src <> {GOAL})
-    SELECT path, k AS length FROM p WHERE src = {GOAL}""")
+@register(f"""WITH {EDGES}, f1 AS (SELECT [src, dst] AS p, dst AS x FROM w WHERE src = {ROOT}), f2 AS (SELECT list_append(p, dst) AS p, dst AS x FROM f1 JOIN w ON src = x WHERE NOT list_contains(p, dst)),
+    b1 AS (SELECT [src, dst] AS p, src AS x FROM w WHERE dst = {GOAL}), b2 AS (SELECT list_prepend(src, p) AS p, src AS x FROM b1 JOIN w ON dst = x WHERE NOT list_contains(p, src)),
+    z AS (SELECT p FROM f1 WHERE x = {GOAL} UNION ALL SELECT list_concat(f.p, b.p[2:]) FROM f1 f JOIN b1 b USING (x) UNION ALL SELECT list_concat(f.p, b.p[2:]) FROM f2 f JOIN b1 b USING (x) UNION ALL SELECT list_concat(f.p, b.p[2:]) FROM f2 f JOIN b2 b USING (x))
+    SELECT p AS path, (len(p) - 1)::INT AS length FROM z WHERE len(list_distinct(p)) = len(p)""")
 def g10_simple_paths(spark, sf_dir):
-    return G.simple_paths(edges(spark, sf_dir, 2), ROOT, GOAL, 4)
+    return G.simple_paths(edges(spark, sf_dir).select("a", "b"), ROOT, GOAL, 4)
 
 
 @register(f"WITH {EDGES} SELECT f.dst AS id, count(*) AS bridges FROM w n JOIN w f ON f.src = n.dst WHERE n.src = {ROOT} AND f.dst <> {ROOT} AND f.dst NOT IN (SELECT dst FROM w WHERE src = {ROOT}) GROUP BY ALL")
@@ -113,15 +126,33 @@ def j15_common_neighbours(spark, sf_dir):
     return G.common_neighbours(edges(spark, sf_dir), ROOT)
 
 
-JACCARD = """d AS (SELECT src, count(*) AS d FROM w GROUP BY src), c AS (SELECT x.src AS s, y.src AS o, count(*) AS common FROM w x JOIN w y ON x.dst = y.dst AND x.src <> y.src GROUP BY ALL),
-    j AS (SELECT s, o, common, common / (p.d + q.d - common) AS similarity FROM c JOIN d p ON p.src = s JOIN d q ON q.src = o),
-    k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY similarity DESC, o) AS n FROM j WHERE similarity >= 0.2),
-    b AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b, common, similarity FROM k WHERE n <= 10)"""
+#: Every tenth node has a twin of its kind, with its neighbours but for those of a number divisible by 9.
+TWIN = 100_000_000
+TWINS = f"""{EDGES}, f AS (SELECT a, b FROM e UNION ALL SELECT dst, src + {TWIN} FROM w WHERE src % 10 = 0 AND dst % 9 <> 0), v AS (SELECT a AS src, b AS dst FROM f UNION SELECT b, a FROM f),
+    p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS kind FROM part UNION ALL SELECT p_partkey + {TWIN}, p_name || ' twin', p_brand FROM part WHERE p_partkey % 10 = 0),
+    d AS (SELECT src, count(*) AS d FROM v GROUP BY src), c AS (SELECT x.src AS s, y.src AS o, count(*) AS common FROM v x JOIN v y ON x.dst = y.dst AND x.src <> y.src GROUP BY ALL),
+    j AS (SELECT s, o, common, common / (m.d + q.d - common) AS similarity FROM c JOIN d m ON m.src = s JOIN d q ON q.src = o),
+    k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY similarity DESC, o) AS n FROM j WHERE similarity >= 0.75),
+    r AS (SELECT s AS source, o AS target, similarity, common FROM k JOIN p x ON x.id = s JOIN p y ON y.id = o WHERE n <= 10 AND s < o AND x.kind = y.kind AND NOT EXISTS (SELECT 1 FROM v WHERE src = s AND dst = o)),
+    t AS (SELECT source, target, list_sort(list(DISTINCT name))[1:8] AS names FROM r JOIN v x ON x.src = source JOIN v y ON y.src = target AND y.dst = x.dst JOIN p ON p.id = x.dst GROUP BY ALL)"""
+
 
+def twins(spark, sf_dir):
+    e, p, far = edges(spark, sf_dir).select("a", "b"), parts(spark, sf_dir), F.lit(TWIN)
+    copied = G.both_ways(e).where("src % 10 = 0 AND dst % 9 <> 0").select(F.col("dst").alias("a"), (F.col("src") + far).alias("b"))
+    more = p.where("id % 10 = 0").select((F.col("id") + far).alias("id"), F.concat("name", F.lit(" twin")).alias("name"), "kind")
+    return p.unionByName(more), e.unionByName(copied)
 
-@register(f"WITH {STRONG}, {JACCARD} SELECT a, b, common, round(similarity, 6) AS similarity FROM b ANTI JOIN e USING (a, b)")
+
+@register(f"WITH {TWINS} SELECT source, target, common, round(similarity, 6) AS similarity, names FROM r JOIN t USING (source, target)")
 def g7_jaccard_similarity(spark, sf_dir):
-    return G.jaccard(edges(spark, sf_dir, 2), 10, 0.2).withColumn("similarity", F.round("similarity", 6))
+    return G.similar_nodes(*twins(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+@register(f"WITH {TWINS} SELECT CASE WHEN source % 3 = 0 THEN source ELSE target END AS source, CASE WHEN source % 3 = 0 THEN target ELSE source END AS target, common FROM r WHERE source % 3 = 0 OR target % 3 = 0")
+def g7_selected_similarity(spark, sf_dir):
+    nodes, e = twins(spark, sf_dir)
+    return G.similar_nodes(nodes, e, selected=nodes.where("id % 3 = 0").select("id")).select("source", "target", "common")
 
 
 @register(f"WITH {EDGES}, m AS (SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'blue')) SELECT a, b, pages FROM e WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM m)")
@@ -155,12 +186,8 @@ def g14_hierarchy_path(spark, sf_dir):
     r = t(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
     s = t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("name"))
-    nodes = r.unionByName(n).unionByName(s)
-    rows, up = nodes.select("id", "parent", F.col("name").alias("path"), F.lit(0).alias("depth")), nodes.select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("name").alias("above"))
-    # The hierarchy has three levels, so two joins climb it.
-    for _ in range(2):
-        rows = rows.join(up, "parent", "left").select("id", F.col("up").alias("parent"), F.coalesce(F.concat("above", F.lit(" / "), "path"), F.col("path")).alias("path"), (F.col("depth") + F.when(F.col("above").isNotNull(), 1).otherwise(0)).alias("depth"))
-    return rows.select("id", "path", "depth")
+    rows = hierarchy.chains(r.unionByName(n).unionByName(s), "id", "parent", F.col("name"))
+    return rows.select("id", F.array_join("chain", " / ").alias("path"), F.col("depth").cast("int").alias("depth"))
 
 
 @register(f"WITH {EDGES}, k AS (SELECT p_partkey AS id, p_brand AS kind FROM part) SELECT x.kind AS kind_a, y.kind AS kind_b, count(*) AS relations, count(DISTINCT a) AS nodes, sum(pages)::BIGINT AS pages FROM e JOIN k x ON x.id = a JOIN k y ON y.id = b GROUP BY ALL")

@@ -287,7 +287,7 @@ SPACES = """sp AS (SELECT n_nationkey AS space, CASE WHEN n_nationkey >= 5 THEN
 @register(f"""WITH {SPACES}, q AS (SELECT n_nationkey AS question, n_nationkey AS here, {pick_sql(QUESTION, 'n_nationkey')} AS query, {pick_sql(TOPICS, 'n_nationkey')} AS topic FROM nation),
     u AS (SELECT p_partkey AS unit, p_name AS text, p_size % 25 AS space, {pick_sql(UNIT_TOPICS, 'p_partkey')} AS ut, split_part(p_name, ' ', 2) AS sname FROM part),
     x AS (SELECT question, unit, query, CASE WHEN query = '' THEN 0 ELSE len(list_filter(string_split(query, ''), lambda c: contains(text, c))) / length(query)::DOUBLE END AS base, CASE WHEN here = space THEN 2.0 WHEN (SELECT count(*) FROM up WHERE below = here AND above = space) > 0 THEN 1.2 WHEN (SELECT count(*) FROM up WHERE above = here AND below = space) > 0 THEN 1.8 ELSE 1.0 END AS f,
-        CASE WHEN contains(query, sname) THEN 3.0 ELSE 1.0 END AS g, CASE WHEN topic <> '' AND topic = ut THEN 1.5 ELSE 1.0 END AS h FROM q, u WHERE (unit + question) % 50 = 0)
+        CASE WHEN contains(query, sname) THEN 3.0 ELSE 1.0 END AS g, CASE WHEN topic <> '' AND topic = ut THEN 1.5 ELSE 1.0 END AS h FROM q, u)
     SELECT question, unit, round((base * f * g * h)::DECIMAL(20,10), 6)::DOUBLE AS score FROM x""")
 def h37_character_overlap(spark, sf_dir):
     k = F.col("n_nationkey")
@@ -296,8 +296,8 @@ def h37_character_overlap(spark, sf_dir):
     asked = nation.select(k.alias("question"), k.alias("here"), pick(QUESTION, k).alias("query"), pick(TOPICS, k).alias("topic"))
     p = F.col("p_partkey")
     units = t(spark, sf_dir, "part").select(p.alias("unit"), "p_name", (F.col("p_size") % 25).cast("long").alias("space"), pick(UNIT_TOPICS, p).alias("ut"))
-    # A question is asked of every fiftieth unit; (unit + question) mod 50 is the join key.
-    pairs = asked.withColumn("slot", F.pmod(-F.col("question"), F.lit(50))).join(units.withColumn("slot", F.col("unit") % 50), "slot")
+    # Each question of a nation, of which there are few, meets every unit.
+    pairs = units.crossJoin(F.broadcast(asked))
     rows = pairs.join(spaces.relation(spaces.closure(tree), asked), ["question", "space"], "left")
     named = F.contains("query", F.split_part("p_name", F.lit(" "), F.lit(2)))
     score = spaces.unit_score(F.col("query"), F.col("p_name"), F.col("where"), named, F.col("topic"), F.col("ut"))

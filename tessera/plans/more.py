@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
 from tessera.operators import retrieval as R
+from tessera.operators import values
 from tessera.sources import html, json_lines, stages
 
 from . import graphs
@@ -71,12 +72,9 @@ def h23_distance_variants(spark, sf_dir):
 @register("""WITH a AS (SELECT a.p_partkey, lower(regexp_replace(a.p_name, '[^a-z0-9]', '', 'g')) AS x, lower(regexp_replace(b.p_name, '[^a-z0-9]', '', 'g')) AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
     SELECT p_partkey, x = y OR (least(length(x), length(y)) >= 16 AND (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) >= 0.9 * greatest(length(x), length(y))) AS same FROM a""")
 def h22_same_value(spark, sf_dir):
-    key = lambda c: F.lower(F.regexp_replace(c, "[^a-z0-9]", ""))
-    p = t(spark, sf_dir, "part").select("p_partkey", key("p_name").alias("x"))
+    p = t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("x"))
     rows = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y")), "p_partkey")
-    short, long = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    held = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
-    return rows.select("p_partkey", ((F.col("x") == F.col("y")) | ((short >= 16) & held & (short >= 0.9 * long))).alias("same"))
+    return rows.select("p_partkey", values.same_value(F.col("x"), F.col("y")).alias("same"))
 
 
 @register("SELECT count(*) AS vectors, max(len(embedding)) AS dim, (count(*) * max(len(embedding)) * 4)::BIGINT AS storage_bytes FROM embeddings")
@@ -85,9 +83,9 @@ def a33_storage_metrics(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").agg(n.alias("vectors"), dim.alias("dim"), (n * dim * 4).alias("storage_bytes"))
 
 
-@register(f"WITH {graphs.STRONG}, {graphs.HOPS}, m AS (SELECT id, min(depth) AS depth FROM z GROUP BY id), i AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM m)) SELECT id, depth, p_name AS name, (SELECT count(*) FROM i WHERE a = id OR b = id) AS relations FROM m JOIN part ON p_partkey = id")
+@register(f"WITH {graphs.EDGES}, {graphs.HOPS}, m AS (SELECT id, min(depth) AS depth FROM z GROUP BY id), i AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM m)) SELECT id, depth, p_name AS name, (SELECT count(*) FROM i WHERE a = id OR b = id) AS relations FROM m JOIN part ON p_partkey = id")
 def g16_grounding_context(spark, sf_dir):
-    e = graphs.edges(spark, sf_dir, 2)
+    e = graphs.edges(spark, sf_dir)
     near = G.hops(e, graphs.root(spark), 3)
     n = G.degrees(G.induced(e, near)).withColumnRenamed("degree", "relations")
     rows = near.join(graphs.parts(spark, sf_dir), "id").join(n, "id", "left")
