@@ -60,14 +60,14 @@ class Pieces:
         self.scores = {model.id_to_piece(i): (round((-math.log(rank + ZIPF) - total) * UNIT), i) for rank, i in enumerate(plain)}
         self.unknown = min(s for s, _ in self.scores.values()) - round(UNKNOWN * UNIT)
         self.longest = max(map(len, self.scores))
-        #: Pieces by their characters from the last to the first: character -> (the same one character further, score and id
-        #: of the piece that begins here or None).
+        #: Pieces by their characters: character -> (the same one character further, score and id of the piece that ends here or
+        #: None).
         self.tree: dict = {}
         for piece, entry in self.scores.items():
             under = self.tree
-            for char in piece[:0:-1]:
+            for char in piece[:-1]:
                 under = under.setdefault(char, [{}, None])[0]
-            under.setdefault(piece[0], [{}, None])[1] = entry
+            under.setdefault(piece[-1], [{}, None])[1] = entry
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.out = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.scores.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]*").findall
@@ -80,19 +80,22 @@ class Pieces:
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream of characters, in the order in which they are committed.
 
-        ``score``, ``back`` and ``used`` (its last piece) are those of the best path to each boundary since the last commit; a piece ends at
-        the newest boundary, so of the older ones only those within the longest piece can still be extended.  Among equal
+        ``score``, ``back`` and ``used`` (its last piece) are those of the best path to each boundary since the last commit;
+        ``begun`` are the pieces that have begun at one of the last boundaries, the earliest first, and may go on.  Among equal
         scores the longest last piece wins."""
-        score, back, used, text, longest, tree, scores = [0], [0], [None], "", self.longest, self.tree, self.scores
+        score, back, used, n, longest, tree, scores, begun = [0], [0], [None], 0, self.longest, self.tree, self.scores, []
         for char in chars:
-            text += char
-            top, step, last, under = WORST, 1, None, tree
-            for k, before in enumerate(text[: -longest - 1 : -1], 1):
-                if before not in under:
-                    break
-                under, found = under[before]
-                if found and score[-k] + found[0] >= top:
-                    top, step, last = score[-k] + found[0], k, found
+            begun.append((n, tree))
+            n += 1
+            top, step, last, on = WORST, 1, None, []
+            for start, under in begun:
+                if char in under:
+                    under, found = under[char]
+                    if found is not None and score[start] + found[0] > top:
+                        top, step, last = score[start] + found[0], n - start, found
+                    if under:
+                        on.append((start, under))
+            begun = on
             if char not in scores:
                 found = self.fallback(char)
                 if score[-1] + found[0] > top:
@@ -100,7 +103,6 @@ class Pieces:
             score.append(top)
             back.append(step)
             used.append(last)
-            n = len(text)
             # The paths that can still be extended are those to the last ``longest`` boundaries.  While the beginning is one
             # of them, they can meet nowhere else.
             if n >= longest:
@@ -112,18 +114,20 @@ class Pieces:
                 meet = at.pop()
                 if meet:
                     yield self.path(back, used, meet)
-                    score, back, used, text = [x - score[meet] for x in score[meet:]], back[meet:], used[meet:], text[meet:]
-        yield self.path(back, used, len(text))
+                    # No piece that may go on has begun before the place where they meet.
+                    score, back, used, n = [x - score[meet] for x in score[meet:]], back[meet:], used[meet:], n - meet
+                    begun = [(start - meet, under) for start, under in begun]
+        yield self.path(back, used, n)
 
     @staticmethod
     def path(back: list[int], used: list, at: int) -> list[int]:
         """The ids of the path to boundary ``at``."""
         out: list[int] = []
         while at:
-            _, ids = used[at]
-            out[:0] = ids if type(ids) is tuple else (ids,)
+            ids = used[at][1]
+            out += ids[::-1] if type(ids) is tuple else (ids,)
             at -= back[at]
-        return out
+        return out[::-1]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
