@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CHUNK, OVERLAP = 1200, 180
 #: Query parameters that only track.
@@ -111,3 +114,15 @@ def bigrams(text: Column, limit: int = 20) -> Column:
 def resolved_url(base: str, url: Column) -> Column:
     """An absolute URL as it is, a rooted path behind the base."""
     return F.when(url.rlike("^https?://"), url).when(url.startswith("/"), F.concat(F.lit(base.rstrip("/")), url)).otherwise(url)
+
+
+@F.pandas_udf(StringType())
+def folded(values: pd.Series) -> pd.Series:
+    """In compatibility form and folded case, without white space at either end; a null is empty."""
+    return values.map(lambda x: unicodedata.normalize("NFKC", x or "").strip().casefold())
+
+
+@F.pandas_udf(StringType())
+def compatible(values: pd.Series) -> pd.Series:
+    """In compatibility form, without white space at either end; a null is empty."""
+    return values.map(lambda x: unicodedata.normalize("NFKC", x or "").strip())

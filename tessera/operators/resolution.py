@@ -15,6 +15,15 @@ TYPES = {
     "event": "event", "事件": "event", "route": "route", "路线": "route", "program": "program", "项目": "program", "concept": "concept", "概念": "concept",
     "time_literal": "time_literal", "时间": "time_literal",
 }
+# The names of an entity's own type; those of no type become blank.
+ENTITY_TYPES = {
+    "poi": "poi", "place": "poi", "地点": "poi", "场所": "poi", "building": "building", "建筑": "building", "region": "region", "location": "region", "区域": "region",
+    "person": "person", "人物": "person", "object": "object", "物品": "object", "文物": "object", "artifact": "object", "facility": "facility", "设施": "facility",
+    "organization": "organization", "organisation": "organization", "机构": "organization", "school": "organization", "大学": "organization", "event": "event", "事件": "event",
+    "route": "route", "路线": "route", "concept": "concept", "概念": "concept", "program": "program", "项目": "program", "scenicarea": "scenicarea", "景区": "scenicarea",
+    "entity": "", "unresolved": "", "unknown": "",
+}
+LONGEST_TYPE = 64
 GENERIC = ("", "poi", "entity", "unresolved", "unknown", "thing", "object")
 ORGANISATION_ENDS = ("大学", "学院", "研究院", "研究所", "实验室", "办公室", "委员会", "集团", "公司", "基金会", "协会", "部门", "处", "中心", "机构")
 BUILDING_ENDS = ("楼", "馆", "庙", "塔", "殿", "寺")
@@ -33,12 +42,21 @@ def looked_up(key: Column, table: dict[str, float] | dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def type_code(value: Column) -> Column:
-    """A type's code, from a code, a name or ``code=label``; types without a code of their own stay in lower case."""
-    raw = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+def _coded(value: Column) -> Column:
+    """A type in compatibility form and folded case; of ``code=label`` the code, where it is one of a domain."""
+    raw = texts.folded(value)
     code = F.trim(F.substring_index(raw, "=", 1))
-    raw = F.when(raw.contains("=") & (code.startswith("type_") | code.startswith("domain_") | (code == "ce5")), code).otherwise(raw)
-    return F.coalesce(looked_up(raw, TYPES), raw)
+    return F.when(raw.contains("=") & (code.startswith("type_") | code.startswith("domain_") | (code == "ce5")), code).otherwise(raw)
+
+
+def type_code(value: Column) -> Column:
+    """A type's code for comparing types, from a code, a name or ``code=label``; types without a code of their own stay."""
+    return F.coalesce(looked_up(_coded(value), TYPES), _coded(value))
+
+
+def entity_type(value: Column) -> Column:
+    """The type of an entity, by names of its own; those that tell nothing are blank, unknown ones are cut to LONGEST_TYPE."""
+    return F.coalesce(looked_up(_coded(value), ENTITY_TYPES), F.substring(_coded(value), 1, LONGEST_TYPE))
 
 
 def type_compatible(wanted: Column, node_type: Column, label: Column) -> Column:
@@ -49,10 +67,10 @@ def type_compatible(wanted: Column, node_type: Column, label: Column) -> Column:
 
 def inferred_type(raw_type: Column, predicate: Column, mention: Column) -> Column:
     """(type, confidence, method): an explicit type as it is, a general one by its predicate or the mention's ending."""
-    raw, name = type_code(raw_type), F.trim(F.coalesce(mention, F.lit("")))
+    raw, name = entity_type(raw_type), texts.compatible(mention)
     ends = lambda words: name.rlike(f"(?:{'|'.join(words)})$")
     row = lambda kind, sure, method: F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.lit(sure).alias("confidence"), F.lit(method).alias("method"))
-    p = F.trim(F.coalesce(predicate, F.lit("")))
+    p = texts.compatible(predicate)
     return (
         F.when(~raw.isin(*GENERIC), row(raw, 0.9, "EXPLICIT_TYPE")).when(p.isin(*ORGANISATION_PREDICATES) | ends(ORGANISATION_ENDS), row("organization", 0.86, "DETERMINISTIC_ORGANIZATION_CUE"))
         .when(p.isin(*PERSON_PREDICATES), row("person", 0.82, "DETERMINISTIC_PERSON_PREDICATE")).when(ends(BUILDING_ENDS), row("building", 0.72, "DETERMINISTIC_BUILDING_SUFFIX"))

@@ -125,13 +125,32 @@ def centroids(rows: DataFrame, key: str, vec: str) -> DataFrame:
     return each.groupBy(key).agg(mean.alias("centroid")).withColumn("centroid", vectors.normalized(F.col("centroid")))
 
 
-def tolerant_ranks(rows: DataFrame, keys: list[str], score: str, node: str, digits: int = 9) -> DataFrame:
-    """Competition rank by the score rounded to ``digits``, ties told: rank, tie_status, tie_group (nodes in order)."""
-    part = W.partitionBy(*keys)
-    rounded = F.round(F.col(score), digits)
-    rows = rows.withColumn("_s", rounded).withColumn("rank", F.rank().over(part.orderBy(F.desc("_s"))))
-    group = F.sort_array(F.collect_list(node).over(W.partitionBy(*keys, "rank")))
-    return rows.withColumn("tie_group", group).withColumn("tie_status", F.when(F.size("tie_group") > 1, "tied").otherwise("unique")).drop("_s")
+def tolerant_ranks(rows: DataFrame, keys: list[str], score: str, node: str, tolerance: float = 1e-9) -> DataFrame:
+    """``rows`` with rank, tie_status and tie_group (nodes in order): competition ranks by score within ``keys``, ties by the node as
+    a string.  A tie group begins with a score and holds those after it that are no more than ``tolerance`` below that first one.
+
+    Scores without a larger gap are a chain.  A chain no wider than the tolerance is a group; only a wider one is gone through
+    in order, from group to group."""
+    order = [F.desc(score), F.col(node).cast("string")]
+    part = W.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumns({"_n": F.row_number().over(part), "_gap": F.lag(score).over(part) - F.col(score)})
+    rows = rows.withColumn("_chain", F.sum(F.when(F.coalesce(F.col("_gap") <= tolerance, F.lit(False)), 0).otherwise(1)).over(part))
+    chain = W.partitionBy(*keys, "_chain")
+    rows = rows.withColumns({"_first": F.min("_n").over(chain), "_wide": F.max(score).over(chain) - F.min(score).over(chain) > tolerance})
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(score).cast("double").alias("s"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("s"), F.array().cast("array<struct<n:int,at:int>>").alias("out"))
+
+    def step(acc, x):  # noqa: ANN001, ANN202
+        new = acc["s"] - x["s"] > tolerance
+        n, s = F.when(new, x["n"]).otherwise(acc["n"]), F.when(new, x["s"]).otherwise(acc["s"])
+        return F.struct(n.alias("n"), s.alias("s"), F.concat(acc["out"], F.array(F.struct(x["n"].alias("n"), n.alias("at")))).alias("out"))
+
+    wide = rows.where("_wide").groupBy(*keys, "_chain").agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("_z"))
+    wide = wide.select(*keys, F.inline("_z")).select(*keys, F.col("n").alias("_n"), "at")
+    rows = rows.join(wide, [*keys, "_n"], "left").withColumn("rank", F.coalesce("at", "_first"))
+    group = F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col(node).alias("_node"))).over(W.partitionBy(*keys, "rank"))), lambda x: x["_node"])
+    rows = rows.withColumn("tie_group", group).withColumn("tie_status", F.when(F.size("tie_group") > 1, "tied").otherwise("unique"))
+    return rows.drop("_n", "_gap", "_chain", "_first", "_wide", "at")
 
 
 def topk_metrics(ranks: DataFrame, by: list[str], rank: str, ks: list[int]) -> DataFrame:

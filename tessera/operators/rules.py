@@ -42,13 +42,6 @@ def keep_decision(score: Column) -> Column:
     return F.when(score >= 1.2, "keep").otherwise("reject")
 
 
-def source_weight(url: Column) -> Column:
-    """0.5, raised for authoritative hosts and a safe scheme, lowered for suspect words."""
-    has = lambda x: F.contains(url, F.lit(x))
-    w = 0.5 + F.when(has(".org"), 0.2).when(has(".com"), 0.1).otherwise(0.0) + F.when(url.startswith("https"), 0.05).otherwise(0.0) - F.when(has("pills"), 0.4).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), w)), 3)
-
-
 def planned(rows: DataFrame, key: str, kinds: dict[str, int]) -> DataFrame:
     """(key, kind, priority, question_id): a question of each kind for each row."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("priority")) for k, p in kinds.items()])).alias("z")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions import texts as X
-from tessera.operators import graph as G
+from tessera.operators import graph as G, source_rules, variants
 from tessera.operators import retrieval as R
 from tessera.operators import rules
 
+from .fixtures import pick, pick_sql, sql_list
 from .registry import Registry
 from .shared import t
 
@@ -68,11 +69,26 @@ def h15_text_value(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", rules.without_noise(raw).alias("value"))
 
 
-@register("""SELECT doc_id, round(3.0 * contains(lower(text), 'license')::INT + 1.6 * contains(lower(text), 'the')::INT + 0.8 * (source = 'src0')::INT + 0.4 * (doc_id <= 2)::INT, 2) AS score, CASE WHEN round(3.0 * contains(lower(text), 'license')::INT + 1.6 * contains(lower(text), 'the')::INT + 0.8 * (source = 'src0')::INT + 0.4 * (doc_id <= 2)::INT, 2) >= 1.2 THEN 'keep' ELSE 'reject' END AS decision FROM documents""")
+HOSTS = ["www.taiyuan.gov.cn", "example.com", "news.xinhuanet.com", "a.people.com.cn", "gov.cn.example.org"]
+TERMS = {"node": ["License", "the M.I.T!", "x"], "scenic": ["the", "le", "license"], "context": ["version", "und", "le"], "target": ["number", "the", "que", "-"]}
+PLAIN = {"node": ["license", "themit"], "scenic": ["the", "le"], "context": ["version", "und"], "target": ["number", "que"]}
+
+
+def _relevance_sql() -> str:
+    hits = {n: "list_filter(" + sql_list(words) + ", lambda x: contains(hay, x))" for n, words in PLAIN.items()}
+    weights = {"node": 3.0, "scenic": 1.6, "context": 1.0, "target": 0.35}
+    score = " + ".join(f"{w} * len({hits[n]})" for n, w in weights.items())
+    return f"""WITH h AS (SELECT doc_id, lang, {pick_sql(HOSTS, 'doc_id')} AS host, regexp_replace(lower(lang || ' ' || text || ' https://' || {pick_sql(HOSTS, 'doc_id')} || '/p'), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}_-]+', '', 'g') AS hay FROM documents),
+        k AS (SELECT doc_id, host, round((({score}) + 0.8 * regexp_matches(host, '(gov.cn|xinhuanet.com|people.com.cn)$')::INT + 0.4 * (doc_id % 10 <= 2)::INT)::DECIMAL(20,10), 2)::DOUBLE AS score, len(list_concat({", ".join(hits.values())})) AS n FROM h)
+        SELECT doc_id, host, score, n, CASE WHEN score >= 1.2 THEN 'keep' ELSE 'reject' END AS decision FROM k"""
+
+
+@register(_relevance_sql())
 def h6_source_relevance(spark, sf_dir):
-    low = F.lower("text")
-    score = F.round(3.0 * F.contains(low, F.lit("license")).cast("int") + 1.6 * F.contains(low, F.lit("the")).cast("int") + 0.8 * (F.col("source") == "src0").cast("int") + 0.4 * (F.col("doc_id") <= 2).cast("int"), 2)
-    return t(spark, sf_dir, "documents").select("doc_id", score.alias("score"), rules.keep_decision(score).alias("decision"))
+    url = F.concat(F.lit("https://"), pick(HOSTS, F.col("doc_id")), F.lit("/p"))
+    terms = {k: F.array(*map(F.lit, v)) for k, v in TERMS.items()}
+    rows = source_rules.with_relevance(t(spark, sf_dir, "documents"), [F.col("lang"), F.col("text")], url, terms, F.col("doc_id") % 10).select("doc_id", F.col("relevance").alias("x"))
+    return rows.select("doc_id", F.col("x.domain").alias("host"), "x.score", F.size("x.matched").cast("long").alias("n"), rules.keep_decision(F.col("x.score")).alias("decision"))
 
 
 @register("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k, n_chars / 10000.0 AS s FROM documents) SELECT doc_id, CASE WHEN s >= 1.2 THEN 'keep' WHEN k <= 2 AND s >= 0.4 THEN 'fallback' ELSE 'reject' END AS decision FROM r""")
@@ -82,9 +98,22 @@ def h7_keep_or_drop(spark, sf_dir):
     return rows.select("doc_id", F.when(F.col("s") >= 1.2, "keep").when((F.col("k") <= 2) & (F.col("s") >= 0.4), "fallback").otherwise("reject").alias("decision"))
 
 
-@register("""SELECT page_id, round(least(1, greatest(0, 0.5 + CASE WHEN contains(url, '.org') THEN 0.2 WHEN contains(url, '.com') THEN 0.1 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 0.05 ELSE 0 END - CASE WHEN contains(url, 'pills') THEN 0.4 ELSE 0 END)), 3) AS weight FROM pages""")
+TITLES, SOURCE_TYPES = ["", "太原市人民政府", "晋祠博物馆", "大学学报", "新华社", "Wiki guide", None], ["web_search", "domain_kb_vector", "provided", "graph_lookup", "web_extractor", "domain_kb_keyword", "", "Local"]
+TITLE_CLASS = [None, "government", "official", "academic", "news", None, None]
+
+
+@register(f"""WITH r AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, coalesce(url, '') <> '' AS has_url, {pick_sql(TITLE_CLASS, 'page_id')} AS titled, {pick_sql(SOURCE_TYPES, 'page_id // 3')} AS st, page_id % 3 = 0 AS verified, page_id % 11 = 0 AS told FROM pages),
+    p AS (SELECT *, CASE WHEN starts_with(st, 'domain_kb') THEN 'local_kb' WHEN st = 'provided' THEN 'provided' WHEN starts_with(st, 'web') OR has_url THEN 'web' WHEN starts_with(st, 'graph') THEN 'graph' ELSE 'unknown' END AS provenance,
+        CASE st WHEN 'domain_kb_vector' THEN 'vector' WHEN 'domain_kb_keyword' THEN 'keyword' WHEN 'web_search' THEN 'web_search' WHEN 'graph_lookup' THEN 'graph_lookup' WHEN '' THEN 'unknown' ELSE lower(st) END AS method FROM r),
+    a AS (SELECT *, CASE WHEN told THEN 'academic' WHEN regexp_matches(host, '[.]gov[.]|gov[.]cn') THEN 'government' WHEN titled = 'government' THEN titled WHEN titled = 'official' OR regexp_matches(host, 'museum|official') THEN 'official' WHEN titled = 'academic' OR regexp_matches(host, 'cnki|[.]edu') THEN 'academic'
+        WHEN titled = 'news' OR regexp_matches(host, 'xinhuanet|people[.]com[.]cn|chinanews') THEN 'news' WHEN contains(host, 'wiki') OR contains(host, 'baike.baidu') THEN 'encyclopedia' WHEN regexp_matches(host, 'trip|mafengwo|dianping') THEN 'travel_platform' WHEN provenance IN ('local_kb', 'provided') THEN CASE WHEN verified THEN 'official' ELSE 'museum_or_institution' END ELSE 'unknown' END AS authority FROM p),
+    s AS (SELECT *, CASE authority WHEN 'official' THEN 0.95 WHEN 'government' THEN 0.92 WHEN 'museum_or_institution' THEN 0.88 WHEN 'academic' THEN 0.85 WHEN 'encyclopedia' THEN 0.72 WHEN 'news' THEN 0.62 WHEN 'travel_platform' THEN 0.55 ELSE 0.45 END AS base FROM a)
+    SELECT page_id, provenance, method, authority, round(least(1, greatest(0, base + CASE method WHEN 'provided' THEN 0.08 WHEN 'vector' THEN 0.04 WHEN 'web_extractor' THEN 0.04 WHEN 'graph_lookup' THEN -0.05 ELSE 0 END + CASE provenance WHEN 'provided' THEN 0.06 WHEN 'local_kb' THEN 0.05 WHEN 'graph' THEN -0.08 ELSE 0 END)), 3)::DOUBLE AS weight FROM s""")
 def h8_source_weight(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", rules.source_weight(F.col("url")).alias("weight"))
+    k = F.col("page_id")
+    told = F.when(k % 11 == 0, " Academic")
+    x = source_rules.weight(told, pick(SOURCE_TYPES, F.floor(k / 3)), F.col("url"), pick(TITLES, k), F.lit(None).cast("string"), k % 3 == 0).alias("x")
+    return t(spark, sf_dir, "pages").select("page_id", x).select("page_id", "x.provenance", "x.method", "x.authority", "x.weight")
 
 
 @register(r"""SELECT p_partkey, lower(regexp_replace(p_name, '[\s\p{P}]', '', 'g')) AS norm, list_distinct(list_concat([p_name], string_split(p_brand, '#'))) AS aliases FROM part""".replace("list_distinct(list_concat([p_name], string_split(p_brand, '#')))", "list_sort(list_distinct(list_concat([p_name], string_split(p_brand, '#'))))"))
@@ -118,10 +147,23 @@ def x6_scope_ladder(spark, sf_dir):
     return rules.first_scope([d.where("source = 'src99'").select("doc_id"), d.where("source = 'src3'").select("doc_id"), d.select("doc_id")])
 
 
-@register("""SELECT event_id, json_extract_string(props, '$.k') AS wrapped, coalesce(nullif(event_type, 'view'), json_extract_string(props, '$.k')) AS value FROM events""")
+#: Raw values of properties: objects, lists, broken ones and plain text; ``K`` is a number of the event.
+RAWS = ['{"value": "v K", "source_url": "http://s/K", "confidence": 0.5}', '{"value": "", "status": "ok"}', "plain K", '{broken K', '[1, 2]', ' {"source_text": null, "value": K} ', '{"value": null, "confidence": ""}', None]
+
+
+def raw_values(key):
+    return F.replace(pick(RAWS, key), F.lit("K"), key.cast("string"))
+
+
+RAW_SQL = f"r AS (SELECT event_id, event_type, replace({pick_sql(RAWS, 'event_id')}, 'K', event_id::VARCHAR) AS raw FROM events), j AS (SELECT *, CASE WHEN event_id % 8 IN (0, 1, 5, 6) THEN raw END AS o FROM r)"
+
+
+@register(f"""WITH {RAW_SQL} SELECT event_id, CASE WHEN event_type = 'view' THEN coalesce(json_extract_string(o, '$.value'), '') ELSE event_type END AS value, json_extract_string(o, '$.source_text') AS source_text, json_extract_string(o, '$.source_url') AS source_url,
+    CASE WHEN event_id % 5 = 0 THEN 'kept' ELSE nullif(json_extract_string(o, '$.confidence'), '') END AS confidence, json_extract_string(o, '$.status') AS status FROM j""")
 def s20_wrapped_values(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    return t(spark, sf_dir, "events").select("event_id", k.alias("wrapped"), F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), k).alias("value"))
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    now = {"value": F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")), "source_text": none, "source_url": none, "confidence": F.when(i % 5 == 0, "kept"), "status": none}
+    return t(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in variants.wrapped(raw_values(i), now).items()])
 
 
 @register("""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT src, dst FROM e WHERE src IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AND dst IN (SELECT p_partkey FROM part WHERE p_size > 10)""")

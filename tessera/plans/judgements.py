@@ -172,11 +172,12 @@ def f13_type_compatibility(spark, sf_dir):
 
 
 NAMES, ASKED = ["太原理工大学", "二郎庙", "东门", "研究所", "钟楼", "red ring"], ["隶属机构", "设计者", "", "位于"]
-RAW = ["poi", "", "person", "thing", "type_b2=塔", "building"]
+RAW = ["poi", "", "person", "thing", "type_b2=塔", "building", "School", "location", "文物", "entity", "ＰＯＩ", "Unknown ", "景区", "domain_x = y", "organisation", "Widget"]
+CODED = ["poi", "", "person", "thing", "type_b2", "building", "organization", "region", "object", "", "poi", "", "scenicarea", "domain_x", "organization", "widget"]
 
 
-@register(f"""WITH r AS (SELECT p_partkey, {pick_sql(RAW, 'p_partkey')} AS raw, {pick_sql(NAMES, 'p_size')} AS name, {pick_sql(ASKED, 'p_partkey // 6')} AS pred FROM part), k AS (SELECT *, CASE WHEN raw = 'type_b2=塔' THEN 'type_b2' ELSE raw END AS code FROM r),
-    m AS (SELECT p_partkey, code, CASE WHEN code NOT IN ('', 'poi', 'thing') THEN 1 WHEN pred = '隶属机构' OR name IN ('太原理工大学', '研究所') THEN 2 WHEN pred = '设计者' THEN 3 WHEN name IN ('二郎庙', '钟楼') THEN 4 ELSE 5 END AS n FROM k)
+@register(f"""WITH k AS (SELECT p_partkey, {pick_sql(CODED, 'p_partkey')} AS code, {pick_sql(NAMES, 'p_size')} AS name, {pick_sql(ASKED, 'p_partkey // 6')} AS pred FROM part),
+    m AS (SELECT p_partkey, code, CASE WHEN code NOT IN ('', 'poi', 'thing', 'object') THEN 1 WHEN pred = '隶属机构' OR name IN ('太原理工大学', '研究所') THEN 2 WHEN pred = '设计者' THEN 3 WHEN name IN ('二郎庙', '钟楼') THEN 4 ELSE 5 END AS n FROM k)
     SELECT p_partkey, CASE n WHEN 2 THEN 'organization' WHEN 3 THEN 'person' WHEN 4 THEN 'building' ELSE code END AS kind, [0.9, 0.86, 0.82, 0.72, 0.0][n]::DOUBLE AS confidence, ['EXPLICIT_TYPE', 'DETERMINISTIC_ORGANIZATION_CUE', 'DETERMINISTIC_PERSON_PREDICATE', 'DETERMINISTIC_BUILDING_SUFFIX', 'UNRESOLVED_GENERIC_TYPE'][n] AS method FROM m""")
 def h17_inferred_type(spark, sf_dir):
     p = F.col("p_partkey")

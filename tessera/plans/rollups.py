@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import queues as Q
 from tessera.operators import splits as P
+from tessera.operators import variants
 
+from .fixtures import pick
 from .registry import Registry
 from .shared import t
 
@@ -331,10 +333,14 @@ def h33_two_hour_buckets(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy("user_id", h.cast("long").alias("hour_of_day"), F.floor(((h + 1) % 24) / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT event_id, coalesce(json_extract_string(props, '$.k')::INT, 0) AS k, json_extract_string(props, '$.missing') IS NULL AS fallback FROM events")
+REPLIES = ['Sure:\n```json\n{"k": K, "name": "a"}\n```\nbye', '[{"k": K, "name": "b"}, {"k": 1}]', "no object", 'so {"k": K, "name": "c"} it is', '```\n{"k": K}\n```', '{"k": K, "name"', "[]", "[1]", None]
+
+
+@register(f"""WITH r AS (SELECT event_id, event_id % 9 AS i FROM events) SELECT event_id, i IN (0, 1, 3, 4) AS valid, CASE WHEN i IN (0, 1, 3, 4) THEN event_id::INT ELSE 0 END AS k, CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 3 THEN 'c' END AS name FROM r""")
 def h35_json_reply(spark, sf_dir):
-    x = F.from_json(F.regexp_replace("props", "^```json|```$", ""), "k int, missing string")
-    return t(spark, sf_dir, "events").select("event_id", F.coalesce(x["k"], F.lit(0)).alias("k"), x["missing"].isNull().alias("fallback"))
+    i = F.col("event_id")
+    x = variants.reply(F.replace(pick(REPLIES, i), F.lit("K"), i.cast("string")), "k int, name string").alias("x")
+    return t(spark, sf_dir, "events").select("event_id", x).select("event_id", "x.valid", F.coalesce("x.data.k", F.lit(0)).alias("k"), "x.data.name")
 
 
 @register("SELECT p_partkey, concat_ws('_', lower(p_type[1:4]), replace(p_name, ' ', '')[1:12], row_number() OVER (PARTITION BY p_type ORDER BY p_partkey)) AS slug FROM part")

@@ -8,6 +8,7 @@ from tessera.functions import keys as K
 from tessera.functions import texts as X
 from tessera.operators import retrieval as R
 from tessera.operators import upserts as U
+from tessera.operators import variants
 from tessera.sources import html
 
 from .registry import Registry
@@ -125,9 +126,16 @@ def h40_bigrams(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(X.bigrams(F.col("text")), " ").alias("bigrams"))
 
 
-@register(r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[,，、;/；|]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS n FROM documents")
+@register(r"""WITH p AS (SELECT doc_id, source, lang, list_filter(list_transform(regexp_split_to_array(text, '[,，、;/；|]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS x FROM documents),
+    z AS (SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN list_concat(list_concat([lang], x), [source]) WHEN 3 THEN list_concat([lang, source], x) ELSE x END AS x FROM p) SELECT doc_id, len(x) AS n, md5(array_to_string(x, '|')) AS parts FROM z""")
 def h18_multi_values(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.size(X.multi_values(F.col("text"))).cast("long").alias("n"))
+    d, i, s = t(spark, sf_dir, "documents"), F.col("doc_id") % 4, F.struct
+    # Lists of objects and of lists, and an object with such a list.
+    mixed = F.concat(F.lit("["), F.to_json(s(F.lit("").alias("value"), F.col("lang").alias("values"))), F.lit(", null, "), F.to_json(F.array("text")), F.lit(", "), F.to_json(s(F.col("source").alias("display_value"))), F.lit("]"))
+    held = F.concat(F.lit('{"values": [['), F.to_json(F.array("lang", "source")), F.lit("], "), F.to_json(F.array("text")), F.lit("]}"))
+    raw = F.when(i == 0, F.col("text")).when(i == 1, F.to_json(s(F.col("text").alias("value")))).when(i == 2, mixed).otherwise(held)
+    rows = d.select("doc_id", variants.values(raw).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "|")).alias("parts"))
 
 
 @register("SELECT page_id, CASE WHEN regexp_matches(u, '^https?://') THEN u WHEN starts_with(u, '/') THEN 'http://base.example' || u ELSE u END AS resolved FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^[a-z]+://[^/]*', '') END AS u FROM pages)")
@@ -216,10 +224,15 @@ def f1_filtered_list(spark, sf_dir):
     return rows.orderBy(F.desc("n_chars"), "doc_id").offset(50).limit(100).select("source", "doc_id")
 
 
-@register("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events WHERE json_extract_string(props, '$.k')::INT IN (1, 5, 9)")
+@register("""SELECT event_id, json_extract_string(props, '$.k')::INT AS k, json_extract_string(props, '$.k')::INT + 100 AS merged_k, event_type AS merged_type, event_id::VARCHAR AS set_k_x, event_type AS set_type, 2 AS keys, true AS stays
+    FROM events WHERE json_extract_string(props, '$.k')::INT IN (1, 5, 9)""")
 def f3_json_predicate(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return t(spark, sf_dir, "events").where(k.isin(1, 5, 9)).select("event_id", k.alias("k"))
+    k, get = F.get_json_object("props", "$.k").cast("int"), F.get_json_object
+    rows = t(spark, sf_dir, "events").where(k.isin(1, 5, 9)).select("event_id", "event_type", k.alias("k"), "props")
+    rows = rows.withColumn("m", variants.merged(F.col("props"), F.to_json(F.struct((F.col("k") + 100).alias("k"), F.col("event_type").alias("type")))))
+    rows = rows.withColumn("s", variants.with_value(variants.with_value(F.col("m"), ["k"], F.lit('{"x": null}')), ["k", "x"], F.col("event_id").cast("string")))
+    stays = variants.with_value(F.col("m"), ["q", "x"], F.lit("1")) == variants.with_value(F.col("m"), ["q"], F.lit("1"), create=False)
+    return rows.select("event_id", "k", get("m", "$.k").cast("int").alias("merged_k"), get("m", "$.type").alias("merged_type"), get("s", "$.k.x").alias("set_k_x"), get("s", "$.type").alias("set_type"), F.size(F.json_object_keys("s")).alias("keys"), stays.alias("stays"))
 
 
 @register("SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'TOO_LARGE' WHEN lang NOT IN ('en', 'de') THEN 'UNSUPPORTED' END AS error FROM documents")
