@@ -49,6 +49,11 @@ def scored_pairs(queries: DataFrame, gallery: DataFrame, k: int | None, metric:
     return out.where(F.col("rank") <= k) if k else out
 
 
+def common_vectors(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of two models' vectors for the assets that both have; of assets that repeat in either, the rows meet each other."""
+    return left.where(F.col(key).isNotNull()).join(right, key)
+
+
 def label_scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """(qid, q_label, g_label, max_score, mean_score, top3_mean, hybrid_score) of cosines, over the gallery's vectors of each label:
     the last is 0.7 of the best with 0.3 of the mean of the best three.  A meeting of blocks keeps a row per query and label."""

@@ -118,6 +118,18 @@ def a19_alpha_sweep(spark, sf_dir):
     return R.topk_metrics(hits, ["alpha"], "hit", [1, 5]).withColumn("mrr", F.round("mrr", 6))
 
 
+@register("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 3 > 0 AND vec_id % 4 > 0), p AS (SELECT q.vec_id AS qid, q.label AS ql, g.vec_id AS gid, g.label AS gl, 0.6 * list_cosine_similarity(q.v[1:32], g.v[1:32]) + 0.4 * list_cosine_similarity(q.v[33:64], g.v[33:64]) AS s
+        FROM e q, e g WHERE q.vec_id % 50 = 25 AND q.vec_id <> g.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, gid) AS rank FROM p) SELECT qid, min(rank) FILTER (ql = gl) AS hit FROM r GROUP BY qid""")
+def j22_common_assets(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    left = e.where("vec_id % 3 > 0").select("vec_id", "label", F.slice("embedding", 1, 32).alias("one"))
+    right = e.where("vec_id % 4 > 0").select("vec_id", F.slice("embedding", 33, 32).alias("two"))
+    both = R.common_vectors(left, right, "vec_id")
+    queries = both.where("vec_id % 50 = 25").select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "one", "two")
+    gallery = both.select(F.col("vec_id").alias("gid"), F.col("label").alias("g_label"), "one", "two")
+    return R.first_hits(queries, gallery, ["one", "two"], [(0.6, 0.4)]).select("qid", "hit")
+
+
 @register("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), o AS (SELECT v FROM e WHERE vec_id = 7)
     SELECT label, round(min(list_distance(e.v, o.v)), 6) AS distance, count(*) AS n FROM e, o GROUP BY ALL""")
 def a3_group_min_distance(spark, sf_dir):

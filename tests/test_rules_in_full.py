@@ -154,3 +154,29 @@ def test_a_page_tells_what_follows(spark):
     rows = graph.neighbourhood(nodes, edges, 1, relations=["r"], offset=4, limit=3).collect()
     assert [(r["id"], r["depth"], r["total"], r["has_more"]) for r in rows] == [(6, 1, 6, False), (7, 1, 6, False)]
     assert graph.neighbourhood(nodes, edges, 1, offset=0, limit=3).first()["has_more"]
+
+
+def test_times_are_normalized(spark):
+    from tessera.functions import temporal
+    from tessera.plans import conflicts
+
+    told = [x[0] for x in conflicts.TIMES] + ["100年到", "1900—1910", "疑为唐王朝"]
+    want = [tuple(x[1:]) for x in conflicts.TIMES] + [("100年", 100, 100, "year", "certain"), ("1900-1910年", 1900, 1910, "year_range", "certain"), ("唐代", None, None, "period", "uncertain")]
+    rows = spark.createDataFrame(list(enumerate(told)), "k int, x string").select("k", temporal.normalized(F.col("x")).alias("t")).orderBy("k").collect()
+    assert [tuple(r["t"]) for r in rows] == want
+
+
+def test_a_claim_that_is_known_exists_whatever_its_quote(spark):
+    from tessera.operators import deltas
+
+    schema = "id int, claim_type string, subject long, subject_status string, target string, target_status string, predicate string, temporal_role string, value string, quote string"
+    rows = [
+        (0, "property", 1, "EXACT", None, None, "始建年代", None, " A ", "updated"), (1, "property", 1, "EXACT", None, None, "始建年代", None, "b", "no longer"), (2, "property", 1, "EXACT", None, None, "始建年代", None, "b", "改为"),
+        (3, "property", 1, "EXACT", None, None, "始建年代", None, "b", None), (4, "property", 1, "EXACT", None, None, "始建年代", "legend_time", "b", None), (5, "property", 2, "EXACT", None, None, "始建年代", None, "b", None),
+        (6, "relation", 1, "EXACT", "t", None, "隶属", None, None, "now"), (7, "relation", 1, "EXACT", "u", None, "隶属", None, None, "now"), (8, "relation", 1, "EXACT", "u", None, "隶属", None, None, ""),
+        (9, "relation", 1, "EXACT", "u", None, "毗邻", None, None, ""), (10, "relation", 1, "EXACT", "u", "NEW_ENTITY", "隶属", None, None, ""), (11, "property", 1, "AMBIGUOUS", None, "NEW_ENTITY", "x", None, "b", None), (12, "property", 1, None, None, None, "始建年代", None, "", None),
+    ]
+    properties = spark.createDataFrame([(1, "始建年代", "a"), (1, "始建年代", " A"), (1, "始建年代", " ")], "subject long, predicate string, value string")
+    relations = spark.createDataFrame([(1, "隶属", "t"), (1, "毗邻", "t")], "subject long, predicate string, target string")
+    got = deltas.knowledge_deltas(spark.createDataFrame(rows, schema), properties, relations).orderBy("id").collect()
+    assert [r["operation"] for r in got] == ["EXISTS", "DEPRECATE", "UPDATE", "CONFLICT", "ADD", "ADD", "EXISTS", "UPDATE", "CONFLICT", "ADD", "MINT_ADD", "CONFLICT", "CONFLICT"]
