@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
 from tessera.operators import retrieval as R
-from tessera.operators import values
-from tessera.sources import html, json_lines, stages
+from tessera.operators import text_index, values
+from tessera.sources import documents, html, json_lines, stages, uploads
 
 from . import graphs
 from .registry import Registry
@@ -41,8 +41,23 @@ def s4_append_log(spark, sf_dir):
 
 @register()
 def s10_archive_search(spark, sf_dir):
-    rows = html.page_texts(t(spark, sf_dir, "pages"), "page_id", "html")
-    return R.keyword_search(rows, "text", ["the", "article"], 0.8).select("id", "title", "hits", "score")
+    pages = t(spark, sf_dir, "pages")
+    texts = stages.stage(html.page_texts(pages, "page_id", "html"), "page-texts")
+    index = text_index.build(texts, "id", "text", stages.new_path(spark, "text-index"))
+    found = text_index.search(index, ["the", "article", "und"], 50).withColumnRenamed("doc", "id")
+    # Only the pages found are parsed for their headings and summaries.
+    hits = pages.join(F.broadcast(found.select(F.col("id").alias("page_id"))), "page_id")
+    rows = found.join(html.articles(hits, "page_id", "html"), "id").join(texts.select("id", "title"), "id")
+    return rows.select("id", "rank", "relevance", "hits", "title", "headings", "summary", F.lit(0.8).alias("score"))
+
+
+#: Documents as files of five kinds.
+@register(r"""SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN 'doc ' || doc_id || chr(10) || '(' || lang || ')' || chr(10) || chr(10) || source WHEN 1 THEN text
+    ELSE array_to_string(list_concat(list_filter(string_split(text, chr(10)), lambda x: x <> ''), [lang || ' | ' || source]), chr(10)) END AS text, CASE doc_id % 5 WHEN 2 THEN 'unsupported_file_type' WHEN 3 THEN 'docx_extract_unavailable' END AS warning FROM documents""")
+def s5_document_texts(spark, sf_dir):
+    rows = uploads.as_files(t(spark, sf_dir, "documents"))
+    out = documents.texts(rows, "doc_id", "name", "content")
+    return out.select("doc_id", "text", F.split_part("warning", F.lit(":"), F.lit(1)).alias("warning"))
 
 
 @register(f"WITH {PAIRS} SELECT q_label, gid, round(max(score), 6) AS score FROM r WHERE rank <= 5 GROUP BY ALL")

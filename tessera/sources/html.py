@@ -85,3 +85,66 @@ def decode_files(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
             yield pd.DataFrame({"id": frame[id_col], "text": [x for x, _ in out], "encoding": [y for _, y in out]})
 
     return files.select(id_col, content_col).mapInPandas(run, "id long, text string, encoding string")
+
+
+# Headings of an article and characters of one, a paragraph's least and the summary's most characters.
+HEADINGS, HEADING, PARAGRAPH, SUMMARY = 15, 100, 40, 1500
+EDIT = "[编辑]"
+
+
+class _Article(HTMLParser):
+    """Texts of headings and paragraphs; scripts, styles and tables are left out."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.skip, self.open, self.found, self.rest = 0, [], [], []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.skip += tag in ("script", "style", "table")
+        if tag in ("h2", "h3", "p"):
+            if tag == "p":  # a paragraph ends where the next one begins
+                self.open = [x for x in self.open if x[0] != "p"]
+            self.found.append((tag, []))
+            self.open.append(self.found[-1])
+
+    def handle_endtag(self, tag: str) -> None:
+        self.skip -= tag in ("script", "style", "table") and self.skip > 0
+        self.open = [x for x in self.open if x[0] != tag]
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.rest.append(data.strip())
+            for _, parts in self.open:
+                parts.append(data)
+
+
+def article_of(html: str | None) -> tuple[list[str], str]:
+    """(headings, summary) of an article: its first second- and third-level headings, and its longer paragraphs until they are long
+    enough; without one, the beginning of all text."""
+    if not html:
+        return [], ""
+    parser = _Article()
+    parser.feed(html)
+    parser.close()
+    told = [(tag, "".join(parts).strip()) for tag, parts in parser.found]
+    heads = [x.replace(EDIT, "").strip() for tag, x in told if tag != "p"]
+    parts, size = [], 0
+    for tag, text in told:
+        if tag == "p" and size < SUMMARY and len(text) > PARAGRAPH:
+            parts.append(text)
+            size += len(text)
+    summary = "\n\n".join(parts)
+    if len(summary) > SUMMARY:
+        summary = summary[:SUMMARY] + "..."
+    return [x for x in heads if x and len(x) < HEADING][:HEADINGS], summary or " ".join(x for x in parser.rest if x)[:SUMMARY] + "..."
+
+
+def articles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, headings, summary) of pages."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [article_of(x) for x in frame[html_col]]
+            yield pd.DataFrame({"id": frame[id_col], "headings": [x for x, _ in out], "summary": [y for _, y in out]})
+
+    return pages.select(id_col, html_col).mapInPandas(run, "id long, headings array<string>, summary string")
