@@ -125,6 +125,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
+    "op9_rotation_codes": r"""
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        f AS (SELECT * FROM e WHERE len(v) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v]) AND list_dot_product(v, v) > 0),
+        d AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        n AS (SELECT a, count(*) AS n_links FROM d GROUP BY a),
+        c(x, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT d.b, c.root FROM c JOIN d ON d.a = c.x),
+        m AS (SELECT x, min(root) AS component_id FROM c GROUP BY x)
+        SELECT x AS vec_id, coalesce(n_links, 0) AS n_links, component_id, x = component_id AS kept FROM m LEFT JOIN n ON a = x""",
     "op12_filter_interactions": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),

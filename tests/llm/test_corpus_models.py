@@ -233,3 +233,22 @@ def test_query_equals_brute_force_with_planted_runs(spark, tmp_path):
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
     assert any(r[1] for r in want)
     assert periodic.scan(documents(spark, [])).collect() == []
+
+
+def test_vector_groups_match_their_sql(spark, tmp_path):
+    """On a table with links, as the given one has none."""
+    import duckdb
+
+    from ..oracle import rows
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64))
+    x[200:300] = x[:100] + 0.05 * rng.normal(size=(100, 64))
+    x[300:330] = x[250:280]
+    x[399] = 0
+    spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op9_rotation_codes"]).fetchdf()
+    got = queries.op9_rotation_codes(spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(want) and got["n_links"].sum() > 200
