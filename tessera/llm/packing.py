@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
         part, nth = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             doc_ids, row_ids = (c.to_pylist() for c in batch.columns[:2])
-            for lo, hi, texts in slices(batch.columns[2]):
+            for lo, hi, texts in slices(batch.columns[2], 4_000_000):
                 ids, counts = bpe.encode([x or "" for x in texts])
                 rows: list[tuple] = []
                 for i, last, n in zip(range(lo, hi), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
