@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tessera.operators import consumption
 from tessera.sources import snapshots, stages
 from tessera.streaming import jobs
 
@@ -56,3 +59,33 @@ def s18_snapshot_upserts(spark, sf_dir):
     third = d.where("doc_id % 3 = 2 OR doc_id % 7 = 0")
     table.upsert(third, order, "third", deleted=F.col("doc_id") % 7 == 0)
     return table.read().select("doc_id", "n_chars", "version")
+
+
+#: Three workers take documents in turn: the first ends its batch, the second's lease ends, and the third comes after that.
+STEPS = """u AS (SELECT doc_id, source, doc_id % 4 = 0 AS image FROM documents), a AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY image ORDER BY doc_id) <= CASE WHEN image THEN 16 ELSE 100 END),
+    p AS (SELECT doc_id FROM a WHERE doc_id % 3 > 0 AND doc_id % 5 > 0), r AS (SELECT * FROM u ANTI JOIN p USING (doc_id)),
+    b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY image ORDER BY doc_id) <= CASE WHEN image THEN 16 ELSE 100 END)"""
+
+
+def consumed(spark, sf_dir):
+    d, start = t(spark, sf_dir, "documents"), dt.datetime(2024, 1, 1)
+    units = d.select(F.col("doc_id").alias("unit"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), (F.col("doc_id") % 4 == 0).alias("is_image"), F.col("doc_id").alias("created"), "source")
+    store = consumption.table(spark, stages.new_path(spark, "consumption"))
+    first = consumption.claim(store, units, "a", "a1", start, 100)
+    results = first.where("unit % 5 > 0").select("unit", "hash", (F.col("unit") % 3 > 0).alias("ok"), (F.col("unit") % 2).alias("candidates"))
+    consumption.finish(store, results, "a", "a1")
+    consumption.claim(store, units, "b", "b1", start + dt.timedelta(seconds=60), 100)
+    consumption.claim(store, units, "c", "c1", start + dt.timedelta(seconds=2000), 100)
+    consumption.finish(store, results, "b", "b1")  # too late: another one has them
+    return store, units
+
+
+@register(f"""WITH {STEPS} SELECT doc_id AS unit, 'PROCESSED' AS state, 'a' AS owner, CASE WHEN doc_id % 2 = 1 THEN 'CANDIDATE' ELSE 'NO_CHANGE' END AS result FROM p UNION ALL SELECT doc_id, 'CLAIMED', 'c', NULL FROM b
+    UNION ALL SELECT doc_id, 'RETRYABLE', 'a', 'FAILED' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM p) AND doc_id NOT IN (SELECT doc_id FROM b)""")
+def q6_claimed_batches(spark, sf_dir):
+    return consumed(spark, sf_dir)[0].read().select("unit", "state", "owner", "result")
+
+
+@register(f"""WITH {STEPS} SELECT source, count(*) AS expected, count(p.doc_id) AS processed, CASE WHEN count(*) = count(p.doc_id) THEN 'ADVANCED' ELSE 'OPEN' END AS cursor FROM u LEFT JOIN p ON p.doc_id = u.doc_id GROUP BY source""")
+def q5_cursors_of_batches(spark, sf_dir):
+    return consumption.cursors(*consumed(spark, sf_dir), "source")

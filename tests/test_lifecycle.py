@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import consumption
 from tessera.sources import snapshots
 from tessera.streaming import jobs
 
@@ -144,3 +145,21 @@ def test_documents_are_replaced_at_once(spark, tmp_path):
     with pytest.raises(snapshots.Conflict):
         snapshots.put(spark, path, "3", replace=False)
     assert [p.name for p in (tmp_path / "d").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
+def test_batches_of_evidence_are_taken_once(spark, tmp_path):
+    units = spark.createDataFrame([(k, f"h{k}", k % 3 == 0, 10 - k) for k in range(10)], "unit long, hash string, is_image boolean, created int")
+    store = consumption.table(spark, f"{tmp_path}/c")
+    ids = lambda rows: sorted(r["unit"] for r in rows.collect())
+    take = lambda worker, name, seconds: ids(consumption.claim(store, units, worker, name, BASE + dt.timedelta(seconds=seconds), 2, 1))
+    assert take("a", "1", 0) == [7, 8, 9] == take("a", "1", 5)  # by time, so from the last unit on
+    assert take("b", "2", 10) == [4, 5, 6]
+    result = spark.createDataFrame([(7, "h7", True, 0), (8, "h8", True, 2), (8, "h8", False, 2), (4, "h4", True, 1)], "unit long, hash string, ok boolean, candidates int")
+    consumption.finish(store, result, "a", "1")
+    consumption.finish(store, result, "a", "1")
+    state = {r["unit"]: (r["state"], r["owner"], r["result"]) for r in store.read().collect()}
+    assert state[7] == ("PROCESSED", "a", "NO_CHANGE") and state[8] == ("RETRYABLE", "a", "FAILED") and state[9] == ("RETRYABLE", "a", "FAILED") and state[4] == ("CLAIMED", "b", None)
+    assert take("c", "3", 20) == [2, 8, 9] and take("d", "4", 911) == [4, 5, 6]
+    # A changed text is another unit.
+    again = consumption.claim(store, units.where("unit = 7").withColumn("hash", F.lit("new")), "e", "5", BASE, 5, 5)
+    assert ids(again) == [7]

@@ -180,3 +180,22 @@ def test_a_claim_that_is_known_exists_whatever_its_quote(spark):
     relations = spark.createDataFrame([(1, "隶属", "t"), (1, "毗邻", "t")], "subject long, predicate string, target string")
     got = deltas.knowledge_deltas(spark.createDataFrame(rows, schema), properties, relations).orderBy("id").collect()
     assert [r["operation"] for r in got] == ["EXISTS", "DEPRECATE", "UPDATE", "CONFLICT", "ADD", "ADD", "EXISTS", "UPDATE", "CONFLICT", "ADD", "MINT_ADD", "CONFLICT", "CONFLICT"]
+
+
+def test_a_published_graph_is_searched_by_its_facts(spark):
+    from tessera.operators import discovery
+
+    nodes = spark.createDataFrame([(1, "Old Gate", "poi", None, None), (2, "gate", "poi", "x", 1), (3, "Hall", "building", "by the GATE", 1), (4, "Tower", "poi", None, 1), (5, None, "poi", None, None)], "id long, name string, kind string, description string, parent long")
+    facts = spark.createDataFrame([(4, "named for", "Gates"), (4, "named for", "Gates"), (4, "x", None), (99, "gate", "y")], "node long, key string, value string")
+    relations = spark.createDataFrame([(1, 2, "PARENT_OF", "w"), (1, 2, "PARENT_OF", "w"), (2, 1, "NEAR", "w"), (3, 3, "NEAR", "w"), (1, 77, "NEAR", "w")], "src long, dst long, relation string, label string")
+    got = [(r["id"], r["match_score"], r["degree"], r["total"], r["has_more"]) for r in discovery.search(nodes, facts, relations, " GATE ", limit=3).orderBy(F.desc("match_score"), "id").collect()]
+    assert got == [(2, 100, 2, 4, True), (1, 60, 3, 4, True), (3, 30, 1, 4, True)]
+    assert {r["id"]: r["match_score"] for r in discovery.search(nodes, facts, relations, "", "poi").collect()} == {1: 20, 5: 20, 2: 0, 4: 0}
+    with pytest.raises(ValueError):
+        discovery.search(nodes, facts, relations, "x" * 101)
+    some, within, totals = discovery.overview(nodes, facts, relations, 3, 1)
+    assert [r["id"] for r in some.collect()] == [5, 1, 3] and within.count() == 1 and tuple(totals.first()) == (5, 5, 4, True, False)
+    assert [r["facts"] for r in discovery.overview(nodes, facts, relations)[0].where("id = 4").collect()] == [[("named for", "Gates"), ("x", None)]]
+    rows = discovery.detail(nodes, relations, 1, 1).collect()
+    assert [(r["src"], r["dst"], r["neighbour_name"], r["total_relations"], r["truncated"]) for r in rows] == [(2, 1, "gate", 2, True)]
+    assert discovery.detail(nodes, relations, 1234).collect() == []
