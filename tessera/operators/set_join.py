@@ -1,8 +1,9 @@
 """Joins of sets by their overlap, exact, by prefix filters.
 
-The tokens of a set are ordered from the rarest on.  Two sets of sizes m and n that share at least t tokens share one among
-the first m - t + 1 of the one and the first n - t + 1 of the other, so only prefixes are joined, and very common tokens
-stand at the end of all sets.  What the places of a shared token leave possible is checked before the sets are compared.
+The tokens of a set are ordered from the rarest on.  Two sets of sizes m and n that share at least t tokens share k of them among
+the first m - t + k of the one and the first n - t + k of the other, so only prefixes are joined, and very common tokens stand
+at the end of all sets.  Pairs that share fewer than k there, or whose first shared token leaves too few behind it, are left
+out before the sets are compared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from tessera.sources import stages
 
 
+#: Tokens that two prefixes must share (fewer where the sets need not share so many).
+SHARED = 3
+
+
 def ordered(sets: DataFrame, item: str, token: str) -> DataFrame:
     """(item, token, pos from 0, size) of distinct (item, token), a set's rarest token first and ties by a hash."""
     one = stages.stage(sets.select(item, token).dropna().distinct(), "sets")
@@ -25,14 +30,15 @@ def ordered(sets: DataFrame, item: str, token: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame, item: str, token: str, least: Column, need: Column) -> DataFrame:
-    """(x, y), x < y: pairs of ordered sets that share a token of their prefixes.  ``least`` is the smallest overlap of a set of
+    """(x, y), x < y: pairs of ordered sets that share tokens of their prefixes.  ``least`` is the smallest overlap of a set of
     ``size`` with any partner, ``need`` that of sets of ``x_size`` and ``y_size`` (null: sizes too far apart)."""
-    prefix = rows.where(F.col("pos") <= F.col("size") - least)
+    prefix = rows.where(F.col("pos") < F.col("size") - least + SHARED)
     side = lambda s: prefix.select(F.col(item).alias(s), token, F.col("pos").alias(f"{s}_pos"), F.col("size").alias(f"{s}_size"))
-    pairs = side("x").join(side("y"), token).where("x < y")
+    pairs = side("x").join(side("y"), token).where("x < y").where(need.isNotNull())
+    pairs = pairs.groupBy("x", "y", "x_size", "y_size").agg(F.count(F.lit(1)).alias("_n"), F.min("x_pos").alias("x_pos"), F.min("y_pos").alias("y_pos"))
     # For the first token that both have, no more than what is left behind it can be shared.
     possible = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= need
-    return pairs.where(need.isNotNull() & possible).select("x", "y").distinct()
+    return pairs.where(possible & (F.col("_n") >= F.least(F.lit(SHARED), need))).select("x", "y")
 
 
 def similar_sets(sets: DataFrame, item: str, token: str, cutoff: float) -> DataFrame:
