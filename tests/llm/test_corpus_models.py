@@ -97,6 +97,36 @@ def test_scores_of_odd_rows(spark, model):
     same_scores(lattice.score(documents(spark, held), path).collect(), plain_scores(model, held))
 
 
+def test_learnt_scores_are_probabilities_near_the_base(spark, model):
+    """Held-out rows score finitely and not far below the word counts; the parts are those of a plain computation."""
+    rows = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    got = queries.op11_subword_lattice(spark, SMALL).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(rows["doc_id"]) and all(math.isfinite(r["score"]) for r in got)
+    assert sum(r["score"] for r in held) > 1.25 * sum(r["base_score"] for r in held)
+    split = [(i, lattice.tokens((t or "").encode())) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
+    c = Counter(w for i, words in split if zlib.crc32(str(i).encode()) % 10 for w in words)
+    n, once, twice = sum(c.values()), *[sum(x == k for x in c.values()) for k in (1, 2)]
+    d = once / (once + 2 * twice)
+    learnt = model.learnt(Counter(p for w in c if 0 < len(w) <= lattice.LONG for p in model.likeliest(lattice.signs(w))))
+    assert math.fsum(map(math.exp, learnt.pieces.values())) + 256 * math.exp(learnt.byte) + math.exp(learnt.end) == pytest.approx(1)
+
+    def plain(word):
+        part = learnt.log10(word) + math.log10(d * len(c) / n)
+        whole = math.log10((c[word] - d) / n) if c[word] else -math.inf
+        return max(part, whole) + math.log10(1 + 10 ** -abs(part - whole))
+
+    want = {i: math.fsum(map(plain, words)) for i, words in split}
+    assert np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], rtol=1e-9)
+
+
+def test_learning_from_nothing_keeps_the_file(spark, model):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    held = [(None, "a b " + "ab" * 50, "s"), (None, None, "s")]
+    same_scores(lattice.score(documents(spark, held), path, learn=True).collect(), plain_scores(model, held))
+    assert lattice.score(documents(spark, []), path, learn=True).collect() == []
+
+
 # Filters
 
 
