@@ -17,6 +17,16 @@ WRAPPED = ("value", "source_text", "source_url", "confidence", "status")
 DEPTH = 8
 
 
+def parsed(text: Column) -> Column:
+    """JSON text as a VARIANT; null where the text as a whole is no JSON.
+
+    Spark's parser reads the first value of a text and leaves what follows, so a text that begins with a number would be that
+    number alone.  Here it stands in a list before its own digest, which must come out behind it."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.sha1(text), F.lit('"]')))
+    whole = F.filter(F.array(held), lambda v: F.try_variant_get(v, "$[1]", "string") == F.sha1(text))
+    return F.get(F.transform(whole, lambda v: F.try_variant_get(v, "$[0]", "variant")), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, VOID, STRING and so on; null for no value."""
     return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
@@ -29,7 +39,7 @@ def truthy(v: Column) -> Column:
 def values(text: Column) -> Column:
     """The parts of a property's value: of JSON text an object's value, the parts of a list's items one by one, and a scalar split
     at commas, semicolons, slashes and bars; of other text the text so split.  Blank parts are left out."""
-    v = F.try_parse_json(text)
+    v = parsed(text)
     held = lambda x: F.coalesce(*[F.when(truthy(F.try_variant_get(x, f"$.{n}", "variant")), F.try_variant_get(x, f"$.{n}", "variant")) for n in VALUE_NAMES])
     items = lambda x: F.try_variant_get(x, "$", "array<variant>")
 
@@ -49,7 +59,7 @@ def wrapped(raw: Column, current: Mapping[str, Column]) -> dict[str, Column]:
     """The columns of WRAPPED (strings) of a property: as they are, or where they are null or empty what an object in ``raw`` has under
     their names.  Text that is no ``{...}`` or no JSON object fills nothing."""
     body = F.trim(raw)
-    v = F.when(body.startswith("{") & body.endswith("}"), F.try_parse_json(body))
+    v = F.when(body.startswith("{") & body.endswith("}"), parsed(body))
     v = F.when(kind(v) == "OBJECT", v)
     out = {}
     for name in WRAPPED:
@@ -67,7 +77,7 @@ def fields(v: Column) -> Column:
 def merged(left: Column, right: Column) -> Column:
     """JSON text of two objects, the fields of the right one taking the place of equal ones of the left; where one is no object,
     the right one."""
-    a, b = F.try_parse_json(left), F.try_parse_json(right)
+    a, b = parsed(left), parsed(right)
     both = F.map_concat(F.map_filter(fields(a), lambda k, _: ~F.map_contains_key(fields(b), k)), fields(b))
     return F.coalesce(F.to_json(both), right)
 
@@ -79,12 +89,12 @@ def with_value(target: Column, path: Sequence[str], value: Column, create: bool
     def put(v: Column, names: Sequence[str]) -> Column:
         held, name = fields(v), names[0]
         old = F.try_variant_get(v, f"$['{name}']", "variant")
-        new = F.try_parse_json(value) if len(names) == 1 else F.try_parse_json(put(old, names[1:]))
+        new = parsed(value) if len(names) == 1 else parsed(put(old, names[1:]))
         fits = F.map_contains_key(held, F.lit(name)) if len(names) > 1 or not create else F.lit(True)
         changed = F.map_concat(F.map_filter(held, lambda k, _: k != name), F.create_map(F.lit(name), new))
         return F.when(held.isNotNull() & F.coalesce(fits, F.lit(False)) & new.isNotNull(), F.to_json(changed)).otherwise(F.to_json(v))
 
-    return put(F.try_parse_json(target), list(path))
+    return put(parsed(target), list(path))
 
 
 def reply(text: Column, schema: str) -> Column:
@@ -92,8 +102,8 @@ def reply(text: Column, schema: str) -> Column:
     ``{`` to its last ``}``.  A list gives its first item; an answer without such an object is not valid and has nulls."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.trim(F.when(fenced != "", fenced).otherwise(text))
-    v = F.try_parse_json(body)
-    v = F.coalesce(v, F.try_parse_json(F.regexp_extract(body, r"(?s)(\{.*\})", 1)))
+    v = parsed(body)
+    v = F.coalesce(v, parsed(F.regexp_extract(body, r"(?s)(\{.*\})", 1)))
     v = F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
     v = F.when(kind(v) == "OBJECT", v)
     return F.struct(v.isNotNull().alias("valid"), F.from_json(F.to_json(v), schema).alias("data"))

@@ -199,3 +199,9 @@ def test_a_published_graph_is_searched_by_its_facts(spark):
     rows = discovery.detail(nodes, relations, 1, 1).collect()
     assert [(r["src"], r["dst"], r["neighbour_name"], r["total_relations"], r["truncated"]) for r in rows] == [(2, 1, "gate", 2, True)]
     assert discovery.detail(nodes, relations, 1234).collect() == []
+
+
+def test_text_behind_a_json_value_is_no_json(spark):
+    raws = ["7100 with. That, and; more", "[1], 2", '{"value": 1} {"value": 2}', '"a" b', "true story", "1] x"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(raws)], "k int, raw string").select("k", variants.values(F.col("raw")).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in rows] == [[y.strip() for y in x.replace(";", ",").split(",")] for x in raws]
