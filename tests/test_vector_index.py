@@ -83,3 +83,19 @@ def test_floats_stay_floats_and_empty_galleries_give_nothing(spark):
     assert len(got) == 6
     assert vector_index.top_k(q, g.limit(0), 3).collect() == [] == vector_index.top_k(q.limit(0), g, 3).collect()
     assert not any("CartesianProduct" in line or "NestedLoop" in line for line in retrieval.scored_pairs(q, g, 3)._jdf.queryExecution().toString().split("\n"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_scores_are_those_of_a_plain_loop_to_the_last_bit(metric):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(37, 64)), rng.normal(size=(50, 64))
+    b[9] = b[8]
+    b[9, 5] = np.nextafter(b[8, 5], 9)  # no more than a last bit apart
+
+    def plain(x, y):
+        dot = xx = yy = far = 0.0
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            dot, xx, yy, far = dot + p * q, xx + p * p, yy + q * q, far + (p - q) * (p - q)
+        return dot / np.sqrt(xx * yy) if metric == "cosine" else -np.sqrt(far)
+
+    assert (vector_index.scores(a, b, metric) == np.array([[plain(x, y) for y in b] for x in a])).all()
