@@ -143,8 +143,8 @@ def similar_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10, cutoff: float
     the first of their names.
 
     Where nodes are ``selected`` (id), pairs have one of them, as the source if the target is none."""
-    way = stage(both_ways(edges), "edges")
-    pairs = stage(set_join.similar_sets(way, "src", "dst", cutoff), "similar")
+    way = stage(both_ways(edges.dropna(subset=["a", "b"])), "edges")
+    pairs = stage(set_join.similar_sets(way, "src", "dst", cutoff, unique=True), "similar")
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "similarity"))
     best = W.partitionBy("x").orderBy(F.desc("similarity"), "y")
     rows = both.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= k) & (F.col("x") < F.col("y"))).drop("_n")

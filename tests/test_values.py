@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, set_join, values
 from tessera.plans import conflicts
@@ -107,3 +108,24 @@ def test_similar_nodes_are_of_one_kind_and_not_adjacent(spark):
     assert got == {(1, 2): (0.667, 2, ["x", "y"]), (2, 3): (0.667, 2, ["x", "y"]), (10, 11): (1.0, 4, ["a", "b", "c", "d"])}
     some = graph.similar_nodes(nodes, frame, cutoff=0.5, selected=nodes.where("id = 3")).collect()
     assert [(r["source"], r["target"]) for r in some] == [(3, 2)]
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_small_and_large_groups_settle_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(values, "FEW", few)
+    rng = random.Random(few)
+    bases = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(3)]
+    rows = [(g, at, varied(rng, rng.choice(bases))) for at in range(60) for g in (None, "g")]
+    got = values.distinct_values(spark.createDataFrame(rows, "g string, at long, v string"), ["g"], "v", "at").orderBy("at").collect()
+    for g in (None, "g"):
+        assert [(r["at"], r["value"]) for r in got if r["g"] == g] == plain_distinct([(at, v) for k, at, v in rows if k == g])
+
+
+def test_pairs_of_few_shared_tokens_end_where_they_meet(spark):
+    """Sets that share a few rare tokens are left out by their marks, before a pair is shuffled."""
+    rows = [(i, t) for i in range(30) for t in [*range(4), *range(1000 * (i + 1), 1000 * (i + 1) + 60)]]
+    rows += [(100, t) for t in range(60)] + [(101, t) for t in range(59)]
+    need = F.ceil(0.75 / 1.75 * (F.col("x_size") + F.col("y_size")) - 1e-9)
+    sets = set_join.ordered(spark.createDataFrame(rows, "i long, t long"), "i", "t", F.lit(1))
+    assert [tuple(r) for r in set_join.candidates(sets, "i", "t", need).collect()] == [(100, 101)]
+    assert sets.where("_m0 IS NULL AND pos < size").isEmpty()
