@@ -119,3 +119,15 @@ def test_literals_round_the_exact_value(spark):
     rows = spark.createDataFrame([(1, [-0.0703125, 0.0234375, 1.0]), (2, [0.1, None]), (3, None), (4, [])], "k int, v array<float>")
     got = [r["x"] for r in rows.select("k", vectors.literal(F.col("v")).alias("x")).orderBy("k").collect()]
     assert got == ["[-0.070312,0.023438,1.000000]", "[0.100000]", None, "[]"]
+
+
+def test_pages_are_parsed_slice_by_slice(spark, monkeypatch):
+    """No more than a slice of a batch is held as Python strings, and every row comes back."""
+    monkeypatch.setattr(html, "SLICE", 50)
+    rows = [(i, None if i % 7 == 0 else f"<title>t{i}</title><p>{'word ' * (i % 30)}</p>") for i in range(60)]
+    frame = spark.createDataFrame(rows, "page int, body string").coalesce(1)
+    got = {r["id"]: (r["title"], r["text"]) for r in html.page_texts(frame, "page", "body").collect()}
+    assert got == {i: html.text_of(x) for i, x in rows}
+    files = frame.select("page", F.encode("body", "UTF-8").alias("body"))
+    assert {r["id"]: (r["text"], r["encoding"]) for r in html.decode_files(files, "page", "body").collect()} == {i: (x or "", "utf-8") for i, x in rows}
+    assert {r["id"]: (r["headings"], r["summary"]) for r in html.articles(frame, "page", "body").collect()} == {i: html.article_of(x) for i, x in rows}
