@@ -25,7 +25,8 @@ def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
 
     Bits are cut into ``most + k`` bands, of which two strings that differ in ``most`` places at most have k the same, so the join
     is by equal sets of k bands; k grows slowly with the rows, and so do the bits of a key.  All strings have one length.
-    Equal strings are one node in it and are paired among themselves afterwards."""
+    Equal strings are one node in it and are paired among themselves afterwards.  The joins are merge joins by name: the size of staged
+    strings of bits tells little of that of their bands, and Spark would send these to the driver and broadcast them."""
     nodes = stages.stage(rows.groupBy("bits").agg(F.min("id").alias("n")), "hashes")
     size = nodes.agg(F.count(F.lit(1)), F.max(F.length("bits"))).first()
     length = size[1] or 1
@@ -37,12 +38,12 @@ def hamming_pairs(rows: DataFrame, most: int) -> DataFrame:
     bands = nodes.select("n", "bits", words.alias("words"), F.explode(band).alias("band"))
     x, y = (bands.select("band", F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"), F.col("words").alias(f"words_{c}")) for c in "xy")
     differ = F.zip_with("words_x", "words_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    near = x.join(y, "band").where("n_x < n_y").withColumn("distance", F.aggregate(differ, F.lit(0), lambda s, d: s + d))
+    near = x.join(y.hint("merge"), "band").where("n_x < n_y").withColumn("distance", F.aggregate(differ, F.lit(0), lambda s, d: s + d))
     near = near.where(F.col("distance") <= most).select("bits_x", "bits_y", "distance").distinct()
     same = nodes.select(F.col("bits").alias("bits_x"), F.col("bits").alias("bits_y"), F.lit(0).alias("distance"))
     both = near.select("bits_x", "bits_y", "distance").unionByName(same)
     one, two = (rows.select(F.col("bits").alias(f"bits_{c}"), F.col("id").alias(f"id_{c}")) for c in "xy")
-    out = both.join(one, "bits_x").join(two, "bits_y").where("id_x <> id_y AND (bits_x <> bits_y OR id_x < id_y)")
+    out = both.join(one.hint("merge"), "bits_x").join(two.hint("merge"), "bits_y").where("id_x <> id_y AND (bits_x <> bits_y OR id_x < id_y)")
     return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "distance")
 
 

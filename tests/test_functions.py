@@ -131,3 +131,10 @@ def test_pages_are_parsed_slice_by_slice(spark, monkeypatch):
     files = frame.select("page", F.encode("body", "UTF-8").alias("body"))
     assert {r["id"]: (r["text"], r["encoding"]) for r in html.decode_files(files, "page", "body").collect()} == {i: (x or "", "utf-8") for i, x in rows}
     assert {r["id"]: (r["headings"], r["summary"]) for r in html.articles(frame, "page", "body").collect()} == {i: html.article_of(x) for i, x in rows}
+
+
+def test_bands_of_hashes_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, f"{i * 2654435761 % (1 << 32):032b}") for i in range(40)], "id long, bits string")
+    pairs = duplicates.hamming_pairs(rows, 6)
+    pairs.collect()
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
