@@ -20,9 +20,10 @@ def _holds(column: str, query: str):  # noqa: ANN202
 
 def degrees(relations: DataFrame) -> DataFrame:
     """(id, degree): the number of different relations at a node; a loop counts once."""
-    one = relations.select("src", "dst", "relation", "label").distinct()
-    ends = one.select(F.col("src").alias("id")).unionByName(one.where("src <> dst").select(F.col("dst").alias("id")))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    rows = relations.select("src", "dst", "relation", "label")
+    one = graph.dealt(rows, rows.count(), "src", "dst").distinct()
+    ends = F.when(F.col("src") != F.col("dst"), F.array("src", "dst")).otherwise(F.array("src"))
+    return one.select(F.explode(ends).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def search(nodes: DataFrame, facts: DataFrame, relations: DataFrame, query: str, kind: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:

@@ -15,36 +15,56 @@ from tessera.sources.stages import stage
 
 from . import set_join
 
+#: Rows that a task of a join or an aggregation by pairs takes, whatever the size of the table.
+TASK_ROWS = 1 << 18
+
+
+def dealt(rows: DataFrame, count: int, *columns: str) -> DataFrame:
+    """``rows``, ``count`` in number, dealt by columns to so many tasks that each has about TASK_ROWS."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_ROWS)), *columns)
+
 
 def co_occurrence(rows: DataFrame, page: str, entity: str) -> DataFrame:
-    """(a, b, pages): every two different entities on a page, with the number of pages they share."""
-    one = rows.select(page, F.col(entity).alias("a")).distinct()
+    """(a, b, pages): every two different entities on a page, with the number of pages they share.
+
+    Pages are dealt once, to tasks of about TASK_ROWS rows: their entities become distinct and meet in place."""
+    some = rows.select(page, F.col(entity).alias("a")).dropna()
+    one = dealt(some, rows.count(), page).distinct()
     two = one.withColumnRenamed("a", "b")
     return one.join(two, page).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(src, dst) of each edge and its reverse."""
+def both_ways(edges: DataFrame, unique: bool = False) -> DataFrame:
+    """(src, dst) of each edge and its reverse.  ``unique`` edges are known to be there once, a < b, as those of
+    ``co_occurrence`` are; nothing is shuffled then."""
+    if unique:
+        ends = F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+        return edges.select(ends)
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+def _staged_ways(edges: DataFrame, unique: bool) -> DataFrame:
+    """``both_ways`` for several readings; unique edges are stored one way."""
+    return both_ways(stage(edges.select("a", "b"), "edges"), True) if unique else stage(both_ways(edges), "edges")
+
+
+def degrees(edges: DataFrame, unique: bool = False) -> DataFrame:
+    return both_ways(edges, unique).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def statistics(nodes: DataFrame, edges: DataFrame, unique: bool = False) -> DataFrame:
     """One row: number of nodes and edges, density, largest and mean degree."""
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
     m = edges.agg(F.count(F.lit(1)).alias("edges"))
-    d = degrees(edges).agg(F.max("degree").alias("max_degree"))
+    d = degrees(edges, unique).agg(F.max("degree").alias("max_degree"))
     rows = n.crossJoin(m).crossJoin(d)
     possible = F.col("nodes") * (F.col("nodes") - 1)
     return rows.withColumns({"density": F.coalesce(2 * F.col("edges") / F.nullif(possible, F.lit(0)), F.lit(0.0)), "mean_degree": 2 * F.col("edges") / F.nullif(F.col("nodes"), F.lit(0))})
 
 
-def hops(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+def hops(edges: DataFrame, roots: DataFrame, most: int, unique: bool = False) -> DataFrame:
     """(id, depth): nodes within ``most`` hops of the roots (id), the roots at 0."""
-    way = stage(both_ways(edges), "edges")
+    way = _staged_ways(edges, unique)
     seen = roots.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("depth")).distinct()
     front = seen
     for k in range(1, most + 1):
@@ -54,11 +74,11 @@ def hops(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, root: int, most: int = 3, least: int = 1, relations: list[str] | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+def neighbourhood(nodes: DataFrame, edges: DataFrame, root: int, most: int = 3, least: int = 1, relations: list[str] | None = None, offset: int = 0, limit: int = 50, unique: bool = False) -> DataFrame:
     """A page of the nodes at ``least`` to ``most`` steps from a root, over edges (a, b, relation) of the given relations alone:
     id, name, kind, depth, total (of all pages) and has_more, by depth, name and id."""
     way = edges if relations is None else edges.where(F.col("relation").isin(*relations))
-    near = hops(way, edges.sparkSession.createDataFrame([(root,)], "id long"), most).where((F.col("depth") >= least) & (F.col("id") != root))
+    near = hops(way, edges.sparkSession.createDataFrame([(root,)], "id long"), most, unique).where((F.col("depth") >= least) & (F.col("id") != root))
     return page(near.join(nodes, "id"), ["depth", "name", "id"], offset, limit)
 
 
@@ -70,14 +90,14 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return some.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, most: int = 10) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, target: int, most: int = 10, unique: bool = False) -> DataFrame:
     """(step, id, from): the shortest path, of several the one that is smallest step by step, and the node before each; no rows
     beyond ``most`` hops.
 
     Frontiers grow from both ends, the smaller one next, until they meet.  Nodes on shortest paths are then read back from the
     meeting, layer by layer on either side; the path itself takes one of them a step."""
     spark = edges.sparkSession
-    way = stage(both_ways(edges), "edges")
+    way = _staged_ways(edges, unique)
     layers = [[spark.createDataFrame([(x,)], "id long")] for x in (source, target)]
     seen, sizes, met = [x[0] for x in layers], [1, 1], None
     nothing = spark.createDataFrame([], "step int, id long, from long")
@@ -114,11 +134,11 @@ def _walks(way: DataFrame, start: int, steps: int) -> list[DataFrame]:
     return out
 
 
-def simple_paths(edges: DataFrame, source: int, target: int, most: int = 3) -> DataFrame:
+def simple_paths(edges: DataFrame, source: int, target: int, most: int = 3, unique: bool = False) -> DataFrame:
     """(path, length): all paths without repeated nodes of at most ``most`` edges.
 
     A path is two halves that meet in its middle and share nothing else, so walks go half as far from either end."""
-    way = stage(both_ways(edges), "edges")
+    way = _staged_ways(edges, unique)
     ahead, behind = _walks(way, source, (most + 1) // 2), _walks(way, target, most // 2)
     done = None
     for k in range(1, most + 1):
@@ -129,9 +149,9 @@ def simple_paths(edges: DataFrame, source: int, target: int, most: int = 3) -> D
     return done
 
 
-def common_neighbours(edges: DataFrame, root: int) -> DataFrame:
+def common_neighbours(edges: DataFrame, root: int, unique: bool = False) -> DataFrame:
     """(id, bridges): nodes not adjacent to the root that share neighbours with it."""
-    way = both_ways(edges)
+    way = both_ways(edges, unique)
     near = way.where(F.col("src") == root).select(F.col("dst").alias("src"))
     far = way.join(near, "src").where(F.col("dst") != root).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("bridges"))
     return far.join(near.withColumnRenamed("src", "id"), "id", "left_anti")
@@ -168,11 +188,11 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select(*edges.columns)
 
 
-def entity_search(nodes: DataFrame, edges: DataFrame, text: str, offset: int = 0, limit: int = 20) -> DataFrame:
+def entity_search(nodes: DataFrame, edges: DataFrame, text: str, offset: int = 0, limit: int = 20, unique: bool = False) -> DataFrame:
     """Nodes whose name holds the text, by tier (exact 100, beginning 80, within 60), degree, name and id, as a page."""
     low, q = F.lower("name"), text.lower()
     tier = F.when(low == q, 100).when(low.startswith(q), 80).when(low.contains(q), 60)
-    rows = nodes.withColumn("tier", tier).where("tier IS NOT NULL").join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rows = nodes.withColumn("tier", tier).where("tier IS NOT NULL").join(degrees(edges, unique), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return rows.orderBy(F.desc("tier"), F.desc("degree"), "name", "id").offset(offset).limit(limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import discovery as D
+from tessera.sources.stages import stage
 
 from . import graphs
 from .registry import Registry
@@ -25,7 +26,8 @@ def world(spark, sf_dir):
     nodes = p.select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_type").alias("description"), F.when(k % 10 > 0, F.floor(k / 10) * 10).alias("parent"))
     flags = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.concat(F.lit("flag "), "l_linestatus").alias("key"), F.col("l_returnflag").alias("value")).distinct()
     facts = flags.unionByName(p.select(k.alias("node"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value")))
-    together = graphs.edges(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CO_OCCURS").alias("relation"), F.when(F.col("pages") > 1, "often").otherwise("once").alias("label"))
+    # Every use of the relations reads the edges, which are counted once.
+    together = stage(graphs.edges(spark, sf_dir), "edges").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CO_OCCURS").alias("relation"), F.when(F.col("pages") > 1, "often").otherwise("once").alias("label"))
     within = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.lit("PARENT_OF").alias("relation"), F.lit("within").alias("label"))
     return nodes, facts, together.unionByName(within)
 

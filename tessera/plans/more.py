@@ -107,8 +107,8 @@ def a33_storage_metrics(spark, sf_dir):
 @register(f"WITH {graphs.EDGES}, {graphs.HOPS}, m AS (SELECT id, min(depth) AS depth FROM z GROUP BY id), i AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM m)) SELECT id, depth, p_name AS name, (SELECT count(*) FROM i WHERE a = id OR b = id) AS relations FROM m JOIN part ON p_partkey = id")
 def g16_grounding_context(spark, sf_dir):
     e = graphs.edges(spark, sf_dir)
-    near = G.hops(e, graphs.root(spark), 3)
-    n = G.degrees(G.induced(e, near)).withColumnRenamed("degree", "relations")
+    near = G.hops(e, graphs.root(spark), 3, unique=True)
+    n = G.degrees(G.induced(e, near), unique=True).withColumnRenamed("degree", "relations")
     rows = near.join(graphs.parts(spark, sf_dir), "id").join(n, "id", "left")
     return rows.select("id", "depth", "name", F.coalesce("relations", F.lit(0)).alias("relations"))
 
