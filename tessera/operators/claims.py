@@ -29,12 +29,27 @@ def fused(bindings: DataFrame, claim: list[str], family: str, kind: str, score:
     return out.join(kinds, claim).withColumn("cross_source", cross)
 
 
+def distinct_counts(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """(group, n_<column>...): rows that have the number of different values of one column each, and null for the others; groups
+    without a value have no row.
+
+    Each column is counted on its own, so that no row is repeated for the others."""
+    out = None
+    for c in columns:
+        n = rows.where(F.col(c).isNotNull()).select(*group, c).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+        out = n if out is None else out.unionByName(n, allowMissingColumns=True)
+    return out
+
+
 def classified(rows: DataFrame, group: list[str], single_valued: Column, temporal: Column) -> DataFrame:
     """Per group: numbers of values and sources, the best claim's value, and the class, of which the first that fits
     holds: unsupported, weak, same_value, temporal, exclusive, multi_value."""
-    out = rows.groupBy(*group).agg(
-        F.countDistinct("value").alias("n_values"), F.countDistinct("source").alias("n_sources"), F.max("confidence").alias("best"),
-        F.max_by("value", F.struct("confidence", "value")).alias("best_value"), F.max(single_valued.cast("int")).alias("single"), F.max(temporal.cast("int")).alias("temporal"),
+    # All but the sources follows from one row for each value; both counts of different ones together would make three rows of each.
+    values = rows.groupBy(*group, "value").agg(F.max("confidence").alias("confidence"), F.max(single_valued.cast("int")).alias("single"), F.max(temporal.cast("int")).alias("temporal"))
+    values = values.withColumn("_of", F.struct("confidence", "value"))
+    out = values.unionByName(distinct_counts(rows, group, ["source"]), allowMissingColumns=True).groupBy(*group).agg(
+        F.count("value").alias("n_values"), F.coalesce(F.max("n_source"), F.lit(0)).alias("n_sources"), F.max("confidence").alias("best"),
+        F.max_by("value", "_of").alias("best_value"), F.max("single").alias("single"), F.max("temporal").alias("temporal"),
     )
     kind = (
         F.when(F.col("best") < 0.1, "unsupported").when(F.col("best") < 0.45, "weak").when(F.col("n_values") <= 1, "same_value")
@@ -61,9 +76,12 @@ def policy(level: Column) -> Column:
 def canonical(rows: DataFrame, key: list[str]) -> DataFrame:
     """Per key: the value of the most confident claim, all claim ids, the distinct sources and the confidence."""
     best = F.struct("confidence", (-F.col("claim_id")).alias("first"))
-    return rows.groupBy(*key).agg(
-        F.max_by("value", best).alias("value"), F.sort_array(F.collect_list("claim_id")).alias("claim_ids"), F.countDistinct("source").alias("n_sources"), F.max("confidence").alias("confidence")
-    )
+    each = rows.groupBy(*key).agg(F.max_by("value", best).alias("value"), F.collect_list("claim_id").alias("claim_ids"), F.max("confidence").alias("confidence"))
+    out = each.withColumn("_one", F.lit(True)).unionByName(distinct_counts(rows, key, ["source"]), allowMissingColumns=True).groupBy(*key)
+    # One row of a key has the claims, at most one the number of sources.
+    first = lambda c: F.max_by(c, "_one")
+    out = out.agg(first("value").alias("value"), first("claim_ids").alias("claim_ids"), F.coalesce(F.max("n_source"), F.lit(0)).alias("n_sources"), F.max("confidence").alias("confidence"))
+    return out.withColumn("claim_ids", F.sort_array("claim_ids"))
 
 
 def deltas(claims: DataFrame, published: DataFrame, key: list[str]) -> DataFrame:

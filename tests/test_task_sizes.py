@@ -1,5 +1,8 @@
 """Plans whose tasks keep their size as tables grow."""
 
+from pyspark.sql import functions as F
+
+from tessera.operators import claims as C
 from tessera.operators import discovery as D
 from tessera.operators import graph as G
 from tessera.plans import graphs
@@ -55,3 +58,18 @@ def test_degrees_count_different_relations_and_loops_once(spark):
     assert rows(found) == [(1, 2), (2, 2), (3, 1), (4, 1)]
     # Relations are dealt by their ends to tasks of a fixed size before they become distinct.
     assert "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_counts_of_different_values_repeat_no_row(spark):
+    table = spark.createDataFrame(
+        [("a", "x", "s", 0.9), ("a", "y", "s", 0.9), ("a", None, None, 0.95), ("b", None, None, None), (None, "x", "s", 0.5), (None, "x", "t", 0.4)], "g string, value string, source string, confidence double"
+    )
+    found = C.classified(table, ["g"], F.lit(True), F.lit(False))
+    assert {r["g"]: tuple(r)[1:] for r in found.collect()} == {
+        "a": (2, 1, 0.95, None, "exclusive"), "b": (0, 0, None, None, "same_value"), None: (1, 2, 0.5, "x", "same_value")
+    }
+    claims = table.withColumn("claim_id", F.when(F.col("value") == "y", 1).otherwise(2))
+    found = {r["g"]: tuple(r)[1:] for r in C.canonical(claims, ["g"]).collect()}
+    assert found == {"a": (None, [1, 2, 2], 1, 0.95), "b": (None, [2], 0, None), None: ("x", [2, 2], 2, 0.5)}
+    for df in (C.classified(table, ["g"], F.lit(True), F.lit(False)), C.canonical(claims, ["g"])):
+        assert "Expand" not in plan(df)
