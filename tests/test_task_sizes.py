@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import claims as C
 from tessera.operators import discovery as D
 from tessera.operators import graph as G
-from tessera.plans import graphs
+from tessera.plans import graphs, rollups
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +73,7 @@ def test_counts_of_different_values_repeat_no_row(spark):
     assert found == {"a": (None, [1, 2, 2], 1, 0.95), "b": (None, [2], 0, None), None: ("x", [2, 2], 2, 0.5)}
     for df in (C.classified(table, ["g"], F.lit(True), F.lit(False)), C.canonical(claims, ["g"])):
         assert "Expand" not in plan(df)
+
+
+def test_fan_out_counts_do_not_repeat_rows(spark):
+    assert "Expand" not in plan(rollups.j8_fan_out_audit(spark, SMALL))
