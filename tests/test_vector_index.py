@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,13 @@ def test_scores_are_those_of_a_plain_loop_to_the_last_bit(metric):
         return dot / np.sqrt(xx * yy) if metric == "cosine" else -np.sqrt(far)
 
     assert (vector_index.scores(a, b, metric) == np.array([[plain(x, y) for y in b] for x in a])).all()
+
+
+def test_vectors_meet_centers_in_slices():
+    x = np.random.default_rng(3).normal(size=(2500, 4)).astype("f4")
+    lists = [None if i % 7 == 0 else r for i, r in enumerate(x.tolist())]
+    batch = pa.record_batch([pa.array(range(2500)), pa.array(lists, pa.list_(pa.float32()))], names=["id", "vec"])
+    parts = list(vector_index.slices(iter([batch])))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452] and vector_index.SLICE == 1024
+    packed = [vector_index.pack(p, "id", ["vec"], ["<f4"], []) for p in parts]
+    assert pa.Table.from_batches(packed).to_pydict() == vector_index.pack(batch, "id", ["vec"], ["<f4"], []).to_pydict()
