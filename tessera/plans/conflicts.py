@@ -30,13 +30,13 @@ RAISED = f"""c AS (SELECT l_orderkey * 8 + l_linenumber AS claim, l_partkey AS s
     k AS (SELECT *, {sql_list(TEXTS)}[v + 1] AS value, {str(MEANINGS).replace('None', 'NULL')}[v + 1] AS says FROM c)"""
 
 
-def raised(spark, sf_dir):
+def raised(spark, sf_dir, *more):
     rows = t(spark, sf_dir, "lineitem")
     o, n, p, s = (F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey"))
     return rows.select(
         (o * 8 + n).alias("claim"), p.alias("subject"), pick(PREDICATES, o % 7).alias("predicate"), pick(KINDS, p).alias("claim_type"), pick(ROLES, F.floor(p / 3)).alias("temporal_role"),
         pick(TEXTS, s * 3 + o).alias("value"), (s % 9).alias("source"), (F.col("l_discount") * 10).alias("score"), pick(EVIDENCE, F.floor(o / 5) + F.floor(s / 40)).alias("evidence_status"),
-        F.when(o % 97 == 0, "AMBIGUOUS").alias("entity_status"), (o % 89 == 0).alias("scope_mismatch"),
+        F.when(o % 97 == 0, "AMBIGUOUS").alias("entity_status"), (o % 89 == 0).alias("scope_mismatch"), *more,
     )
 
 
@@ -54,7 +54,9 @@ def a12_conflict_classes(spark, sf_dir):
 @register(f"""WITH {RAISED} SELECT subject, predicate, arg_min(trim(value), claim) AS value, min(claim) AS "at" FROM k WHERE says >= 0 GROUP BY subject, predicate, says
     UNION ALL SELECT subject, predicate, trim(value), claim FROM k WHERE says = -1""")
 def a12_distinct_values(spark, sf_dir):
-    return V.distinct_values(raised(spark, sf_dir), ["subject", "predicate"], "value", "claim")
+    # Of rows of one claim the table's first one counts.
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    return V.distinct_values(raised(spark, sf_dir, *place), ["subject", "predicate"], "value", "claim", ["file", "row"])
 
 
 @register("""WITH c AS (SELECT p_partkey, ['始建年代', '周边特色', '备注', '空间位置', '毗邻', ' 隶属 '][p_partkey % 6 + 1] AS predicate, [NULL, 'construction_time', 'renovation_time', 'legend_time'][p_size % 4 + 1] AS role FROM part)

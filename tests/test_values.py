@@ -1,12 +1,16 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, set_join, values
 from tessera.plans import conflicts
 
+from . import oracle
+
 
 def plain_same(a, b):
     """The rule, with the ratio of difflib alone."""
@@ -129,3 +133,15 @@ def test_pairs_of_few_shared_tokens_end_where_they_meet(spark):
     sets = set_join.ordered(spark.createDataFrame(rows, "i long, t long"), "i", "t", F.lit(1))
     assert [tuple(r) for r in set_join.candidates(sets, "i", "t", need).collect()] == [(100, 101)]
     assert sets.where("_m0 IS NULL AND pos < size").isEmpty()
+
+
+def test_of_one_claims_values_the_tables_first_one_counts(spark, tmp_path):
+    rng = random.Random(3)
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount"]
+    rows = [(rng.randrange(20), 1 + rng.randrange(7), rng.randrange(4), rng.randrange(1000), 0.1) for _ in range(4000)]
+    frame = pd.DataFrame(rows, columns=names).astype({"l_linenumber": "int32"})
+    frame.to_parquet(tmp_path / "lineitem.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    got, want = conflicts.a12_distinct_values(spark, str(tmp_path)).toPandas(), con.execute(conflicts.ORACLES["a12_distinct_values"]).fetchdf()
+    assert oracle.rows(got) == oracle.rows(want)
