@@ -253,7 +253,7 @@ def s5_page_text(spark, sf_dir):
 
 @register()
 def s12_web_page_extraction(spark, sf_dir):
-    return html.page_texts(t(spark, sf_dir, "pages"), "page_id", "html", boilerplate=True, least_line=8, most=6000)
+    return html.page_texts(t(spark, sf_dir, "pages"), "page_id", "html", boilerplate=True, least_line=8)
 
 
 @register("SELECT page_id AS id, length(coalesce(html, '')) AS n, 'utf-8' AS encoding FROM pages")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys, scoring, texts, vectors
 from tessera.operators import claims, duplicates, graph, queues, retrieval
+from tessera.plans import texts as texts_plan
 from tessera.sources import html
 
 
@@ -133,6 +134,14 @@ def test_pages_are_parsed_slice_by_slice(spark, monkeypatch):
     assert {r["id"]: (r["headings"], r["summary"]) for r in html.articles(frame, "page", "body").collect()} == {i: html.article_of(x) for i, x in rows}
 
 
+def test_page_texts_and_titles_are_whole(spark, tmp_path):
+    words, title = " ".join(f"word{i}" for i in range(300_000)), "t" * 300
+    page = f"<title>{title}</title><nav>left out of it</nav><p>short</p><p>{words}</p>"
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in texts_plan.s12_web_page_extraction(spark, str(tmp_path)).collect()] == [(1, title, words)]
+    assert [tuple(r) for r in html.page_texts(spark.createDataFrame([(1, page)], "i long, h string"), "i", "h").collect()] == [(1, *html.text_of(page))]
+
+
 def test_bands_of_hashes_are_not_broadcast(spark):
     rows = spark.createDataFrame([(i, f"{i * 2654435761 % (1 << 32):032b}") for i in range(40)], "id long, bits string")
     pairs = duplicates.hamming_pairs(rows, 6)
