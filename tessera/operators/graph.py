@@ -163,20 +163,23 @@ def similar_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10, cutoff: float
     the first of their names.
 
     Where nodes are ``selected`` (id), pairs have one of them, as the source if the target is none."""
-    way = stage(both_ways(edges.dropna(subset=["a", "b"])), "edges")
-    pairs = stage(set_join.similar_sets(way, "src", "dst", cutoff, unique=True), "similar")
-    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "similarity"))
+    # The sets of a pair tell whether it is an edge and what both have; the edges are not read again.
+    ways = both_ways(edges.dropna(subset=["a", "b"]), unique=True)
+    pairs = set_join.similar_sets(ways, "src", "dst", cutoff, tokens=True).withColumn("adjacent", F.array_contains("x_t", F.col("y"))).drop("x_t")
+    found = stage(pairs, "similar")
+    pairs = found.drop("shared")
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "similarity", "adjacent"))
     best = W.partitionBy("x").orderBy(F.desc("similarity"), "y")
-    rows = both.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= k) & (F.col("x") < F.col("y"))).drop("_n")
+    rows = both.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= k) & (F.col("x") < F.col("y")) & ~F.col("adjacent")).drop("_n", "adjacent")
     kinds = nodes.select("id", "kind")
     rows = rows.join(kinds.withColumnsRenamed({"id": "x", "kind": "_k"}), "x").join(kinds.withColumnsRenamed({"id": "y", "kind": "_l"}), "y").where(F.col("_k") == F.col("_l"))
-    rows = rows.join(way.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_anti")
     swap = F.lit(False)
     if selected is not None:
         one = selected.select("id").distinct().withColumn("_in", F.lit(True))
         rows = rows.join(one.withColumnsRenamed({"id": "x", "_in": "_a"}), "x", "left").join(one.withColumnsRenamed({"id": "y", "_in": "_b"}), "y", "left").where("_a OR _b")
         swap = F.col("_a").isNull()
-    shared = rows.select("x", "y").join(way.select(F.col("src").alias("x"), F.col("dst").alias("id")), "x").join(way.select(F.col("src").alias("y"), F.col("dst").alias("id")), ["y", "id"])
+    rows = stage(rows, "kept-pairs")
+    shared = found.select("x", "y", "shared").join(rows.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.explode("shared").alias("id"))
     named = shared.join(nodes.select("id", "name"), "id").groupBy("x", "y").agg(F.slice(F.sort_array(F.collect_set("name")), 1, names).alias("names"))
     rows = rows.join(named, ["x", "y"], "left")
     pick = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))

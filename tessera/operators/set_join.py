@@ -27,10 +27,12 @@ MARKS = ("_m0", "_m1", "_m2", "_m3")
 def ordered(sets: DataFrame, item: str, token: str, least: Column, unique: bool = False) -> DataFrame:
     """(item, token, pos from 0, size, *MARKS) of (item, token), a set's rarest token first and ties by a hash; marks are null behind
     the prefix.  ``least`` is the smallest overlap of a set of ``size`` with any partner; ``unique``: no row repeats another one or
-    has a null, and the table is staged."""
-    one = sets.select(item, token) if unique else stages.stage(sets.select(item, token).dropna().distinct(), "sets")
-    often = one.groupBy(token).agg(F.count(F.lit(1)).alias("_often"))
-    rows = one.join(often, token)
+    has a null.
+
+    Rows are shuffled twice, by token, where they become distinct and are counted in place, and by item; what is made of them is
+    added behind that."""
+    one = sets.select(item, token).repartition(F.col(token)) if unique else sets.select(item, token).dropna().repartition(F.col(token)).distinct()
+    rows = one.withColumn("_often", F.count(F.lit(1)).over(W.partitionBy(token))).repartition(F.col(item))
     order = W.partitionBy(item).orderBy("_often", F.xxhash64(token), token)
     whole, hashed = W.partitionBy(item), F.xxhash64(token, F.lit(1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed, 8), F.lit(64)).cast("int"))
@@ -53,9 +55,9 @@ def candidates(rows: DataFrame, item: str, token: str, need: Column) -> DataFram
     return pairs.where(possible & (F.col("_n") >= F.least(F.lit(SHARED), need))).select("x", "y")
 
 
-def similar_sets(sets: DataFrame, item: str, token: str, cutoff: float, unique: bool = False) -> DataFrame:
+def similar_sets(sets: DataFrame, item: str, token: str, cutoff: float, unique: bool = False, tokens: bool = False) -> DataFrame:
     """(x, y, common, similarity), x < y: all pairs of items whose sets (item, token) have a Jaccard similarity of at least
-    ``cutoff`` > 0; ``unique`` as in ``ordered``."""
+    ``cutoff`` > 0; ``unique`` as in ``ordered``.  With ``tokens`` also the tokens of x and those in common (x_t, shared)."""
     if not 0 < cutoff <= 1:
         raise ValueError("cutoff must be above 0 and at most 1")
     # Rounded off a little, so that no float makes a needed overlap one too large.
@@ -68,6 +70,7 @@ def similar_sets(sets: DataFrame, item: str, token: str, cutoff: float, unique:
     met = pairs.select(F.col("x").alias(item)).unionByName(pairs.select(F.col("y").alias(item))).distinct()
     whole = rows.join(met, item, "left_semi").groupBy(item).agg(F.collect_list(token).alias("t"))
     side = lambda s: whole.select(F.col(item).alias(s), F.col("t").alias(f"{s}_t"))
-    found = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("common", F.size(F.array_intersect("x_t", "y_t")).cast("long"))
+    found = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("shared", F.array_intersect("x_t", "y_t"))
+    found = found.withColumn("common", F.size("shared").cast("long"))
     found = found.withColumn("similarity", F.col("common") / (F.size("x_t") + F.size("y_t") - F.col("common")))
-    return found.where(F.col("similarity") >= cutoff).select("x", "y", "common", "similarity")
+    return found.where(F.col("similarity") >= cutoff).select("x", "y", "common", "similarity", *(["x_t", "shared"] if tokens else []))

@@ -145,3 +145,21 @@ def test_of_one_claims_values_the_tables_first_one_counts(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
     got, want = conflicts.a12_distinct_values(spark, str(tmp_path)).toPandas(), con.execute(conflicts.ORACLES["a12_distinct_values"]).fetchdf()
     assert oracle.rows(got) == oracle.rows(want)
+
+
+def test_sets_are_shuffled_twice_and_edges_read_once(spark, monkeypatch):
+    edges = [(1, 10), (2, 10), (3, 10), (1, 11), (2, 11), (3, 11), (1, 3), (4, 10), (4, 11)]
+    nodes = spark.createDataFrame([(i, f"n{i}", "k") for i in (1, 2, 3, 4, 10, 11)], "id long, name string, kind string")
+    frame = spark.createDataFrame([*edges, *edges[:4], *[(b, a) for a, b in edges]], "a long, b long")
+    plans, stage = {}, set_join.stages.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(set_join.stages, "stage", noted)
+    monkeypatch.setattr(graph, "stage", noted)
+    got = {(r["source"], r["target"]): (round(r["similarity"], 3), r["common"], r["names"]) for r in graph.similar_nodes(nodes, frame, cutoff=0.5).collect()}
+    some = {(a, b): (0.667, 2, ["n10", "n11"]) for a in (1, 3) for b in (2, 4)}
+    assert got == {tuple(sorted(k)): v for k, v in some.items()} | {(2, 4): (1.0, 2, ["n10", "n11"]), (10, 11): (1.0, 4, ["n1", "n2", "n3", "n4"])}
+    assert [x for x in plans if x in ("edges", "sets")] == [] and plans["ordered"].count("Exchange hashpartitioning") == 2
