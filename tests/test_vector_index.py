@@ -110,3 +110,27 @@ def test_vectors_meet_centers_in_slices():
     assert [p.num_rows for p in parts] == [1024, 1024, 452] and vector_index.SLICE == 1024
     packed = [vector_index.pack(p, "id", ["vec"], ["<f4"], []) for p in parts]
     assert pa.Table.from_batches(packed).to_pydict() == vector_index.pack(batch, "id", ["vec"], ["<f4"], []).to_pydict()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_full_rankings_shuffle_no_pairs(spark, monkeypatch, metric):
+    """A task holds no more than a group's scores, and results are those of all pairs."""
+    monkeypatch.setattr(vector_index, "HELD", 8 * 300 * 7)
+    monkeypatch.setattr(vector_index, "BLOCK", 64)
+    monkeypatch.setattr(vector_index, "ROWS_OUT", 700)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype("float32")
+    x[7] = x[3]
+    g = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "gid long, vec array<float>").repartition(3)
+    q = g.where("gid % 6 = 1").select(F.col("gid").alias("qid"), "vec")
+    ranked = retrieval.scored_pairs(q, g, None, metric)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and [t for _, t in ranked.dtypes] == ["bigint", "bigint", "double", "int"]
+    got = {}
+    for r in ranked.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["gid"], r["score"], r["rank"]))
+    for i in range(1, 300, 6):
+        s = vector_index.scores(x[i : i + 1].astype(float), x.astype(float), metric)[0]
+        order = [j for j in np.lexsort((np.arange(300), -s)) if j != i]
+        assert got[i] == [(j, s[j], k + 1) for k, j in enumerate(order)]
+    assert len(got) == 50 and retrieval.scored_pairs(q.limit(0), g, None, metric).isEmpty() and retrieval.scored_pairs(q, g.limit(0), None, metric).isEmpty()
