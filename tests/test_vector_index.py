@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,13 @@ def test_full_rankings_shuffle_no_pairs(spark, monkeypatch, metric):
         order = [j for j in np.lexsort((np.arange(300), -s)) if j != i]
         assert got[i] == [(j, s[j], k + 1) for k, j in enumerate(order)]
     assert len(got) == 50 and retrieval.scored_pairs(q.limit(0), g, None, metric).isEmpty() and retrieval.scored_pairs(q, g.limit(0), None, metric).isEmpty()
+
+
+def test_visits_are_not_broadcast(spark, tmp_path):
+    """Spark's estimate leaves out that a query's row is repeated for every block, so the driver would hold them all."""
+    frame(spark, range(200), np.random.default_rng(1).normal(size=(200, 4)), "gid").write.parquet(f"{tmp_path}/g")
+    g = spark.read.parquet(f"{tmp_path}/g")
+    q = g.where("gid % 50 = 0").select(F.col("gid").alias("qid"), "vec")
+    index = vector_index.build(g, "gid")
+    met = vector_index.meet(q, "qid", index, vector_index.everywhere, lambda qid, *_: pd.DataFrame({"qid": qid}), "qid long")
+    assert met.count() == 4 and "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
