@@ -120,6 +120,29 @@ def test_learnt_scores_are_probabilities_near_the_base(spark, model):
     assert np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], rtol=1e-9)
 
 
+def test_pieces_learn_from_long_words(spark, model):
+    """Training words of any length weight the pieces, each once; those of held-out rows do not."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [f"A {'Longwörd' * 30} b", f"{'Longwörd' * 30} {'c_' * 40}\t{'日本語' * 9}", "x" * 64 + " " + "x" * 65, None, "d " + "é#" * 50, "held_" * 20]
+    rows = [(i, t, "s") for i, t in zip(range(1, 7), texts, strict=True)]  # 6 is held out
+    split = [(i, lattice.tokens((t or "").encode())) for i, t, _ in rows]
+    c = Counter(w for i, words in split if zlib.crc32(str(i).encode()) % 10 for w in words)
+    n, once, twice = sum(c.values()), *[sum(x == k for x in c.values()) for k in (1, 2)]
+    d = once / (once + 2 * twice) if once and twice else lattice.DISCOUNT
+    learnt = model.learnt(Counter(p for w in c if w for p in model.likeliest(lattice.signs(w))))
+
+    def plain(word):
+        part = learnt.log10(word) + math.log10(d * len(c) / n)
+        whole = math.log10((c[word] - d) / n) if c[word] else -math.inf
+        return max(part, whole) + math.log10(1 + 10 ** -abs(part - whole))
+
+    assert sum(len(w) > lattice.LONG for w in c) == 5
+    got = {r["id"]: (r["held_out"], r["score"]) for r in lattice.score(documents(spark, rows), path, learn=True).collect()}
+    assert sum(h for h, _ in got.values()) == 1
+    for i, words in split:
+        assert got[i][1] == pytest.approx(math.fsum(map(plain, words)), rel=1e-9)
+
+
 def test_learning_from_nothing_keeps_the_file(spark, model):
     path = public_tokenizers.path("piece_bpe_32k.model")
     held = [(None, "a b " + "ab" * 50, "s"), (None, None, "s")]
